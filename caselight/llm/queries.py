@@ -15,6 +15,19 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import Likeness, jaccard_groups
+
+    return jaccard_groups(read_table(spark, sf_dir, "documents"), Likeness(words=4, num=85, den=100))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_inner_products
+
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return top_inner_products(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -35,6 +48,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_exact_topk": op6_exact_topk,
     "op7_packing": op7_packing,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
