@@ -10,6 +10,12 @@ from . import mixing
 from .shared import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
@@ -60,6 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_media_columns": op2_media_columns,
     "op4_mixing": op4_mixing,
     "op5_jaccard_join": op5_jaccard_join,
