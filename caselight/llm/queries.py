@@ -22,6 +22,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_tokens
 
@@ -68,6 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_media_columns": op2_media_columns,
+    "op3_chat_format": op3_chat_format,
     "op4_mixing": op4_mixing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_topk": op6_exact_topk,
