@@ -6,25 +6,28 @@ Two facts make memoising exact, and ``tests/llm`` holds both against the library
   A text without two spaces in a row may be cut before each of its spaces.
 * Merges never leave a pre-token. The library's own model merges each distinct pre-token once per worker.
 
-Texts with runs of spaces, and pieces with the special string or characters outside a plain Latin range,
-go to the library whole.
+Texts with runs of spaces, special strings or signs outside a plain Latin range go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries and characters that a worker's memo holds before it starts anew (they bound memory, never the input).
-MEMO_ENTRIES, MEMO_CHARS = 900_000, 24_000_000
+MEMO_ENTRIES, MEMO_CHARS = 700_000, 20_000_000
 JOINED = 1024
-UNPLAIN = re.compile("[^!-~¡-¬®-ɏ]|<\\|")
+#: Pieces with signs outside common Latin text are encoded by the library whole.
+UNPLAIN = re.compile("[^ \n!-~¡-¬®-ɏ‐-‧]")
+SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -49,9 +52,45 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
 
 
+def whole_only(text: str) -> bool:
+    """Whether a text must go to the library as it is: it has two spaces in a row, or what may be a special string."""
+    return "  " in text or "<|" in text
+
+
+def spaced(piece: str) -> str:
+    """The text of a piece: its space and it, or at the start of a text (marked with a space) it alone."""
+    return piece[1:] if piece[:1] == " " else " " + piece
+
+
+def pre_tokens_of(piece: str) -> list[str] | tuple[str, ...] | None:
+    """Pre-tokens of a piece: what follows a space, or with a space as its mark the first one of a text. None: outside plain Latin text."""
+    if not piece.isascii() and UNPLAIN.search(piece):
+        return None
+    if piece.isalpha():
+        return (" " + piece,)  # letters alone, the common case
+    if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+        return (" " + piece[:-1], piece[-1])
+    if piece.isascii() and UNPLAIN.search(piece):
+        return None
+    return pre_token_pattern().findall(spaced(piece))
+
+
 def lettered(text: str) -> str:
     """Tabs stay."""
-    return text.replace(" ", chr(288)) if text.isascii() else text.encode().decode("latin-1").translate(byte_letters() | {9: "\t"})
+    if text.isascii():
+        return text.replace(" ", chr(288)).replace("\n", chr(266))
+    return text.encode().decode("latin-1").translate(byte_letters() | {9: "\t"})
+
+
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a bounded number of rows and bytes of text (or one row)."""
+    ends = np.cumsum([0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right"))
+        upto = max(at + 1, min(upto, at + SLICE_ROWS))
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 @lru_cache(maxsize=1)
@@ -140,13 +179,12 @@ class Encoder:
         self.pre_tokens.fill(np.concatenate(ids), np.concatenate(lengths))
 
     def _learn(self) -> None:
-        """Ids of pending pieces. A piece is what follows a space; the first one of a text has a space as its mark instead."""
-        texts = [p[1:] if p[:1] == " " else " " + p for p in self.pieces.pending]
-        odd = [k for k, t in enumerate(texts) if not t or UNPLAIN.search(t, t[0] == " ")]
-        given, many = self.whole([texts[k] for k in odd])
-        parts = list(map(pre_token_pattern().findall, texts))
+        """Ids of pending pieces."""
+        parts = list(map(pre_tokens_of, self.pieces.pending))
+        odd = [k for k, x in enumerate(parts) if x is None]
+        given, many = self.whole([spaced(self.pieces.pending[k]) for k in odd])
         for k in odd:
-            parts[k] = []
+            parts[k] = ()
         index = self.pre_tokens.index(chain.from_iterable(parts))
         self._merge()
         ids, lengths = self.pre_tokens.gather(index)
@@ -156,34 +194,40 @@ class Encoder:
             per[odd] = many
         self.pieces.fill(ids, per)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, ids per text); a null text has none."""
         if self.pieces.full():
             self.pieces = Memo()
         if self.pre_tokens.full():
             self.pre_tokens = Memo()
-        cuts, apart = [], []
-        for k, text in enumerate(texts):
-            if not text:
-                cuts.append([])
-            elif "  " in text:
-                cuts.append([])
-                apart.append(k)
-            else:
-                cuts.append(pieces := text.split(" "))
-                pieces[0] = " " + pieces[0]
-        index = self.pieces.index(chain.from_iterable(cuts))
+        texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+        per = np.zeros(len(texts), np.int64)
+        plain = [k for k, t in enumerate(texts) if t and not whole_only(t)]
+        index, counts = split_index([texts[k] for k in plain], self.pieces)
         if self.pieces.pending:
             self._learn()
         ids, lengths = self.pieces.gather(index)
-        per = sums(lengths, np.fromiter(map(len, cuts), np.int64, len(cuts)))
-        if apart:
+        per[plain] = sums(lengths, counts)
+        known = set(plain)
+        if apart := [k for k, t in enumerate(texts) if t and k not in known]:
             given, many = self.whole([texts[k] for k in apart])
             ids = np.insert(ids, np.repeat((np.cumsum(per) - per)[apart], many), given)
             per[apart] = many
         return ids, per
 
 
+def split_index(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the memo of all pieces of texts, pieces of each text); each distinct piece of the batch is looked up once."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    index = memo.index(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    index[offsets[:-1]] = memo.index(" " + t.partition(" ")[0] for t in texts)
+    return index, np.diff(offsets)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

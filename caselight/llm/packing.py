@@ -13,8 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import encoder, load_tokenizer, tokenizer_path
-from .tokens import BATCH_ROWS
+from .bpe import encoder, load_tokenizer, slices, tokenizer_path
 
 GROUP_DOCS = 2048
 BIN_BITS = 24
@@ -112,9 +111,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, BATCH_ROWS):
-                batch = big.slice(at, BATCH_ROWS)
-                ids, per = encoder(path).encode(batch.column("text").to_pylist())
+            for batch in slices(big):
+                ids, per = encoder(path).encode(batch.column("text"))
                 flat = np.insert(ids, np.cumsum(per), end_id).astype(kind)
                 ends = np.concatenate([[0], np.cumsum(per + 1)])
                 held = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]

@@ -6,21 +6,16 @@ so that a pre-token equal to it counts one without any merging. Only other pre-t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import JOINED, Memo, UNPLAIN, byte_letters, encoder, lettered, load_tokenizer, pre_token_pattern, sums, tokenizer_path
+from .bpe import JOINED, MEMO_ENTRIES, Memo, byte_letters, encoder, lettered, load_tokenizer, pre_token_pattern, pre_tokens_of, slices, spaced, split_index, sums, tokenizer_path, whole_only
 from .shared import filesystem, materialise, shared_dir
 
-#: Rows of an Arrow batch that is held at once; texts may be long.
-BATCH_ROWS = 512
-
 
 def whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings (as text) proven to encode alone as their own single token."""
@@ -51,47 +46,39 @@ class Counter:
         self.tokenizer, self.proven = load_tokenizer(path), proven
         self.merger = Tokenizer(self.tokenizer.model)
         self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.pieces: dict[str, int] = {}
+        self.pieces = Memo()
         self.rest: dict[str, int] = {}
 
     def whole(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        texts = [p[1:] if p[:1] == " " else " " + p for p in pieces]
-        parts = [None if not t or UNPLAIN.search(t, t[0] == " ") else pre_token_pattern().findall(t) for t in texts]
-        new = list({q for x in parts if x for q in x if q not in self.proven and q not in self.rest})
+    def _learn(self) -> None:
+        """Counts of pending pieces: a proven pre-token is one token, the others are merged once."""
+        pending = self.pieces.pending
+        parts = list(map(pre_tokens_of, pending))
+        proven, rest = self.proven, self.rest
+        new = list({q for x in parts if x for q in x if q not in proven and q not in rest})
         for k in range(0, len(new), JOINED):
             some = new[k : k + JOINED]
             e = self.merger.encode(lettered("\t".join(some)), add_special_tokens=False)
-            self.rest.update(zip(some, np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)).tolist()))
-        proven, rest = self.proven, self.rest
-        for p, x in zip(pieces, parts):
-            if x is not None:
-                self.pieces[p] = sum(1 if q in proven else rest[q] for q in x)
+            rest.update(zip(some, np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)).tolist()))
+        many = np.array([0 if x is None else sum(1 if q in proven else rest[q] for q in x) for x in parts], np.int64)
         odd = [k for k, x in enumerate(parts) if x is None]
-        self.pieces.update(zip([pieces[k] for k in odd], self.whole([texts[k] for k in odd])))
+        many[odd] = self.whole([spaced(pending[k]) for k in odd])
+        self.pieces.fill(np.zeros(0, np.uint32), many)
 
     def count(self, texts: list[str | None]) -> np.ndarray:
-        from .bpe import MEMO_CHARS, MEMO_ENTRIES
-
-        if len(self.pieces) + len(self.rest) > MEMO_ENTRIES or sum(map(len, self.pieces)) > MEMO_CHARS:
-            self.pieces, self.rest = {}, {}
-        cuts, apart = [], []
-        for k, text in enumerate(texts):
-            pieces = []
-            if text and "  " in text:
-                apart.append(k)
-            elif text:
-                pieces = text.split(" ")
-                pieces[0] = " " + pieces[0]
-            cuts.append(pieces)
-        new = {p for x in cuts for p in x if p not in self.pieces}
-        if new:
-            self._learn(list(new))
-        each = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cuts)), np.int64)
-        per = sums(each, np.fromiter(map(len, cuts), np.int64, len(cuts)))
-        per[apart] = self.whole([texts[k] for k in apart])
+        if self.pieces.full() or len(self.rest) > MEMO_ENTRIES:
+            self.pieces, self.rest = Memo(), {}
+        per = np.zeros(len(texts), np.int64)
+        plain = [k for k, t in enumerate(texts) if t and not whole_only(t)]
+        index, counts = split_index([texts[k] for k in plain], self.pieces)
+        if self.pieces.pending:
+            self._learn()
+        per[plain] = sums(self.pieces.lengths[index], counts)
+        known = set(plain)
+        if apart := [k for k, t in enumerate(texts) if t and k not in known]:
+            per[apart] = self.whole([texts[k] for k in apart])
         return per
 
 
@@ -112,8 +99,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
         if path not in _COUNTERS:
             _COUNTERS[path] = Counter(path, proven.value)
         for big in batches:
-            for at in range(0, big.num_rows, BATCH_ROWS):
-                batch = big.slice(at, BATCH_ROWS)
+            for batch in slices(big):
                 texts = batch.column("text").to_pylist()
                 sizes = [len(t) if t and t.isascii() else len((t or "").encode()) for t in texts]
                 counts = _COUNTERS[path].count(texts)
@@ -141,14 +127,13 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, fs, offsets, names, total = TaskContext.get(), None, [np.zeros(1, np.int64)], [], 0
         for big in batches:
-            for at in range(0, big.num_rows, BATCH_ROWS):
-                batch = big.slice(at, BATCH_ROWS)
+            for batch in slices(big):
                 if fs is None:
                     name = f"{folder}/ids-{task.partitionId():06d}-{task.taskAttemptId()}"
                     fs, local = filesystem(name)
                     fs.create_dir(local.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(local + ".bin")
-                ids, per = encoder(path).encode(batch.column("text").to_pylist())
+                ids, per = encoder(path).encode(batch.column("text"))
                 out.write(np.insert(ids, np.cumsum(per), end_id).astype(f"<u{width}").tobytes())
                 offsets.append(total + np.cumsum(per + 1))
                 total = int(offsets[-1][-1])
