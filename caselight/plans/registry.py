@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lenses import Tables, duck
+
 
 @dataclass(frozen=True)
 class Query:
@@ -15,3 +18,12 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+
+
+def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
+    """A query by its plan over the tables of a folder, and its SQL with lenses as ``<name>``."""
+    QUERIES[name] = Query(lambda spark, sf_dir: build(Tables(spark, sf_dir)), duck(sql) if sql else None)
+
+
+for _family in ("documents", "crossdoc", "scoring", "detectors", "cases", "similar"):
+    importlib.import_module(f"{__package__}.queries_{_family}")
