@@ -329,21 +329,24 @@ def jaccard_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     moved = copies.where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
     group = Window.partitionBy("key")
-    keyed = known.select("doc_id", F.explode("keys").alias("key")).withColumn("least", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group)).where("least <> most")
-    members = keyed.select("key", "doc_id").join(moved, "doc_id", "left").select("key", F.coalesce("class_id", "doc_id").alias("doc_id")).distinct()
-    members = materialise(members, "members")
+    keyed = known.join(moved.select("doc_id").hint("merge"), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
+    keyed = keyed.withColumn("b", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group)).where("b <> most")
+    members = materialise(keyed.select("key", "doc_id", "b"), "members")
     stats = known.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "bits"), "n_shingles").alias("s")).select("doc_id", F.col("s.n_shingles").alias("n"), F.col("s.bits").alias("bits"))
 
-    stars = members.groupBy("key").agg(F.min("doc_id").alias("b"))
-    pairs = members.join(stars, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    stars = materialise(members.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "stars")
+    pairs = stars
     pairs = pairs.join(stats.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
     pairs = pairs.join(stats.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
     links = materialise(verified(bounded(pairs, like), docs, like, "star-pairs"), "star-links")
     labels = materialise(components(links), "labels")
 
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").select("key", "doc_id", "label").join(stats, "doc_id")
+    named = labels.withColumnRenamed("component", "label")
+    apart = stars.join(named.withColumnRenamed("node", "a"), "a", "left").withColumn("of_a", F.coalesce("label", "a")).drop("label")
+    apart = apart.join(named.withColumnRenamed("node", "b"), "b", "left").where(F.coalesce("label", "b") != F.col("of_a")).select(F.col("a").alias("doc_id"), "b")
+    mixed = materialise(members.join(apart, ["doc_id", "b"]).select("key").distinct(), "mixed-keys")
+    rest = members.join(mixed, "key", "left_semi").select("key", "doc_id").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rest = rest.withColumn("label", F.coalesce("label", "doc_id")).join(stats, "doc_id")
     more = materialise(verified(across(rest, like), docs, like, "cross-pairs"), "cross-links")
     if more.isEmpty():
         final = labels
