@@ -55,7 +55,7 @@ def with_signs(turns: DataFrame) -> DataFrame:
 def bare(text: Column) -> Column:
     """A turn's text without its speaker marker and closing marks."""
     names = "|".join(n for k in ROLES for n in NAMES[k])
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "(?i)" + MARKER % names, ""), r"<\|im_end\|>\s*$", ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "(?i)" + MARKER % names, ""), r"<\|im_end\|>\s*$", ""), r"^\s+|\s+$", "")
 
 
 class HMM:
@@ -142,7 +142,8 @@ def viterbi(model: HMM, signs: dict[str, np.ndarray]) -> list[int]:
 
 
 def recover_roles(turns: DataFrame, model: HMM) -> DataFrame:
-    """``turns`` (conv_id, turn, text, ...) with ``recovered``, the role on the best path of its conversation."""
+    """(conv_id, turn, role, text, recovered) of every turn; ``recovered`` is the role on the best path of its conversation."""
+    turns = turns.select("conv_id", "turn", "role", "text")
     spark, signs = turns.sparkSession, ["sign_" + k for k in SIGNS]
     held = spark.sparkContext.broadcast(model)  # of a fixed size
     s = len(ROLES)
