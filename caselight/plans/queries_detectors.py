@@ -25,7 +25,15 @@ register("a8b_digit_table", lambda t: S.digit_table(t.rows), "SELECT doc_id, " +
 _STATS = f"SELECT *, n >= 20 AND ones < 0.05 AS benford_anomaly, whole > 0.4 AS round_anomaly FROM (SELECT doc_id, count(*) AS n, round(avg(CASE WHEN {_DIGIT} = 1 THEN 1.0 ELSE 0.0 END), 9) AS ones, round(avg(CASE WHEN amount % 1 = 0 THEN 1.0 ELSE 0.0 END), 9) AS whole FROM <rows> WHERE amount IS NOT NULL GROUP BY doc_id)"
 register("a8_benford", lambda t: S.amount_statistics(t.rows).select("doc_id", "n", "ones", "benford_anomaly"), f"SELECT doc_id, n, ones, benford_anomaly FROM ({_STATS})")
 register("a9_round_numbers", lambda t: S.amount_statistics(t.rows).select("doc_id", "whole", "round_anomaly"), f"SELECT doc_id, whole, round_anomaly FROM ({_STATS})")
-register("d6_statistic_findings", lambda t: S.statistic_findings(t.rows), f"SELECT doc_id, 'Statistical Anomaly' AS name, 'MEDIUM' AS severity FROM ({_STATS}) WHERE benford_anomaly UNION ALL SELECT doc_id, 'Round Number Anomaly', 'MEDIUM' FROM ({_STATS}) WHERE round_anomaly")
+
+
+
+def _rounded(t):
+    return t.rows.withColumn("amount", F.when(F.col("doc_id") % 3 == 0, F.floor("amount")).otherwise(F.col("amount")).cast("decimal(18,2)"))
+
+
+_ROUND_STATS = _STATS.replace("<rows>", "(SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN CAST(floor(amount) AS DECIMAL(18,2)) ELSE amount END AS amount) FROM <rows>)")
+register("d6_statistic_findings", lambda t: S.statistic_findings(_rounded(t)), f"SELECT doc_id, 'Statistical Anomaly' AS name, 'MEDIUM' AS severity FROM ({_ROUND_STATS}) WHERE benford_anomaly UNION ALL SELECT doc_id, 'Round Number Anomaly', 'MEDIUM' FROM ({_ROUND_STATS}) WHERE round_anomaly")
 _LINES = "SELECT doc_id, CAST(i AS INTEGER) AS row_no, ls[i + 1] AS line FROM (SELECT doc_id, string_split(text, CHR(10)) AS ls FROM <statements>), unnest(range(len(ls))) AS u(i)"
 _AMOUNTS = f"regexp_extract_all(line, '{money.AMOUNT}')"
 PARSED = f"SELECT doc_id, 1 AS page, row_no, CAST(replace(a[-2], ',', '') AS DECIMAL(18,2)) AS amount, CAST(replace(a[-1], ',', '') AS DECIMAL(18,2)) AS balance, trim(line) AS raw FROM (SELECT *, {_AMOUNTS} AS a FROM ({_LINES}) WHERE regexp_matches(line, '{money.DATED_LINE}')) WHERE len(a) > 0"
@@ -95,8 +103,8 @@ _BASE = "trim(string_split(string_split(lower(font), '-')[1], ',')[1])"
 _FAM = f"SELECT doc_id, count(DISTINCT {_BASE}) AS n, bool_or(regexp_matches({_BASE}, '{'|'.join(D.CONSUMER_FONTS)}')) AS consumer, bool_or(regexp_matches({_BASE}, '{'|'.join(D.BANK_FONTS)}')) AS bank FROM <spans> GROUP BY doc_id"
 register("a12_font_families", lambda t: D.font_findings(t.spans).where("name = 'Font Inconsistency'"), f"SELECT doc_id, 'Font Inconsistency' AS name, 'HIGH' AS severity FROM ({_FAM}) WHERE n > 4")
 register("a13_mixed_fonts", lambda t: D.font_findings(t.spans).where("name = 'Mixed Font Origin'"), f"SELECT doc_id, 'Mixed Font Origin' AS name, 'HIGH' AS severity FROM ({_FAM}) WHERE consumer AND bank")
-_ODD = "WITH k AS (SELECT doc_id % 50 AS doc_id, size, count(*) AS n FROM <spans> GROUP BY 1, 2), m AS (SELECT doc_id, arg_max(size, n * 1000 - size) AS main, sum(n) AS total FROM k GROUP BY doc_id) SELECT k.doc_id, size, n, main FROM k JOIN m ON k.doc_id = m.doc_id WHERE abs(size - main) > 2 AND n < total * 0.05"
-register("a14_odd_sizes", lambda t: D.odd_sizes(t.spans.withColumn("doc_id", F.col("doc_id") % 50).withColumn("size", F.col("size"))), _ODD)
+_ODD = "WITH k AS (SELECT doc_id % 50 AS doc_id, size + CASE WHEN page = 7 THEN 6 ELSE 0 END AS size, count(*) AS n FROM <spans> GROUP BY 1, 2), m AS (SELECT doc_id, arg_max(size, n * 1000 - size) AS main, sum(n) AS total FROM k GROUP BY doc_id) SELECT k.doc_id, size, n, main FROM k JOIN m ON k.doc_id = m.doc_id WHERE abs(size - main) > 2 AND n < total * 0.05"
+register("a14_odd_sizes", lambda t: D.odd_sizes(t.spans.withColumn("doc_id", F.col("doc_id") % 50).withColumn("size", F.col("size") + F.when(F.col("page") == 7, 6).otherwise(0))), _ODD)
 
 
 def _gated(t):
