@@ -83,28 +83,28 @@ _ACC = rx("(?i)(?:account\\s+number|ac\\s+no|a/c\\s+no)[:\\s]+([0-9-]{9,18})", 1
 _LABEL = strip_sql(rx("(?i)(?:name|employee\\s+name|customer\\s+name)[:\\s]+([A-Z\\s.]{3,30})", 1))
 
 for _id, _lens, _column, _sql in [
-    ("e1_birth_date", "kyc", E.birth_date(F.col("text")), _DOB),
-    ("e2_valid_birth_date", "kyc", E.valid_birth_date(E.birth_date(F.col("text"))), _VALID_DOB),
-    ("e3_gender", "kyc", E.gender(F.concat("text", F.element_at(F.array(F.lit(" Male"), F.lit(" FEMALE"), F.lit(" transgender"), F.lit(" none")), (F.col("doc_id") % 4 + 1).cast("int")))),
+    ("e1_birth_date", "kyc", lambda: E.birth_date(F.col("text")), _DOB),
+    ("e2_valid_birth_date", "kyc", lambda: E.valid_birth_date(E.birth_date(F.col("text"))), _VALID_DOB),
+    ("e3_gender", "kyc", lambda: E.gender(F.concat("text", F.element_at(F.array(F.lit(" Male"), F.lit(" FEMALE"), F.lit(" transgender"), F.lit(" none")), (F.col("doc_id") % 4 + 1).cast("int")))),
      "CASE doc_id % 4 WHEN 1 THEN 'Female' WHEN 0 THEN 'Male' WHEN 2 THEN 'Transgender' END"),
-    ("e4_normal_gender", "kyc", E.normal_gender(F.element_at(F.array(F.lit("m"), F.lit("F"), F.lit("Trans "), F.lit("x"), F.lit("female")), (F.col("doc_id") % 5 + 1).cast("int"))),
+    ("e4_normal_gender", "kyc", lambda: E.normal_gender(F.element_at(F.array(F.lit("m"), F.lit("F"), F.lit("Trans "), F.lit("x"), F.lit("female")), (F.col("doc_id") % 5 + 1).cast("int"))),
      "CASE doc_id % 5 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' WHEN 2 THEN 'Transgender' WHEN 4 THEN 'Female' END"),
-    ("e5_pan_candidate", "kyc", E.pan_candidate(F.col("text")), _PAN10),
-    ("e6_corrected_pan", "kyc", E.corrected_pan(E.pan_candidate(F.col("text"))), f"CASE WHEN regexp_matches({_FIXED}, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$') THEN {_FIXED} END"),
-    ("e7_aadhaar_candidate", "employers", E.aadhaar_candidate(F.concat("text", F.lit(" 1234 5678 "), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"))), "'1234 5678 ' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0')"),
-    ("e9_address", "kyc", E.address(F.col("text")), "'House ' || CAST(doc_id AS VARCHAR) || ' Lake Road'"),
-    ("e10_account_number", "employers", E.account_number(F.col("text")), _ACC),
-    ("e11_phone", "kyc", E.phone(F.col("text")), f"CASE WHEN regexp_matches({_PHONE}, '^[6-9]') THEN '+91 ' || {_PHONE} END"),
-    ("e12_email", "documents", E.email(F.col("text")), f"CASE WHEN regexp_matches({_MAIL}, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}$') THEN lower({_MAIL}) END"),
-    ("e13_labelled_name", "kyc", E.labelled_name(F.col("text")), _LABEL),
-    ("e17_valid_name", "kyc", X.valid_name(F.col("name")), valid_name_sql("name")),
-    ("e18_salary", "slips", E.salary(F.col("text")), f"CASE WHEN {_SAL} > 0 THEN {_SAL} END"),
-    ("e19_employer", "employers", E.employer(F.col("text")), valid_name_sql(strip_sql(rx("(?i)(?:employer|company|organization)[:\\s]+([A-Z\\s&]{3,40})", 1)), True)),
-    ("e20_property_id", "employers", E.property_id(F.col("text")), "upper(" + strip_sql(rx("(?i)(?:property\\s+id|survey\\s+no|khasra\\s+no)[:\\s]+([A-Z0-9/-]{3,20})", 1)) + ")"),
-    ("e21_property_owner", "employers", E.property_owner(F.col("text")), valid_name_sql(strip_sql(rx("(?i)(?:owner|title\\s+holder)[:\\s]+([A-Z\\s.]{3,30})", 1)))),
-    ("n1_normal_name", "kyc", X.normal_name(F.col("name")), "trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '\\b(mr|ms|mrs|dr|adv|prof)\\b\\.?', '', 'g'), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"),
+    ("e5_pan_candidate", "kyc", lambda: E.pan_candidate(F.col("text")), _PAN10),
+    ("e6_corrected_pan", "kyc", lambda: E.corrected_pan(E.pan_candidate(F.col("text"))), f"CASE WHEN regexp_matches({_FIXED}, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$') THEN {_FIXED} END"),
+    ("e7_aadhaar_candidate", "employers", lambda: E.aadhaar_candidate(F.concat("text", F.lit(" 1234 5678 "), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"))), "'1234 5678 ' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0')"),
+    ("e9_address", "kyc", lambda: E.address(F.col("text")), "'House ' || CAST(doc_id AS VARCHAR) || ' Lake Road'"),
+    ("e10_account_number", "employers", lambda: E.account_number(F.col("text")), _ACC),
+    ("e11_phone", "kyc", lambda: E.phone(F.col("text")), f"CASE WHEN regexp_matches({_PHONE}, '^[6-9]') THEN '+91 ' || {_PHONE} END"),
+    ("e12_email", "documents", lambda: E.email(F.col("text")), f"CASE WHEN regexp_matches({_MAIL}, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}$') THEN lower({_MAIL}) END"),
+    ("e13_labelled_name", "kyc", lambda: E.labelled_name(F.col("text")), _LABEL),
+    ("e17_valid_name", "kyc", lambda: X.valid_name(F.col("name")), valid_name_sql("name")),
+    ("e18_salary", "slips", lambda: E.salary(F.col("text")), f"CASE WHEN {_SAL} > 0 THEN {_SAL} END"),
+    ("e19_employer", "employers", lambda: E.employer(F.col("text")), valid_name_sql(strip_sql(rx("(?i)(?:employer|company|organization)[:\\s]+([A-Z\\s&]{3,40})", 1)), True)),
+    ("e20_property_id", "employers", lambda: E.property_id(F.col("text")), "upper(" + strip_sql(rx("(?i)(?:property\\s+id|survey\\s+no|khasra\\s+no)[:\\s]+([A-Z0-9/-]{3,20})", 1)) + ")"),
+    ("e21_property_owner", "employers", lambda: E.property_owner(F.col("text")), valid_name_sql(strip_sql(rx("(?i)(?:owner|title\\s+holder)[:\\s]+([A-Z\\s.]{3,30})", 1)))),
+    ("n1_normal_name", "kyc", lambda: X.normal_name(F.col("name")), "trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '\\b(mr|ms|mrs|dr|adv|prof)\\b\\.?', '', 'g'), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"),
 ]:
-    register(_id, lambda t, lens=_lens, column=_column: getattr(t, lens).select("doc_id", column.alias("value")), f"SELECT doc_id, {_sql} AS value FROM " + ("documents" if _lens == "documents" else f"<{_lens}>"))
+    register(_id, lambda t, lens=_lens, column=_column: getattr(t, lens).select("doc_id", column().alias("value")), f"SELECT doc_id, {_sql} AS value FROM " + ("documents" if _lens == "documents" else f"<{_lens}>"))
 
 
 def words_sql(column: str, words: dict[str, str]) -> str:
