@@ -106,5 +106,5 @@ def portfolio(cases: DataFrame, today: str) -> DataFrame:
         F.count_if(done & (t >= 80)).alias("verified"),
         F.count_if(done & (t >= 50) & (t < 80)).alias("suspicious"),
         F.count_if(done & (t < 50)).alias("fraudulent"),
-        F.round(F.avg(F.when(done, t)).cast("double"), 6).alias("mean_trust"),
+        F.round(F.avg(F.when(done, t.cast("double"))), 6).alias("mean_trust"),
     )
