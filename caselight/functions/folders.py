@@ -7,12 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Used only where the cluster names no shared folder.
+OWN_DIR = "/tmp/caselight-checkpoints"
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; set here only where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below ``spark.checkpoint.dir``; only where that is unset, as in tests, below a folder set here."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = "/tmp/caselight-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(OWN_DIR)
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
