@@ -141,8 +141,11 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10) -> D
                 if score.shape[1] >= k:
                     low[at : at + 256] = np.partition(score, -k, axis=1)[:, -k]
             low -= SLACK * np.abs(low)
-            top = batch.column("norm").to_numpy()[:, None] * longest[None, :] * (1 + SLACK) + SLACK
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("q"), pa.array(low), pa.array(np.maximum(1, (top >= low[:, None]).sum(1)))], ["query_id", "q", "floor", "reach"])
+            norm = batch.column("norm").to_numpy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where(norm > 0, (low - 2 * SLACK) / (norm * (1 + SLACK)), np.where(low <= SLACK, -np.inf, np.inf))
+            reach = np.maximum(1, np.searchsorted(-longest, -need, "right"))  # blocks whose longest vector can reach the floor
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("q"), pa.array(low), pa.array(reach)], ["query_id", "q", "floor", "reach"])
 
     ready = materialise(asked.mapInArrow(floors, "query_id long, q array<double>, floor double, reach long"), "queries")
     chunks = max(1, -(-ready.count() // QUERY_ROWS))
