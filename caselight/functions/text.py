@@ -9,7 +9,7 @@ ADDRESS_WORDS = {"st": "street", "rd": "road", "apt": "apartment", "flt": "flat"
 EMPLOYER_WORDS = {"pvt": "private", "ltd": "limited", "corp": "corporation", "inc": "incorporated"}
 TITLES = r"\b(mr|ms|mrs|dr|adv|prof)\b\.?"
 #: Words that are no part of a person's or an employer's name.
-NOT_NAMES = ["INCOME", "TAX", "DEPARTMENT", "GOVT", "INDIA", "CARD", "SIGNATURE", "ACCOUNT", "PERMANENT", "NUMBER", "PHOTO", "FATHER", "MOTHER", "INCOMETAX", "DEPT", "PRINT", "DIGITAL", "SECURITY", "AUTHENTIC", "VERIFIED", "ANOBIS", "GOVERNMENT", "UNIQUE", "AUTHORITY", "UNION", "REGISTRATION", "MALE", "FEMALE", "SIGN", "HOLDER", "DEPARTMENTOF", "OF", "GOVERNMENTOFINDIA"]
+NOT_NAMES = ["INCOME", "TAX", "DEPARTMENT", "GOVT", "INDIA", "CARD", "SIGNATURE", "ACCOUNT", "PERMANENT", "NUMBER", "PHOTO", "FATHER", "MOTHER", "INCOMETAX", "DEPT", "PRINT", "DIGITAL", "SECURITY", "AUTHENTIC", "VERIFIED", "GOVERNMENT", "UNIQUE", "AUTHORITY", "UNION", "REGISTRATION", "MALE", "FEMALE", "SIGN", "HOLDER", "DEPARTMENTOF", "OF", "GOVERNMENTOFINDIA"]
 
 
 def strip(c: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.money import dates
 from ..functions.text import first_match
 
-#: Editing software and authors that metadata may show, in the order in which they are reported.
-SOFTWARE = ["photoshop", "illustrator", "gimp", "canva", "figma", "quartz pdfcontext", "liberation", "libreoffice", "acrobat", "pdf2go", "ilovepdf", "pdfescape", "smallpdf", "sajan", "shlok"]
+#: Editing software that metadata may show, in the order in which it is reported.
+SOFTWARE = ["photoshop", "illustrator", "gimp", "canva", "figma", "quartz pdfcontext", "liberation", "libreoffice", "acrobat", "pdf2go", "ilovepdf", "pdfescape", "smallpdf"]
 IMAGE_SOFTWARE = ["photoshop", "illustrator", "gimp", "canva", "figma", "sketch", "affinity", "inkscape", "corel", "paint.net", "pixlr", "photoscape", "fotor", "befunky", "snapseed"]
 TYPOS = ["satement", "adhaar", "adhar", "pancard", "unon bank", "canara bankk"]
 OFFICIAL = ["bank statement", "account statement", "transaction history", "certificate", "digitally signed", "authorized signatory", "official document", "verified", "authenticated"]
