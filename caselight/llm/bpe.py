@@ -21,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import MEMOS
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries and characters that a worker's memo holds before it starts anew (they bound memory, never the input).
-MEMO_ENTRIES, MEMO_CHARS = 700_000, 20_000_000
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 12_000_000
 JOINED = 1024
 #: Pieces with signs outside common Latin text are encoded by the library whole.
 UNPLAIN = re.compile("[^ \n!-~¡-¬®-ɏ‐-‧]")
@@ -229,6 +231,7 @@ def split_index(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+MEMOS["ids"] = _ENCODERS.clear
 
 
 def encoder(path: str) -> Encoder:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .shared import materialise
+from .shared import MEMOS, materialise, working_on
 
 U = np.uint64
 SEEDS = 6
@@ -71,6 +71,7 @@ class WordHashes(dict):
 
 
 _WORDS = WordHashes()
+MEMOS["words"] = _WORDS.clear
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -155,6 +156,7 @@ def describe(docs: DataFrame, like: Likeness) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        working_on("words")
         for big in batches:
             for at in range(0, big.num_rows, BATCH_ROWS):
                 batch, sizes, digests, bits, keys = big.slice(at, BATCH_ROWS), [], [], [], []
@@ -239,6 +241,7 @@ def verified(pairs: DataFrame, docs: DataFrame, like: Likeness, purpose: str) ->
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("words")
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)

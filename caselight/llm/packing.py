@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import encoder, load_tokenizer, slices, tokenizer_path
+from .shared import working_on
 
 GROUP_DOCS = 2048
 BIN_BITS = 24
@@ -110,6 +111,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
     kind = "<u2" if load_tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("ids")
         for big in batches:
             for batch in slices(big):
                 ids, per = encoder(path).encode(batch.column("text"))
@@ -119,6 +121,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(held, pa.binary())], ["doc_id", "place", "ids"])
 
     def place(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        working_on()
         table = table.sort_by([("place", "ascending")])
         names, group = table.column("doc_id").to_pylist(), key[0].as_py()
         ids = [np.frombuffer(b.as_buffer(), kind) for b in table.column("ids")]

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import materialise
+from .shared import materialise, working_on
 
 #: The model is fitted on at most this many labelled rows: those with the least hashes of their doc_id.
 SAMPLE_ROWS = 6000
@@ -95,6 +95,7 @@ def with_evidence(docs: DataFrame, model: np.ndarray) -> DataFrame:
     schema = docs.drop("quality_p").schema.add("quality_p", "double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on()
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(predict(x, model), EDGE, 1 - EDGE))], [*batch.schema.names, "quality_p"])

@@ -3,21 +3,37 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What empties each memo that this Python worker keeps between tasks, by the memo's name.
+MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def working_on(memo: str = "") -> None:
+    """Empty all memos but one; workers are used again by tasks of other operators, and their memory is shared out tightly."""
+    for name, empty in MEMOS.items():
+        if name != memo:
+            empty()
+
+
+#: Used only where the cluster names no shared folder.
+OWN_DIR = "/tmp/caselight-checkpoints"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; that setting is made here only where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below ``spark.checkpoint.dir``; only where that is unset, as in tests, below a folder set here."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        base = current or "/tmp/caselight-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(OWN_DIR)
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import JOINED, MEMO_ENTRIES, Memo, byte_letters, encoder, lettered, load_tokenizer, pre_token_pattern, pre_tokens_of, slices, spaced, split_index, sums, tokenizer_path, whole_only
-from .shared import filesystem, materialise, shared_dir
+from .shared import MEMOS, filesystem, materialise, shared_dir, working_on
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -83,6 +83,7 @@ class Counter:
 
 
 _COUNTERS: dict[str, Counter] = {}
+MEMOS["counts"] = _COUNTERS.clear
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
@@ -96,6 +97,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
     proven = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # at most the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("counts")
         if path not in _COUNTERS:
             _COUNTERS[path] = Counter(path, proven.value)
         for big in batches:
@@ -125,6 +127,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     width = 2 if load_tokenizer(path).get_vocab_size() <= 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on("ids")
         task, fs, offsets, names, total = TaskContext.get(), None, [np.zeros(1, np.int64)], [], 0
         for big in batches:
             for batch in slices(big):

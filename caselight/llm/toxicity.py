@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import working_on
+
 #: The model is fitted on at most this many labelled rows, and on at most this many windows of each.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 4000, 24
 WINDOW, STRIDE = 32, 24
@@ -387,6 +389,7 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.drop("toxic_score").schema.add("toxic_score", "double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on()
         scorer = Scorer(shared.value)
         for big in batches:
             for at in range(0, big.num_rows, 512):
