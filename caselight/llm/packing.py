@@ -60,36 +60,19 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def fill_up(bins: list[list[tuple[int, int, int]]], capacity: int, least: int) -> list[list[tuple[int, int, int]]]:
     """Cut pieces (document, start, length) of the emptiest bins into the free space of the fuller ones."""
-    load = [sum(p[2] for p in b) for b in bins]
-    order = sorted(range(len(bins)), key=lambda k: (-load[k], k))
-    low, high, supply = 0, len(order) - 1, []
-    while low < high:
-        k = order[low]
-        room = capacity - load[k]
-        if room < least:
-            low += 1
-            continue
-        if not supply:
-            supply, bins[order[high]], load[order[high]] = bins[order[high]][::-1], [], 0
-            high -= 1
-            if low > high:
-                break
-        while room and supply and (room >= least or supply[-1][2] <= room):
-            doc, start, length = supply.pop()
-            take = min(length, room)
-            bins[k].append((doc, start, take))
-            room -= take
-            if take < length:
-                supply.append((doc, start + take, length - take))
-        load[k] = capacity - room
-        low += load[k] > capacity - least
-        if room >= least and supply:
-            continue
-        if room and not load[k] > capacity - least and supply:
-            low += 1
-    if supply:
-        bins[order[high + 1]] = supply[::-1]
-    return [b for b in bins if b]
+    bins = sorted(bins, key=lambda b: -sum(p[2] for p in b))
+    for k, filled in enumerate(bins):
+        room = capacity - sum(p[2] for p in filled)
+        while room >= least and k + 1 < len(bins):
+            doc, start, length = bins[-1].pop()
+            taken = min(length, room)
+            filled.append((doc, start, taken))
+            room -= taken
+            if taken < length:
+                bins[-1].append((doc, start + taken, length - taken))
+            elif not bins[-1]:
+                bins.pop()
+    return bins
 
 
 def plan_group(lengths: list[int], capacity: int, least: int = LEAST_CUT) -> list[list[tuple[int, int, int]]]:
