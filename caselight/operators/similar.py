@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Weights of features in percent and the spans that differences are held against.
@@ -27,7 +31,7 @@ def likeness(feature: str, a: Column, b: Column) -> Column:
     """1 less the difference over its span; equal flags 1; a missing value counts as alike."""
     span = WEIGHTS[feature][1]
     if span == "same":
-        part = F.when(a == b, 1).otherwise(0)
+        part = F.when(a == b, 1).when(a != b, 0)
     else:
         width = F.greatest(F.lit(1), a, b) if span is None else F.lit(span)
         part = 1 - F.abs(a - b) / width
@@ -88,6 +92,139 @@ def top_matches(found: DataFrame, k: int = 2) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Rows of either side that meet in one cell of the grid, and of one step inside it.
+CELL, STEP = 50_000, 512
+#: A case is at most once a completed case and once an entry of the repository, so this many candidates can be itself.
+OWN = 2
+
+
+def plain_features(vectors: DataFrame, others: list[str]) -> tuple[list[str], DataFrame]:
+    """The feature columns that are there, and ``others`` beside them as numbers and texts."""
+    numbers, texts = ([c for c in group if c in vectors.columns] for group in (WEIGHTS, BONUSES))
+    return numbers + texts, vectors.select(*others, *[F.col(c).cast("double").alias(c) for c in numbers], *[F.col(c).cast("string").alias(c) for c in texts])
+
+
+def arrays(a: pa.Table, b: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Features of two tables: numbers (nan is missing) and codes of texts (-1 never matches); features that only one has are left out."""
+    x, y = {}, {}
+    for name in [n for n in (*WEIGHTS, *BONUSES) if n in a.column_names and n in b.column_names]:
+        if name in WEIGHTS:
+            x[name], y[name] = (np.array(t[name].to_pylist(), np.float64) for t in (a, b))
+        else:
+            codes: dict = {None: -1} | ({"None": -1} if name == "editing_software" else {})
+            x[name], y[name] = (np.array([codes.setdefault(v, len(codes)) for v in t[name].to_pylist()], np.int64) for t in (a, b))
+    return x, y
+
+
+def tenths(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+    """``similarity`` of each row of x with each of y, in tenths of a percent, by the same decimals."""
+    total = np.zeros((len(next(iter(x.values()))), len(next(iter(y.values())))), np.int64)
+    for name, (weight, span) in WEIGHTS.items():
+        if name not in x:
+            total += weight * 10**9
+            continue
+        p, q = x[name][:, None], y[name][None]
+        part = (p == q).astype(float) if span == "same" else 1 - np.abs(p - q) / (np.maximum(1, np.maximum(p, q)) if span is None else span)
+        total += weight * np.rint(np.where(np.isnan(p) | np.isnan(q), 1, part) * 1e9).astype(np.int64)
+    for name, bonus in BONUSES.items():
+        if name in x:
+            total += np.where((x[name][:, None] == y[name][None]) & (x[name][:, None] >= 0), bonus * 10**9, 0)
+    millionths = (np.minimum(total, 100 * 10**9) + 500) // 1000
+    whole, rest = np.divmod(millionths, 100_000)
+    return whole + ((rest > 50_000) | ((rest == 50_000) & (whole % 2 == 1)))
+
+
+def bound(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> float:
+    """What no pair of rows of x and y exceeds, in tenths: by the gap in trust, and all bonuses that some pair may get."""
+    bonus = sum(w for n, w in BONUSES.items() if n in x and np.intersect1d(x[n], y[n]).size)
+    gap = 0.0
+    if "trust_score" in x:
+        p, q = x["trust_score"], y["trust_score"]
+        gap = max(0.0, p.min() - q.max(), q.min() - p.max()) if not np.isnan(p).any() | np.isnan(q).any() else 0.0
+    return min(1000.0, 1000 + 10 * bonus - 4 * gap + 1)
+
+
+def steps(x: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Places of rows in steps of rows that are alike."""
+    order = np.lexsort([x[n] for n in ("trust_score", "pdf_producer", "context") if n in x]) if len(next(iter(x.values()))) else np.zeros(0, np.int64)
+    return [order[k : k + STEP] for k in range(0, len(order), STEP)]
+
+
+def picked(x: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+    return {n: v[at] for n, v in x.items()}
+
+
+def in_cells(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: int, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``meet`` of all rows of a with all of b, in even cells of a grid: no side is broadcast, and no pair is left out."""
+    rows, columns = (max(1, -(-d.count() // cell)) for d in (a, b))
+    # More cells than rows ask for, so that a small table also spreads.
+    rows, columns = max(rows, 4), max(columns, 4)
+    left = a.withColumn("_row", F.pmod(F.xxhash64(a_key), F.lit(rows)).cast("int")).withColumn("_column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    right = b.withColumn("_column", F.pmod(F.xxhash64(b_key), F.lit(columns)).cast("int")).withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    spread = [d.repartition(rows * columns, "_row", "_column").groupBy("_row", "_column") for d in (left, right)]
+    return spread[0].cogroup(spread[1]).applyInArrow(meet, schema)
+
+
+def nearest(cases: DataFrame, references: DataFrame, k: int = 2, least: float = 60.0) -> DataFrame:
+    """(case_id, ref_id, is_fraud, similarity, rank): the k best references of each case and label, exactly.
+
+    References (ref_id, source, is_fraud and features) may be as many as the cases; one of the case's own id is left
+    out. Of equals the smaller source and then id comes first. Equal vectors meet once; the work is that of all pairs
+    of distinct vectors, less steps whose bound is under what was found already.
+    """
+    names, known = plain_features(references, ["ref_id", "source", "is_fraud"])
+    own, asked = plain_features(cases, ["case_id"])
+    asked = asked.withColumn("vector", F.to_json(F.struct(*own)))
+    first = F.row_number().over(Window.partitionBy("is_fraud", *names).orderBy("source", "ref_id"))
+    known = known.withColumn("_n", first).where(F.col("_n") <= k + OWN).drop("_n")
+    some, floor = k + OWN, round(least * 10)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by([("source", "ascending"), ("ref_id", "ascending")])
+        x, y = arrays(a, b)
+        fraud, out = np.array(b["is_fraud"].to_pylist(), bool), []
+        for label in (False, True):
+            mine = np.flatnonzero(fraud == label)
+            blocks = [mine[at] for at in steps(picked(y, mine))]
+            for rows in steps(x):
+                p = picked(x, rows)
+                bounds = [bound(p, picked(y, at)) for at in blocks]
+                # The score, and below it the place in order; a smaller place is better.
+                best = np.full((len(rows), some), (floor << 32) - 1, np.int64)
+                for n in np.argsort(bounds, kind="stable")[::-1]:
+                    if bounds[n] < best.min() >> 32:
+                        break
+                    key = (tenths(p, picked(y, blocks[n])) << 32) + ((1 << 32) - 1 - blocks[n][None])
+                    best = -np.partition(-np.concatenate([best, key], 1), some - 1, 1)[:, :some]
+                i, j = np.nonzero(best >= floor << 32)
+                found = best[i, j]
+                place = (1 << 32) - 1 - (found & ((1 << 32) - 1))
+                at = b.take(pa.array(place))
+                out.append(pa.table({"vector": a["vector"].take(pa.array(rows[i])), "ref_id": at["ref_id"], "source": at["source"], "is_fraud": at["is_fraud"], "tenths": pa.array(found >> 32)}))
+        return pa.concat_tables(out) if out else pa.table({"vector": pa.array([], pa.string()), "ref_id": pa.array([], pa.string()), "source": pa.array([], pa.int32()), "is_fraud": pa.array([], pa.bool_()), "tenths": pa.array([], pa.int64())})
+
+    known = known.select(F.col("ref_id").cast("string").alias("ref_id"), F.col("source").cast("int").alias("source"), F.coalesce("is_fraud", F.lit(False)).alias("is_fraud"), *names)
+    found = in_cells(asked.drop("case_id").dropDuplicates(["vector"]), known, "vector", "ref_id", CELL, meet, "vector string, ref_id string, source int, is_fraud boolean, tenths long")
+    order = [F.col("tenths").desc(), "source", "ref_id"]
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("vector", "is_fraud").orderBy(*order))).where(F.col("rank") <= some)
+    each = asked.select("case_id", "vector").join(best.drop("rank"), "vector").where(F.col("case_id").cast("string") != F.col("ref_id"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("case_id", "is_fraud").orderBy(*order))).where(F.col("rank") <= k)
+    return ranked.select("case_id", "ref_id", "is_fraud", (F.col("tenths").cast("decimal(9,0)") / 10).cast("decimal(9,1)").alias("similarity"), "rank")
+
+
+def candidates(spark: SparkSession, cases: DataFrame, completed: DataFrame, repository: DataFrame) -> DataFrame:
+    """All references of a search: the built-in ones, completed cases (fraud if trust is under 70) and the trusted repository.
+
+    ``completed`` holds ids; both it and ``repository`` have features by ``case_id``.
+    """
+    past = cases.join(completed.select("case_id").distinct(), "case_id", "left_semi")
+    past = past.withColumn("is_fraud", F.coalesce(F.col("trust_score") < 70, F.lit(False)))
+    parts = [built_in(spark).withColumn("source", F.lit(0))]
+    for n, part in enumerate((past, repository.withColumn("is_fraud", F.lit(False))), 1):
+        parts.append(part.withColumn("source", F.lit(n)).withColumn("ref_id", F.col("case_id").cast("string")).drop("case_id"))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
 def best_match(top: DataFrame) -> DataFrame:
     """(case_id, ref_id, is_fraud, similarity): the best of both labels; genuine wins ties."""
     order = F.struct(F.col("similarity"), (~F.col("is_fraud")).cast("int"), -F.col("rank"))

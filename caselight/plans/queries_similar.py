@@ -40,6 +40,23 @@ register("k3_best_match", lambda t: M.best_match(M.top_matches(_found(t))), f"SE
 register("k4_top_k", lambda t: M.top_matches(M.matches(t.features, M.built_in(t.spark), 0).withColumn("is_fraud", F.lit(False)), 3).select("case_id", "ref_id", "rank"), f"SELECT case_id, ref_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY similarity DESC, ref_id) AS INTEGER) AS rank FROM ({FOUND}) QUALIFY rank <= 3")
 register("k5_fraud_neighbour", lambda t: M.best_match(M.top_matches(_found(t))).where("is_fraud").select("case_id", F.lit("KNN").alias("layer_source"), F.lit("LOW").alias("severity")), f"SELECT case_id, 'KNN' AS layer_source, 'LOW' AS severity FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY similarity DESC, is_fraud, rank) AS n FROM ({TOP}) WHERE rank <= 2) WHERE n = 1 AND is_fraud")
 register("o5_candidates", lambda t: _found(t).select("case_id", "ref_id").distinct(), f"SELECT DISTINCT case_id, ref_id FROM ({FOUND}) WHERE similarity >= 60")
+_PAST = "f.case_id IN (SELECT case_id FROM <cases> WHERE status = 'COMPLETED'"
+_ALL = f"""(SELECT ref_id, 0 AS source, is_fraud, trust_score, ocr_confidence, metadata_score, pdf_producer, revision_count, salary_consistency, context FROM {_REFS}
+ UNION ALL SELECT CAST(case_id AS STRING), 1, trust_score < 70, trust_score, ocr_confidence, metadata_score, pdf_producer, revision_count, salary_consistency, context FROM <features> f WHERE {_PAST})
+ UNION ALL SELECT CAST(case_id AS STRING), 2, FALSE, trust_score, ocr_confidence, metadata_score, pdf_producer, revision_count, salary_consistency, context FROM <features> f WHERE {_PAST} AND is_baseline))"""
+_TOP_ALL = f"SELECT case_id, ref_id, is_fraud, similarity, CAST(row_number() OVER (PARTITION BY case_id, is_fraud ORDER BY similarity DESC, source, ref_id) AS INTEGER) AS rank FROM (SELECT f.case_id, r.ref_id, r.source, r.is_fraud, {_score('f', 'r')} AS similarity FROM <features> f JOIN {_ALL} r ON CAST(f.case_id AS STRING) <> r.ref_id) WHERE similarity >= 60 QUALIFY rank <= 2"
+_BEST_ALL = f"SELECT case_id, ref_id, is_fraud, similarity FROM ({_TOP_ALL}) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY similarity DESC, is_fraud, rank) = 1"
+
+
+def _nearest(t):
+    """The search among built-in references, completed cases and the repository (completed baselines)."""
+    done = t.cases.where("status = 'COMPLETED'")
+    return M.nearest(t.features, M.candidates(t.spark, t.features, done, t.features.join(done.where("is_baseline").select("case_id"), "case_id", "left_semi")))
+
+
+register("w5_rank_in_all", lambda t: _nearest(t), _TOP_ALL)
+register("k3_best_of_all", lambda t: M.best_match(_nearest(t)), _BEST_ALL)
+register("k5_fraud_of_all", lambda t: M.best_match(_nearest(t)).where("is_fraud").select("case_id", F.lit("KNN").alias("layer_source"), F.lit("LOW").alias("severity")), f"SELECT case_id, 'KNN' AS layer_source, 'LOW' AS severity FROM ({_BEST_ALL}) WHERE is_fraud")
 _PAIR = f"SELECT f.case_id, g.case_id AS other_id, {_score('f', 'g')} AS similarity FROM <features> f JOIN <features> g ON f.context = g.context AND f.case_id < g.case_id"
 register("x9_other_cases", lambda t: M.neighbours(t.features, 105 - 6), f"SELECT * FROM ({_PAIR}) WHERE similarity >= 99")
 
