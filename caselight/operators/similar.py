@@ -146,7 +146,7 @@ def bound(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> float:
 
 def steps(x: dict[str, np.ndarray]) -> list[np.ndarray]:
     """Places of rows in steps of rows that are alike."""
-    order = np.lexsort([x[n] for n in ("trust_score", "pdf_producer", "context") if n in x]) if len(next(iter(x.values()))) else np.zeros(0, np.int64)
+    order = np.lexsort([x[n] for n in ("trust_score", "pdf_producer", "context") if n in x])
     return [order[k : k + STEP] for k in range(0, len(order), STEP)]
 
 
@@ -160,9 +160,14 @@ def in_cells(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: int, meet
     # More cells than rows ask for, so that a small table also spreads.
     rows, columns = max(rows, 4), max(columns, 4)
     left = a.withColumn("_row", F.pmod(F.xxhash64(a_key), F.lit(rows)).cast("int")).withColumn("_column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    right = b.withColumn("_column", F.pmod(F.xxhash64(b_key), F.lit(columns)).cast("int")).withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    # Other names on the right, as both sides may be one table.
+    right = prefixed(b, "b_").withColumn("_column", F.pmod(F.xxhash64("b_" + b_key), F.lit(columns)).cast("int")).withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     spread = [d.repartition(rows * columns, "_row", "_column").groupBy("_row", "_column") for d in (left, right)]
-    return spread[0].cogroup(spread[1]).applyInArrow(meet, schema)
+
+    def both(x: pa.Table, y: pa.Table) -> pa.Table:
+        return meet(x, y.rename_columns([c.removeprefix("b_") for c in y.column_names])) if x.num_rows and y.num_rows else pa.table({})
+
+    return spread[0].cogroup(spread[1]).applyInArrow(both, schema)
 
 
 def nearest(cases: DataFrame, references: DataFrame, k: int = 2, least: float = 60.0) -> DataFrame:
@@ -201,7 +206,7 @@ def nearest(cases: DataFrame, references: DataFrame, k: int = 2, least: float =
                 place = (1 << 32) - 1 - (found & ((1 << 32) - 1))
                 at = b.take(pa.array(place))
                 out.append(pa.table({"vector": a["vector"].take(pa.array(rows[i])), "ref_id": at["ref_id"], "source": at["source"], "is_fraud": at["is_fraud"], "tenths": pa.array(found >> 32)}))
-        return pa.concat_tables(out) if out else pa.table({"vector": pa.array([], pa.string()), "ref_id": pa.array([], pa.string()), "source": pa.array([], pa.int32()), "is_fraud": pa.array([], pa.bool_()), "tenths": pa.array([], pa.int64())})
+        return pa.concat_tables(out) if out else pa.table({})
 
     known = known.select(F.col("ref_id").cast("string").alias("ref_id"), F.col("source").cast("int").alias("source"), F.coalesce("is_fraud", F.lit(False)).alias("is_fraud"), *names)
     found = in_cells(asked.drop("case_id").dropDuplicates(["vector"]), known, "vector", "ref_id", CELL, meet, "vector string, ref_id string, source int, is_fraud boolean, tenths long")
@@ -231,20 +236,44 @@ def best_match(top: DataFrame) -> DataFrame:
     return top.groupBy("case_id").agg(F.max_by(F.struct("ref_id", "is_fraud", "similarity"), order).alias("m")).select("case_id", "m.*")
 
 
-def neighbours(cases: DataFrame, least: float = 90.0) -> DataFrame:
-    """(case_id, other_id, similarity) of pairs of cases of one context that are at least so alike.
+#: Cases of either side of a cell of ``neighbours``, which may return all their pairs.
+PAIR_CELL = 1_000
+
+
+def neighbours(cases: DataFrame, least: float = 60.0, within: str | None = None) -> DataFrame:
+    """(case_id, other_id, similarity) of all pairs of cases that are at least so alike; within: only of one value of that column.
 
-    Trust weighs 40 and all bonuses 20, so pairs further apart in trust than ``width`` cannot reach ``least``: cases
-    meet in buckets of trust of that width within a context, own and next.
+    Context is only a bonus and a missing value counts as alike, so no column keeps two cases apart: all meet in the
+    cells of a grid, where steps of rows whose bound is under ``least`` are left out.
     """
-    width = max(1.0, (120 - least) / 0.4)
-    columns = [c for c in cases.columns if c != "case_id"]
-    bucket = F.floor(F.col("trust_score") / width).cast("int")
-    a = prefixed(cases.withColumn("bucket", bucket), "a_").withColumn("meet", F.explode(F.array(F.col("a_bucket"), F.col("a_bucket") + 1)))
-    b = prefixed(cases.withColumn("bucket", bucket), "b_")
-    both = a.join(b, (F.col("a_context") == F.col("b_context")) & (F.col("meet") == F.col("b_bucket"))).where((F.col("a_bucket") < F.col("b_bucket")) | (F.col("a_case_id") < F.col("b_case_id")))
-    scored = both.select(F.col("a_case_id").alias("x"), F.col("b_case_id").alias("y"), similarity("a_", "b_", columns).alias("similarity")).where(F.col("similarity") >= least)
-    return scored.select(F.least("x", "y").alias("case_id"), F.greatest("x", "y").alias("other_id"), "similarity")
+    names, rows = plain_features(cases.where("case_id IS NOT NULL"), ["case_id"])
+    rows, floor, id_type = rows.select(F.col("case_id"), *([F.col(within).cast("string").alias("_within")] if within else []), *names), round(least * 10), cases.schema["case_id"].dataType
+    others = rows.withColumnRenamed("case_id", "other_id")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = arrays(a, b)
+        ids = np.array(a["case_id"].to_pylist()), np.array(b["other_id"].to_pylist())
+        groups = [np.array(t["_within"].to_pylist(), object) for t in (a, b)] if within else []
+        empty = np.zeros(0, np.int64)
+        blocks, out = steps(y), [(empty, empty, empty)]
+        for one in steps(x):
+            p = picked(x, one)
+            for two in blocks:
+                q = picked(y, two)
+                if bound(p, q) < floor:
+                    continue
+                score = tenths(p, q)
+                ok = (score >= floor) & (ids[0][one][:, None] < ids[1][two][None])
+                if within:
+                    left = groups[0][one][:, None]
+                    ok &= (left == groups[1][two][None]) & (left != None)  # noqa: E711
+                i, j = np.nonzero(ok)
+                out.append((one[i], two[j], score[i, j]))
+        i, j, score = (np.concatenate(v) for v in zip(*out))
+        return pa.table({"case_id": a["case_id"].take(pa.array(i)), "other_id": b["other_id"].take(pa.array(j)), "tenths": pa.array(score)})
+
+    found = in_cells(rows, others, "case_id", "other_id", PAIR_CELL, meet, f"case_id {id_type.simpleString()}, other_id {id_type.simpleString()}, tenths long")
+    return found.select("case_id", "other_id", (F.col("tenths").cast("decimal(9,0)") / 10).cast("decimal(9,1)").alias("similarity"))
 
 
 def feature_vectors(documents: DataFrame, findings: DataFrame) -> DataFrame:

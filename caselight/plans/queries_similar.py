@@ -58,7 +58,8 @@ register("w5_rank_in_all", lambda t: _nearest(t), _TOP_ALL)
 register("k3_best_of_all", lambda t: M.best_match(_nearest(t)), _BEST_ALL)
 register("k5_fraud_of_all", lambda t: M.best_match(_nearest(t)).where("is_fraud").select("case_id", F.lit("KNN").alias("layer_source"), F.lit("LOW").alias("severity")), f"SELECT case_id, 'KNN' AS layer_source, 'LOW' AS severity FROM ({_BEST_ALL}) WHERE is_fraud")
 _PAIR = f"SELECT f.case_id, g.case_id AS other_id, {_score('f', 'g')} AS similarity FROM <features> f JOIN <features> g ON f.context = g.context AND f.case_id < g.case_id"
-register("x9_other_cases", lambda t: M.neighbours(t.features, 105 - 6), f"SELECT * FROM ({_PAIR}) WHERE similarity >= 99")
+register("x9_other_cases", lambda t: M.neighbours(t.features, 105 - 6, "context"), f"SELECT * FROM ({_PAIR}) WHERE similarity >= 99")
+register("x9_all_cases", lambda t: M.neighbours(t.features), f"SELECT * FROM (SELECT f.case_id, g.case_id AS other_id, {_score('f', 'g')} AS similarity FROM <features> f JOIN <features> g ON f.case_id < g.case_id) WHERE similarity >= 60")
 
 
 def _vectors(t):

@@ -34,3 +34,24 @@ def test_completed_cases_and_the_repository_are_searched(spark, monkeypatch):
             want |= {(case, ref, label, -s, k) for k, (s, _, ref) in enumerate(best, 1)}
     got = {tuple(r) for r in M.nearest(all_cases, refs).collect()}
     assert got == want and any(not r[1].startswith("ref-") for r in got)
+
+
+def test_cases_of_other_or_no_context_are_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(M, "STEP", 7)
+    monkeypatch.setattr(M, "PAIR_CELL", 13)
+    some = cases(spark)
+    columns = [c for c in some.columns if c != "case_id"]
+    pairs = M.prefixed(some, "a_").join(M.prefixed(some, "b_"), F.col("a_case_id") < F.col("b_case_id"))
+    want = {tuple(r) for r in pairs.select("a_case_id", "b_case_id", M.similarity("a_", "b_", columns).alias("s")).collect()}
+    for least in (60, 99):
+        assert {tuple(r) for r in M.neighbours(some, least).collect()} == {r for r in want if r[2] >= least}
+    twins = spark.createDataFrame([(k, D(50), D(90), D(80), "iText", 1, True, c) for k, c in enumerate(["A", "B", None])], some.schema)
+    assert M.neighbours(twins, 99).count() == 3
+    assert M.neighbours(twins, 99, "context").count() == 0
+
+
+def test_few_cases_leave_cells_empty(spark):
+    one = cases(spark, 1)
+    refs = M.candidates(spark, one, one, one)
+    assert {r[1][:4] for r in M.nearest(one, refs).collect()} == {"ref-"}
+    assert M.nearest(one.limit(0), refs).count() == M.neighbours(one).count() == 0
