@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import working_on
 
-#: The model is fitted on at most this many labelled rows, and on at most this many windows of each.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 4000, 24
+#: The model is fitted on at most this many labelled rows, each with its whole text.
+SAMPLE_ROWS = 4000
 WINDOW, STRIDE = 32, 24
 THRESHOLD = 0.7
 CHARS, CHAR_KINDS, CHAR_DIM, CHAR_STATE = 10, 160, 8, 8
@@ -372,15 +372,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Mode
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, toxic, text in zip(*(batch.column(c) for c in ("doc_id", "toxic", "text"))):
-                words = words_of(text.as_py())
-                spans = windows_of(len(words))
-                step = max(1, len(spans) // SAMPLE_WINDOWS)
-                spans = spans[::step][:SAMPLE_WINDOWS]
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([toxic.as_py()], pa.int32()), pa.array(["\n".join(" ".join(words[a:b]) for a, b in spans)])], ["doc_id", "toxic", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([toxic.as_py()], pa.int32()), pa.array([" ".join(words_of(text.as_py()))])], ["doc_id", "toxic", "words"])
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")  # at most ``sample`` rows
-    rows = sorted((r.doc_id, r.toxic, r.windows) for r in joined.mapInArrow(cut, "doc_id long, toxic int, windows string").collect())
-    return fit([[w.split(" ") if w else [] for w in r[2].split("\n")] for r in rows], np.array([r[1] for r in rows]))
+    rows = sorted((r.doc_id, r.toxic, r.words) for r in joined.mapInArrow(cut, "doc_id long, toxic int, words string").collect())
+    pool: dict[str, str] = {}
+    texts = [[pool.setdefault(w, w) for w in r[2].split()] for r in rows]  # equal words are one object
+    return fit([[t[a:b] for a, b in windows_of(len(t))] for t in texts], np.array([r[1] for r in rows]))
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:

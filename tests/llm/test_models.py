@@ -110,6 +110,15 @@ def test_toxicity_on_awkward_rows(spark, monkeypatch):
     assert X.keep_clean(documents(spark), labels(spark)).columns == documents(spark).columns
 
 
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(X, "fit", lambda texts, toxic: seen.append((texts, toxic)))
+    ids = [k for k in range(99) if crc32(str(k).encode()) % 3 != 1][:4]
+    rows = [(k, " ".join(f"w{i}" for i in range(n))) for k, n in zip(ids, (30, 800, 1000, 5000))]
+    X.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, n % 2) for n, k in enumerate(ids)], "doc_id long, toxic int"))
+    assert [{w for x in t for w in x} for t in seen[0][0]] == [set(text.split()) for _, text in rows]
+
+
 TURNS = "conv_id long, turn long, role string, text string, block string, place string, recovered string"
 
 
