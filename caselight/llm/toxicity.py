@@ -23,8 +23,11 @@ from .shared import working_on
 
 #: The model is fitted on at most this many labelled rows, each with its whole text.
 SAMPLE_ROWS = 4000
-WINDOW, STRIDE = 32, 24
+#: A window starts every ``STRIDE`` words, so a passage of up to WINDOW - STRIDE + 1 = 17 words is whole in one of them.
+WINDOW, STRIDE = 32, 16
 THRESHOLD = 0.7
+#: A longer word is read in pieces of ``CHARS`` that start every ``PIECE`` characters.
+PIECE = 5
 CHARS, CHAR_KINDS, CHAR_DIM, CHAR_STATE = 10, 160, 8, 8
 WORD_KINDS, WORD_DIM, WORD_STATE, ATTENTION = 8192, 8, 8, 8
 WORDS = re.compile(r"\w+")
@@ -38,7 +41,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
+    """Words in order; one of over ``CHARS`` characters as overlapping pieces that hold all of them."""
+    found = WORDS.findall((text or "").lower())
+    if max(map(len, found), default=0) <= CHARS:
+        return found
+    return [p for w in found for p in ((w,) if len(w) <= CHARS else (w[k : k + CHARS] for k in (*range(0, len(w) - CHARS, PIECE), len(w) - CHARS)))]
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -47,7 +54,7 @@ def windows_of(n: int) -> list[tuple[int, int]]:
 
 
 def char_codes(words: list[str]) -> np.ndarray:
-    """Kinds of the first characters of each word; 0 pads."""
+    """Kinds of the characters of each word, which has ``CHARS`` at most; 0 pads."""
     points = np.array(words or [""], f"U{CHARS}").view(np.uint32).reshape(-1, CHARS)[: len(words)].astype(np.int64)
     return np.where(points < 128, points, 128 + points % 32)
 

@@ -119,6 +119,16 @@ def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
     assert [{w for x in t for w in x} for t in seen[0][0]] == [set(text.split()) for _, text in rows]
 
 
+def test_all_characters_and_passages_are_read():
+    assert X.words_of("Short einundzwanzigste") == ["short", "einundzwan", "dzwanzigst", "zwanzigste"]
+    for text in ("a" * 10, "abcdefghijk", "".join(chr(97 + k % 26) for k in range(97)), "日本語" * 40):
+        got = X.words_of(text)
+        assert all(len(p) <= X.CHARS for p in got) and all(any(text[k : k + 6] in p for p in got) for k in range(len(text) - 5))
+    assert not np.array_equal(X.char_codes(X.words_of("abcdefghijklm")), X.char_codes(X.words_of("abcdefghijxyz")))
+    for n in (17, 33, 56, 1000):
+        assert all(any(a <= k and k + 17 <= b for a, b in X.windows_of(n)) for k in range(n - 16))
+
+
 TURNS = "conv_id long, turn long, role string, text string, block string, place string, recovered string"
 
 
