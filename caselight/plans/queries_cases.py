@@ -90,6 +90,19 @@ _PLACES = """WITH w AS (SELECT * FROM <words>), t AS (SELECT DISTINCT doc_id, wo
 register("e25_term_places", _places, _PLACES)
 register("e26_regions", lambda t: fields.regions(_places(t), t.spark.createDataFrame([("Amount", "HIGH", "Altered amount"), ("Date", "MEDIUM", "Altered date")], "category string, severity string, signal string")),
          f"SELECT doc_id, page, x, y, CASE category WHEN 'Amount' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE category WHEN 'Amount' THEN 'Altered amount' ELSE 'Altered date' END AS signal, term AS text FROM ({_PLACES})")
+
+
+def _all_places(t):
+    """Terms of all words."""
+    words = t.words
+    terms = words.where("length(word) >= 9").select("doc_id", F.col("word").alias("term"), F.when(F.length("word") >= 12, "Amount").otherwise("Date").alias("category")).distinct()
+    return fields.term_places(terms, words)
+
+
+_ALL_PLACES = _PLACES.replace(" AND pos % 3 = 0", "")
+register("e25_all_places", _all_places, _ALL_PLACES)
+register("e26_all_regions", lambda t: fields.regions(_all_places(t), t.spark.createDataFrame([("Amount", "HIGH", "Altered amount"), ("Date", "MEDIUM", "Altered date")], "category string, severity string, signal string")),
+         f"SELECT doc_id, page, x, y, CASE category WHEN 'Amount' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE category WHEN 'Amount' THEN 'Altered amount' ELSE 'Altered date' END AS signal, term AS text FROM ({_ALL_PLACES})")
 register("r1_incremental_intake", lambda t: flows.intake_of(t.table("documents"), t.sf_dir), "SELECT min(doc_id) AS doc_id, sha256(text) AS content_key FROM documents GROUP BY 2")
 register("r2_status_stream", lambda t: flows.status_of(t.sf_dir, t.spark), f"SELECT case_id, progress, status FROM ({_LATEST})")
 register("r3_balance_stream", lambda t: flows.balances_of(t.rows), """SELECT doc_id, row_no, kind FROM (SELECT *, CASE WHEN prev IS NULL THEN NULL WHEN abs(prev - amount - balance) <= 0.5 THEN 'debit' WHEN abs(prev + amount - balance) <= 0.5 THEN 'credit' ELSE 'error' END AS kind FROM (SELECT *, lag(balance) OVER (PARTITION BY doc_id ORDER BY page, row_no) AS prev FROM <rows>))""")

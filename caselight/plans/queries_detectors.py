@@ -105,6 +105,7 @@ register("a12_font_families", lambda t: D.font_findings(t.spans).where("name = '
 register("a13_mixed_fonts", lambda t: D.font_findings(t.spans).where("name = 'Mixed Font Origin'"), f"SELECT doc_id, 'Mixed Font Origin' AS name, 'HIGH' AS severity FROM ({_FAM}) WHERE consumer AND bank")
 _ODD = "WITH k AS (SELECT doc_id % 50 AS doc_id, size + CASE WHEN page = 7 THEN 6 ELSE 0 END AS size, count(*) AS n FROM <spans> GROUP BY 1, 2), m AS (SELECT doc_id, arg_max(size, n * 1000 - size) AS main, sum(n) AS total FROM k GROUP BY doc_id) SELECT k.doc_id, size, n, main FROM k JOIN m ON k.doc_id = m.doc_id WHERE abs(size - main) > 2 AND n < total * 0.05"
 register("a14_odd_sizes", lambda t: D.odd_sizes(t.spans.withColumn("doc_id", F.col("doc_id") % 50).withColumn("size", F.col("size") + F.when(F.col("page") == 7, 6).otherwise(0))), _ODD)
+register("a14_all_sizes", lambda t: D.odd_sizes(t.spans.withColumn("size", F.col("size") + F.when(F.col("page") == 7, 6).otherwise(0))), _ODD.replace("doc_id % 50 AS doc_id", "doc_id"))
 
 
 def _gated(t):
