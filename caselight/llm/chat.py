@@ -15,8 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .jaccard import runs
-from .shared import materialise
+from .shared import materialise, runs
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Names that transcripts give to speakers.

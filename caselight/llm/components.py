@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import materialise
+from .shared import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialise(small, "edges")
+        old, edges = edges, materialise(small, "edges")
+        discard(old)
         before, state = state, _state(edges)
         if state == before:
             break

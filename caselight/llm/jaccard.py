@@ -1,359 +1,212 @@
 """N-gram Jaccard join: documents whose word-shingle sets are alike, and the groups that such links make.
 
-How it stays exact and small:
-
-1. *Candidates.* If two sets differ in at most D elements, and the space of shingle hashes is cut into more than D
-   ranges, the sets agree in a range. Sets of like sizes share a level with its own D; each emits one key per range
-   that it has elements in. Ranges that are empty in a set cannot tell it from others, so a set with more empty
-   ranges than the level has to spare emits keys for another cut as well, and in the end for its first shingles.
-   A passage that many documents share rarely fills a range alone, so it makes few candidates.
-2. *Stars.* In each key's group all documents are paired with the smallest one only.
-3. *Bounds.* Parity bitmaps give a lower bound of the difference and drop most pairs.
-4. *Prefix tree.* The sets to be held against one document are stored in a trie over the global order of shingles.
-   It is walked once: what common beginnings overlap is counted once, and a subtree is left as soon as what remains
-   is too short to reach the threshold.
-5. *Rest.* Groups of keys whose members are in different components by then are paired in blocks, under the same
-   bounds and through the same tree, so that no link between components is missed.
+A prefix-tree join over all documents, distributed:
+
+1. *Document frequencies.* How many of its shingles a document shares with others is counted exactly (``winnow``). Most
+   documents share too few to link with anything; no pair is ever made of them.
+2. *Global order.* The shingles of the others are ordered from rare to frequent. Two sets that link have a shingle in
+   common among the first ``n - ceil(t n) + 1`` of each, their prefixes.
+3. *Shards.* Documents that meet in a prefix shingle go to the shard of the smallest of them. So every link lies whole
+   in a shard.
+4. *Trees.* A shard stores its ordered sets in a trie and walks it with all of them at once: overlaps of common
+   beginnings are counted once, subtrees are left by remaining-length bounds (``trie``). Sets that links have joined
+   already are not compared again, so a large group of near copies costs little more than a comparison each.
+5. *Large shards* are dealt in blocks. What stays in different groups after that is compared across the blocks, the
+   sets outside the shard's largest group against all others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
-from .shared import MEMOS, materialise, working_on
-
-U = np.uint64
-SEEDS = 6
-LEVEL_RATIO = 1.3
-BLOCK = 2048
-WORD_MEMO = 400_000
-BATCH_ROWS = 512
-SET_ROW = "doc_id long, n_shingles long, digest binary, bits binary, keys array<long>"
-
-
-@dataclass(frozen=True)
-class Likeness:
-    """Two sets link when ``den * |A and B| >= num * |A or B|``; shingles have ``words`` words."""
-
-    words: int = 4
-    num: int = 85
-    den: int = 100
-
-    def difference(self, total):
-        """The most elements in which linked sets of this total size differ."""
-        return total - 2 * -(-self.num * total // (self.num + self.den))
-
-    def overlap(self, total):
-        """The least common elements of linked sets of this total size."""
-        return -(-self.num * total // (self.num + self.den))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (multiply, shift, xor), vectorised."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = WordHashes()
-MEMOS["words"] = _WORDS.clear
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a whole text."""
-    split = (text or "").encode().lower().split()
-    if not split:
-        return np.zeros(0, U)
-    if len(_WORDS) > WORD_MEMO:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, split), U, len(split))
-    width = min(words, len(h))
-    run = np.full(len(h) - width + 1, U(width))
-    for k in range(width):
-        run = mix(run * U(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
-    return np.unique(run)
-
-
-@lru_cache(maxsize=16)
-def level_bounds(upto: int) -> tuple[int, ...]:
-    bounds = [1]
-    while bounds[-1] <= upto:
-        bounds.append(max(bounds[-1] + 1, int(np.ceil(bounds[-1] * LEVEL_RATIO))))
-    return tuple(bounds)
-
-
-@lru_cache(maxsize=512)
-def level_cut(level: int, like: Likeness) -> tuple[int, int, np.ndarray]:
-    """(largest size of a level's smaller set, ranges to spare, bounds of the ranges)."""
-    bounds = level_bounds(1 << 20)
-    while len(bounds) < level + 2:
-        bounds = level_bounds(bounds[-1] * 1024)
-    top = bounds[level + 1] - 1
-    most = int(like.difference(top + top * like.den // like.num))
-    spare = 1 + most // 32 if most >= 2 else 0
-    ranges = most + 1 + spare
-    return top, spare, np.array([(j << 64) // ranges for j in range(1, ranges)], U)
-
-
-def keys_of(elements: np.ndarray, like: Likeness) -> np.ndarray:
-    n = len(elements)
-    bounds = level_bounds(max(1 << 20, n))
-    own, found = int(np.searchsorted(bounds, n, "right")) - 1, []
-    for level in (own, own - 1):
-        if level < 0:
-            continue
-        top, spare, cuts = level_cut(level, like)
-        if level < own and n * like.num > top * like.den:
-            continue  # too large for any set of the lower level
-        for seed in range(SEEDS):
-            values = elements if not seed else np.sort(mix(elements ^ mix(np.array([seed * 7919], U))))
-            ends = np.concatenate([[0], np.searchsorted(values, cuts), [n]])
-            sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(values + U(1)), dtype=U)])
-            full = np.flatnonzero(ends[1:] > ends[:-1])
-            tag = mix(np.array([level * 64 + seed], U)) + full.astype(U)
-            found.append(mix((sums[ends[full + 1]] - sums[ends[full]]) + mix(tag)))
-            if len(ends) - 1 - len(full) <= spare:
-                break
-        else:
-            first = n - int(-(-like.num * n // like.den)) + 1
-            found.append(mix(elements[:first] + mix(np.array([level * 64 + 63], U))))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, U)
-
-
-def bits_of(elements: np.ndarray) -> bytes:
-    """Each element flips one of at least 256 bits; the width is a power of two, so that a wider one folds to a narrower."""
-    width = max(256, 1 << int(np.ceil(np.log2(max(1, len(elements)) * 1.25))))
-    flips = np.bincount((mix(elements ^ U(0x5851F42D4C957F2D)) & U(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
-
-
-def fold(bits: np.ndarray, words: int) -> np.ndarray:
-    """Rows of 64-bit words, folded to ``words`` words a row."""
-    while bits.shape[1] > words:
-        half = bits.shape[1] // 2
-        bits = bits[:, :half] ^ bits[:, half:]
-    return bits
-
-
-def describe(docs: DataFrame, like: Likeness) -> DataFrame:
-    """Set size, digest, bitmap and candidate keys of every row; sets without elements have no digest and no keys."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        working_on("words")
-        for big in batches:
-            for at in range(0, big.num_rows, BATCH_ROWS):
-                batch, sizes, digests, bits, keys = big.slice(at, BATCH_ROWS), [], [], [], []
-                for text in batch.column("text"):
-                    s = shingle_set(text.as_py(), like.words)
-                    sizes.append(len(s))
-                    digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    bits.append(bits_of(s) if len(s) else None)
-                    keys.append(keys_of(s, like).view(np.int64))
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bits", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, SET_ROW)
-
-
-def bounded(pairs: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) with their sizes and bitmaps (n_a, bits_a, n_b, bits_b) that the bitmaps do not rule out."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for n_a, n_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))):
-                x, y = (np.frombuffer(b, U)[None, :] for b in (x, y))
-                words = min(x.shape[1], y.shape[1])
-                good.append(int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()) <= like.difference(n_a + n_b))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+from .shared import discard, free_name, materialise, runs
+from .shingles import U
+from .trie import Likeness, join
+from .winnow import describe, described_sets, slices
 
-    fits = pairs.where(F.least("n_a", "n_b") * like.den >= F.greatest("n_a", "n_b") * like.num)
-    return fits.mapInArrow(keep, "a long, b long")
+__all__ = ["Likeness", "jaccard_groups", "keep_first"]
 
+#: Sets and bytes of a block of a shard.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: An order number is the binary logarithm of a shingle's document frequency, then the upper bits of its hash.
+ORDER = "shiftleft(cast(floor(log2(df)) as bigint), 57) | shiftrightunsigned(h, 7)"
+SET_ROW = "node long, n long, elements binary, weight long, prefix array<long>"
 
-class PrefixTree:
-    """Sets over one global order, as the paths of a tree.
 
-    Sets in lexicographic order are the tree in depth-first order: the common beginning with the set before is the
-    path that both share. ``matches`` walks that order once for a probe and keeps, for each depth of the path walked,
-    the overlap so far and the probe's place.
-    """
+def _needed(like: Likeness) -> str:
+    return f"((n * {like.num} + {like.den} - 1) div {like.den})"
+
 
-    STEP = 64
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
-        self.sets = [sets[k] for k in self.order]
-        self.shared = [0] + [self._common(x, y) for x, y in zip(self.sets, self.sets[1:])]
-
-    @staticmethod
-    def _common(x: np.ndarray, y: np.ndarray) -> int:
-        n = min(len(x), len(y))
-        differ = x[:n] != y[:n]
-        return int(differ.argmax()) if differ.any() else n
-
-    def matches(self, probe: np.ndarray, like: Likeness) -> list[int]:
-        """Numbers of the sets that link with the probe."""
-        found, walked = [], 0
-        overlap, place = np.zeros(1, np.int64), np.zeros(1, np.int64)  # at depth 0, 1, ... of the path walked
-        for k, path in enumerate(self.sets):
-            walked = min(walked, self.shared[k])
-            needed, size = int(like.overlap(len(path) + len(probe))), len(path)
-            if len(overlap) <= size:
-                overlap, place = (np.concatenate([x, np.zeros(size + 1, np.int64)]) for x in (overlap, place))
-            while overlap[walked] + min(size - walked, len(probe) - place[walked]) >= needed:
-                if walked == size:
-                    found.append(self.order[k])
-                    break
-                some = path[walked : walked + self.STEP]
-                at = np.searchsorted(probe, some)
-                hit = (at < len(probe)) & (probe[np.minimum(at, len(probe) - 1)] == some)
-                here = slice(walked + 1, walked + 1 + len(some))
-                overlap[here] = overlap[walked] + np.cumsum(hit)
-                place[here] = at + hit
-                walked += len(some)
-        return found
-
-
-def verified(pairs: DataFrame, docs: DataFrame, like: Likeness, purpose: str) -> DataFrame:
-    """Those of the pairs (a, b) that link. Each b's partners are held against it in blocks, one tree a block."""
-    pairs = materialise(pairs, purpose)
-    blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(BLOCK // 4)).cast("int").alias("blocks"))
-    dealt = pairs.join(blocks, "b").select("b", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), "a")
-    members = dealt.select("b", "block", F.col("a").alias("doc_id")).union(dealt.select("b", "block", F.col("b").alias("doc_id")).distinct())
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def ordered_sets(docs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """(node, n, elements, weight, prefix) of the classes (node, digest, id, n) that can link with another: the order
+    numbers of the shingles that other classes have as well, ascending, and those of them in the prefix."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working_on("words")
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([shingle_set(t.as_py(), like.words).tobytes() for t in some.column("text")], pa.binary())], ["doc_id", "elements"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(to_sets, "doc_id long, elements binary")
-
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (b, _), rows in runs(batches, ("b", "block")):
-            sets = {}
-            for doc_id, x in zip(rows["doc_id"], rows["elements"]):
-                sets[doc_id] = np.frombuffer(x, U)
-            probe = sets.pop(b, None)
-            if probe is None:
-                continue
-            names = list(sets)
-            linked = [names[k] for k in PrefixTree(list(sets.values())).matches(probe, like)]
-            yield pa.RecordBatch.from_arrays([pa.array(linked, pa.int64()), pa.array([b] * len(linked), pa.int64())], ["u", "v"])
-
-    grouped = members.join(sets, "doc_id").select("b", "block", "doc_id", "elements").repartition("b", "block").sortWithinPartitions("b", "block")
-    return grouped.mapInArrow(hold, "u long, v long")
-
-
-def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, list]]]:
-    """Runs of rows with equal keys in sorted batches; a run may lie in several batches."""
-    now, held = None, None
-    for batch in batches:
-        columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-        names = list(zip(*(columns[k] for k in keys)))
-        start = 0
-        for k in range(1, len(names) + 1):
-            if k < len(names) and names[k] == names[start]:
-                continue
-            if names[start] != now:
-                if now is not None:
-                    yield now, held
-                now, held = names[start], {c: [] for c in columns}
-            for c, values in columns.items():
-                held[c] += values[start:k]
-            start = k
-    if now is not None:
-        yield now, held
-
-
-def across(members: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) within the key groups whose members (key, doc_id, label, n, bits) differ in label and which the
-    bitmaps do not rule out. Groups are dealt in blocks of a bounded size; each two blocks meet once."""
-    sized = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "doc_id", "label", "n", "bits")
+            for some in slices(batch):
+                elements, bounds, digests = described_sets(some, like.words)
+                sets = [elements[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "elements"])
+
+    def to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, elements in zip(batch.column("node").to_pylist(), batch.column("elements").to_pylist()):
+                h = np.frombuffer(elements, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h)], ["node", "h"])
+
+    def to_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[], [], [], [], []]
+            for node, n, numbers in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("numbers")):
+                order = np.unique(numbers.values.to_numpy())
+                prefix = like.spare(n) + 1 - (n - len(order))  # shingles that no other set has come first
+                if prefix > 0:
+                    for column, value in zip(columns, (node, n, order.tobytes(), order.nbytes, order[:prefix])):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())))], ["node", "n", "elements", "weight", "prefix"])
+
+    texts = docs.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(to_sets, "id long, digest binary, elements binary").join(classes.drop("n"), ["id", "digest"])
+    sets = materialise(sets.select("node", "elements"), "sets")
+    rows = sets.mapInArrow(to_rows, "node long, h long")
+    frequencies = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    numbers = rows.join(frequencies, "h").select("node", F.expr(ORDER).alias("number")).groupBy("node").agg(F.collect_list("number").alias("numbers"))
+    ordered = materialise(numbers.join(classes.select("node", "n"), "node").mapInArrow(to_order, SET_ROW), "ordered")
+    discard(sets)
+    return ordered
+
+
+def joined(units: DataFrame, ordered: DataFrame, like: Likeness) -> DataFrame:
+    """Links (u, v) between the sets of each unit: rows (hub, low, high, node, label, leaf, probe)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in runs(batches, ("key", "low", "high")):
-            doc, label, n = (np.array(rows[c], np.int64) for c in ("doc_id", "label", "n"))
-            if len(doc) < 2 or (label == label[0]).all():
-                continue
-            arrays = [np.frombuffer(b, U)[None, :] for b in rows["bits"]]
-            words = min(x.shape[1] for x in arrays)
-            bits = np.concatenate([fold(x, words) for x in arrays])
-            left, right = [], []
-            for k in range(len(doc) - 1):
-                rest = slice(k + 1, None)
-                good = (label[rest] != label[k]) & (np.bitwise_count(bits[rest] ^ bits[k]).sum(1) <= like.difference(n[rest] + n[k]))
-                good &= np.minimum(n[rest], n[k]) * like.den >= np.maximum(n[rest], n[k]) * like.num
-                hits = np.flatnonzero(good) + k + 1
-                left.append(doc[hits])
-                right.append(np.full(len(hits), doc[k]))
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+        for _, rows in runs(batches, ("hub", "low", "high")):
+            sets = [np.frombuffer(x, U) for x in rows["elements"]]
+            label = np.array(rows["label"], np.int64)
+            links = [] if (label == label[0]).all() else join(sets, np.array(rows["n"], np.int64), like, label, np.array(rows["leaf"], bool), np.array(rows["probe"], bool))
+            pairs = [(rows["node"][a], rows["node"][b]) for a, b in links]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    grouped = units.join(ordered.select("node", "n", "elements"), "node").repartition("hub", "low", "high").sortWithinPartitions("hub", "low", "high")
+    return grouped.mapInArrow(meet, "u long, v long")
+
+
+def _blocks(rows: Column, weight: Column) -> Column:
+    return F.greatest(F.ceil(rows / F.lit(BLOCK)), F.ceil(weight / F.lit(BLOCK_BYTES))).cast("int")
+
+
+def _spread(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+
+def links(ordered: DataFrame, like: Likeness) -> DataFrame:
+    """Links (u, v) between ordered sets, enough of them to join all that links join."""
+    keys = ordered.select("node", "weight", F.explode("prefix").alias("key"))
+    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("rows")).where("rows > 1").select("key", "hub")
+    members = materialise(keys.join(hubs, "key").groupBy("hub", "node").agg(F.first("weight").alias("weight")), "members")
+    shards = members.groupBy("hub").agg(_blocks(F.count("*"), F.sum("weight")).alias("blocks"))
+    dealt = members.join(shards, "hub")
+    own = dealt.where("node <> hub").withColumn("low", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = own.select("hub", "low", "node").union(dealt.where("node = hub").select("hub", _spread("blocks").alias("low"), "node"))
+    units = units.select("hub", "low", F.col("low").alias("high"), "node", F.col("node").alias("label"), F.lit(True).alias("leaf"), F.lit(True).alias("probe"))
+    found = materialise(joined(units, ordered, like), "links")
+
+    large = dealt.where("blocks > 1").select("hub", "node", "weight")
+    if not large.isEmpty():
+        more = materialise(joined(_across(large, components(found)), ordered, like), "more-links")
+        found = found.union(more)
+    return found
+
+
+def _across(members: DataFrame, named: DataFrame) -> DataFrame:
+    """Units of shards (hub, node, weight) in several blocks and several groups (node, component): the rows outside a
+    shard's largest group against those in it, and against each other. Each two blocks meet once."""
+    members = members.join(named, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    main = members.groupBy("hub", "label").agg(F.count("*").alias("rows")).groupBy("hub").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    members = materialise(members.join(main, "hub").select("hub", "node", "label", "weight", (F.col("label") != F.col("main")).alias("odd")), "large-shards")
+    blocks = members.groupBy("hub").agg(*(_blocks(F.sum(side.cast("int")), F.sum(F.when(side, F.col("weight")).otherwise(0))).alias(name) for name, side in (("odds", F.col("odd")), ("mains", ~F.col("odd")))))
+    members = members.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("odd"), F.col("odds")).otherwise(F.col("mains"))).cast("int"))
+    odd, rest = members.where("odd"), members.where("NOT odd")
+    picked = ["hub", "low", "high", "node", "label", "leaf", "probe"]
+    no, yes = F.lit(False), F.lit(True)
+    apart = odd.withColumn("other", _spread("odds"))
+    apart = apart.select("hub", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "label", yes.alias("leaf"), yes.alias("probe"))
+    walking = odd.withColumn("low", _spread("mains")).select("hub", "low", (-1 - F.col("own")).alias("high"), "node", "label", no.alias("leaf"), yes.alias("probe"))
+    standing = rest.withColumn("other", _spread("odds")).select("hub", F.col("own").alias("low"), (-1 - F.col("other")).alias("high"), "node", "label", yes.alias("leaf"), no.alias("probe"))
+    return apart.union(walking.select(*picked)).union(standing.select(*picked))
+
+
+def text_groups(docs: DataFrame, like: Likeness) -> DataFrame:
+    """(doc_id, n_shingles, digest, first) of every row: ``first`` is the struct (doc_id, digest) of the row with the
+    smallest doc_id in the row's group of linked texts; null where the text links with no other row's."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    described = describe(docs, like.words)
+    known = described.where("doc_id IS NOT NULL AND n_shingles > 0").withColumnRenamed("n_shingles", "n")
+    classes = known.where(f"lone <= n - {_needed(like)}").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    ordered = ordered_sets(docs, classes, like)
+    named = components(links(ordered, like))
+    groups = classes.join(named, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("group"))
+    firsts = groups.groupBy("group").agg(F.min(F.struct(F.col("id").alias("doc_id"), "digest")).alias("first"))
+    firsts = materialise(groups.join(firsts, "group").select("digest", "first"), "groups")
+    discard(ordered)
+    discard(classes)
+    return described.join(firsts, "digest", "left").select("doc_id", "n_shingles", "digest", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
 
 
 def jaccard_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs``.
 
     Nulls: a null text has no shingles; a row without doc_id links with nothing and its component is null. Empty
-    texts are in a component of their own. Rows that repeat a doc_id count as one document for linking. Ties cannot
-    occur: a component is named by its smallest doc_id. Empty table: an empty result. Texts are used whole. Other
-    columns are not read.
+    texts are in a component of their own. Rows that repeat a doc_id are one document: what links with any of them is
+    in its component. Ties cannot occur: a component is named by its smallest doc_id. Empty table: an empty result.
+    Texts are used whole, of any length. Other columns are not read, whatever their names.
     """
-    described = materialise(describe(docs, like), "shingles")
-    known = described.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    copies = materialise(known.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id").distinct(), "classes")
-    moved = copies.where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-
-    group = Window.partitionBy("key")
-    keyed = known.join(moved.select("doc_id").hint("merge"), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
-    keyed = keyed.withColumn("b", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group)).where("b <> most")
-    members = materialise(keyed.select("key", "doc_id", "b"), "members")
-    stats = known.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "bits"), "n_shingles").alias("s")).select("doc_id", F.col("s.n_shingles").alias("n"), F.col("s.bits").alias("bits"))
-
-    stars = materialise(members.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "stars")
-    pairs = stars
-    pairs = pairs.join(stats.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
-    pairs = pairs.join(stats.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
-    links = materialise(verified(bounded(pairs, like), docs, like, "star-pairs"), "star-links")
-    labels = materialise(components(links), "labels")
-
-    named = labels.withColumnRenamed("component", "label")
-    apart = stars.join(named.withColumnRenamed("node", "a"), "a", "left").withColumn("of_a", F.coalesce("label", "a")).drop("label")
-    apart = apart.join(named.withColumnRenamed("node", "b"), "b", "left").where(F.coalesce("label", "b") != F.col("of_a")).select(F.col("a").alias("doc_id"), "b")
-    mixed = materialise(members.join(apart, ["doc_id", "b"]).select("key").distinct(), "mixed-keys")
-    rest = members.join(mixed, "key", "left_semi").select("key", "doc_id").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    rest = rest.withColumn("label", F.coalesce("label", "doc_id")).join(stats, "doc_id")
-    more = materialise(verified(across(rest, like), docs, like, "cross-pairs"), "cross-links")
-    if more.isEmpty():
-        final = labels
-    else:
-        final = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-    named = copies.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("component"))
-    return described.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = text_groups(docs, like).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+    known = rows.where("doc_id IS NOT NULL")
+    repeated = known.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low <> high")
+    if repeated.isEmpty():
+        return rows
+    named = components(known.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))).select(F.col("node").alias("doc_id"), "component")
+    return rows.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """The rows of ``docs`` without those that a row of a smaller doc_id stands for: of each group of linked texts one
+    row stays.
+
+    Nulls: rows without doc_id, without text or with an empty text all stay. Ties: of rows with equal doc_id and linked
+    texts one stays, which of them is not defined if only other columns differ. A row that repeats a doc_id with a text
+    of its own stays. Empty table: an empty result. Texts are used whole. Columns keep their names, order and values.
+    """
+    rows = materialise(text_groups(docs, like), "text-groups")
+    known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    stays = F.col("first").isNull() | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.digest") == F.col("digest")))
+    gone = known.where(~stays).select("doc_id").distinct()
+    repeated = materialise(known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    key = free_name("document", docs.columns)
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    kept = keyed.join(gone.withColumnRenamed("doc_id", key), key, "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    plain = keyed.join(gone.union(repeated).distinct().withColumnRenamed("doc_id", key), key, "left_anti").select(*docs.columns)
+
+    mark = free_name("digest", [*docs.columns, key])
+
+    def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch):
+                yield some.append_column(mark, pa.array(described_sets(some, like.words)[2], pa.binary()))
+
+    several = keyed.join(repeated.withColumnRenamed("doc_id", key), key, "left_semi")
+    several = several.mapInArrow(with_digest, StructType([*several.schema.fields, StructField(mark, BinaryType())]))
+    empty = several.where(F.col(mark).isNull()).select(*docs.columns)
+    firsts = known.where(stays).select(F.col("doc_id").alias(key), F.col("digest").alias(mark)).distinct()
+    one = several.join(firsts, [key, mark], "left_semi").dropDuplicates([key, mark]).select(*docs.columns)
+    return plain.union(one).union(empty)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,20 +21,21 @@ def working_on(memo: str = "") -> None:
             empty()
 
 
-#: Used only where the cluster names no shared folder.
-OWN_DIR = "/tmp/caselight-checkpoints"
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset, as in tests, below a folder set here."""
+    """A new folder below the shared folder that ``spark.checkpoint.dir`` names (or ``setCheckpointDir`` has set).
+
+    A session in local mode, where driver and tasks are one process, may leave it unset and gets a folder of its own.
+    """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        context.setCheckpointDir(OWN_DIR)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="caselight-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
@@ -45,6 +48,22 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table from ``materialise`` that nothing reads any more."""
+    paths = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+    for path in paths:
+        files, folder = filesystem(path)
+        files.delete_dir(folder)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores before it as set it apart from all of ``taken``."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def filesystem(uri: str):
     """The pyarrow file system of ``uri`` and the path in it (local mounts, HDFS, object stores)."""
     from pyarrow import fs
@@ -52,3 +71,24 @@ def filesystem(uri: str):
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """Runs of rows with equal keys in sorted batches; a run may lie in several batches."""
+    now, held = None, None
+    for batch in batches:
+        columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        names = list(zip(*(columns[k] for k in keys)))
+        start = 0
+        for k in range(1, len(names) + 1):
+            if k < len(names) and names[k] == names[start]:
+                continue
+            if names[start] != now:
+                if now is not None:
+                    yield now, held
+                now, held = names[start], {c: [] for c in columns}
+            for c, values in columns.items():
+                held[c] += values[start:k]
+            start = k
+    if now is not None:
+        yield now, held

@@ -15,8 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .jaccard import runs
-from .shared import materialise
+from .shared import materialise, runs
 
 SCALE = 1024
 BLOCK_ROWS, QUERY_ROWS, HEAD_ROWS = 16384, 2048, 2048
