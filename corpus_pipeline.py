@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.llm.jaccard import Likeness, jaccard_groups
+from caselight.llm.jaccard import Likeness, keep_first
 from caselight.llm.mixing import Mix, chosen
 from caselight.llm.packing import pack
 from caselight.llm.quality import keep_quality
@@ -30,9 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays; documents without text are groups of their own."""
-    groups = materialise(jaccard_groups(docs, NEAR).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the row with the smallest doc_id stays; rows without text or doc_id all stay."""
+    return keep_first(docs, NEAR)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
