@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ MEMO_ENTRIES, MEMO_CHARS = 400_000, 12_000_000
 JOINED = 1024
 #: Pieces with signs outside common Latin text are encoded by the library whole.
 UNPLAIN = re.compile("[^ \n!-~¡-¬®-ɏ‐-‧]")
+#: Letters and one full stop or comma.
+ENDED = r"^(\p{L}+)([.,])$"
 SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
 
 
@@ -105,7 +107,7 @@ def pre_token_pattern():
 
 
 class Memo(dict):
-    """Distinct strings by number, with their ids in one flat array; asking for a new string numbers it and puts it into ``pending``."""
+    """Distinct strings by number, with their ids in one flat array; ``index`` numbers new strings and puts them into ``pending``."""
 
     def __init__(self):
         super().__init__()
@@ -113,16 +115,19 @@ class Memo(dict):
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used, self.count, self.chars = np.zeros(1 << 14, np.uint32), 0, 0, 0
 
-    def __missing__(self, key: str) -> int:
-        k = self[key] = len(self)
-        self.pending.append(key)
-        return k
-
     def full(self) -> bool:
         return self.count > MEMO_ENTRIES or self.chars > MEMO_CHARS
 
-    def index(self, keys: Iterable[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, keys), np.int64)
+    def index(self, keys: list[str]) -> np.ndarray:
+        found = np.fromiter(map(self.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            asked = [keys[k] for k in new.tolist()]
+            distinct = list(dict.fromkeys(asked))
+            self.update(zip(distinct, range(len(self), len(self) + len(distinct))))
+            self.pending += distinct
+            found[new] = np.fromiter(map(self.__getitem__, asked), np.int64, len(asked))
+        return found
 
     def fill(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         """The ids of what is pending, in order."""
@@ -140,11 +145,16 @@ class Memo(dict):
 
     def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the entries one after another, ids of each)."""
-        lengths = self.lengths[index]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[index] - (ends - lengths), lengths)
-        at += np.arange(len(at))
-        return self.flat[at], lengths
+        return gathered(self.flat, self.starts, self.lengths, index)
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs of ``flat`` by number, one after another, their lengths)."""
+    lengths = lengths[index]
+    ends = np.cumsum(lengths)
+    at = np.repeat(starts[index] - (ends - lengths), lengths)
+    at += np.arange(len(at))
+    return flat[at], lengths
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -153,6 +163,14 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
 
+def _mask(column: pa.BooleanArray) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _strings(column: pa.Array) -> list[str | None]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Encodes batches of texts to one flat array of ids and the number of ids of each text."""
 
@@ -162,7 +180,7 @@ class Encoder:
         self.tokenizer = load_tokenizer(path)
         self.merger = Tokenizer(self.tokenizer.model)
         self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.pieces, self.pre_tokens = Memo(), Memo()
+        self.pre_tokens = Memo()
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """By the library as it is."""
@@ -180,36 +198,48 @@ class Encoder:
             lengths.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
         self.pre_tokens.fill(np.concatenate(ids), np.concatenate(lengths))
 
-    def _learn(self) -> None:
-        """Ids of pending pieces."""
-        parts = list(map(pre_tokens_of, self.pieces.pending))
-        odd = [k for k, x in enumerate(parts) if x is None]
-        given, many = self.whole([spaced(self.pieces.pending[k]) for k in odd])
-        for k in odd:
-            parts[k] = ()
-        index = self.pre_tokens.index(chain.from_iterable(parts))
-        self._merge()
-        ids, lengths = self.pre_tokens.gather(index)
-        per = sums(lengths, np.fromiter(map(len, parts), np.int64, len(parts)))
-        if odd:
+    def _pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, ids of each). Letters alone, or with a full stop or comma, are parted as columns;
+        the pattern parts the others."""
+        odd = _mask(pc.match_substring_regex(pieces, UNPLAIN.pattern))
+        letters, ended = _mask(pc.utf8_is_alpha(pieces)) & ~odd, _mask(pc.match_substring_regex(pieces, ENDED)) & ~odd
+        rest = np.flatnonzero(~(letters | ended | odd))
+        parted = [pre_token_pattern().findall(spaced(t)) for t in _strings(pieces.take(pa.array(rest)))]
+        counts = letters + 2 * ended
+        counts[rest] = np.fromiter(map(len, parted), np.int64, len(parted))
+        with_end = pieces.filter(pa.array(ended))
+        stems = pa.concat_arrays([pieces.filter(pa.array(letters)), pc.utf8_slice_codeunits(with_end, 0, -1)])
+        found = [pc.binary_join_element_wise(pa.scalar(" ", stems.type), stems, pa.scalar("", stems.type)), pc.utf8_slice_codeunits(with_end, -1, None), pa.array(chain.from_iterable(parted), pieces.type)]
+        coded = pa.concat_arrays(found).dictionary_encode()
+        number = self.pre_tokens.index(_strings(coded.dictionary))[coded.indices.to_numpy()]
+        if self.pre_tokens.pending:
+            self._merge()
+        starts = np.cumsum(counts) - counts
+        more = counts[rest]
+        within = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        order = np.empty(len(number), np.int64)
+        order[np.concatenate([starts[letters], starts[ended], starts[ended] + 1, np.repeat(starts[rest], more) + within])] = number
+        ids, lengths = self.pre_tokens.gather(order)
+        per = sums(lengths, counts)
+        if odd.any():
+            given, many = self.whole(list(map(spaced, _strings(pieces.filter(pa.array(odd))))))
             ids = np.insert(ids, np.repeat((np.cumsum(per) - per)[odd], many), given)
             per[odd] = many
-        self.pieces.fill(ids, per)
+        return ids, per
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, ids per text); a null text has none."""
-        if self.pieces.full():
-            self.pieces = Memo()
         if self.pre_tokens.full():
             self.pre_tokens = Memo()
-        texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+        texts = _strings(texts) if isinstance(texts, pa.Array) else texts
         per = np.zeros(len(texts), np.int64)
         plain = [k for k, t in enumerate(texts) if t and not whole_only(t)]
-        index, counts = split_index([texts[k] for k in plain], self.pieces)
-        if self.pieces.pending:
-            self._learn()
-        ids, lengths = self.pieces.gather(index)
-        per[plain] = sums(lengths, counts)
+        ids = np.zeros(0, np.uint32)
+        if plain:
+            pieces, index, counts = split_pieces([texts[k] for k in plain])
+            flat, lengths = self._pieces(pieces)
+            ids, lengths = gathered(flat, np.cumsum(lengths) - lengths, lengths, index)
+            per[plain] = sums(lengths, counts)
         known = set(plain)
         if apart := [k for k, t in enumerate(texts) if t and k not in known]:
             given, many = self.whole([texts[k] for k in apart])
@@ -218,16 +248,23 @@ class Encoder:
         return ids, per
 
 
+def split_pieces(texts: list[str]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """(distinct pieces of texts, the number of each piece in order, pieces of each text)."""
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    firsts = pa.array([" " + t.partition(" ")[0] for t in texts], pa.large_string()).dictionary_encode()
+    index = coded.indices.to_numpy().astype(np.int64)
+    index[offsets[:-1]] = len(coded.dictionary) + firsts.indices.to_numpy()
+    return pa.concat_arrays([coded.dictionary, firsts.dictionary]), index, np.diff(offsets)
+
+
 def split_index(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """(places in the memo of all pieces of texts, pieces of each text); each distinct piece of the batch is looked up once."""
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    index = memo.index(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-    index[offsets[:-1]] = memo.index(" " + t.partition(" ")[0] for t in texts)
-    return index, np.diff(offsets)
+    pieces, index, counts = split_pieces(texts)
+    return memo.index(_strings(pieces))[index], counts
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -18,6 +18,8 @@ from .shared import working_on
 
 GROUP_DOCS = 2048
 BIN_BITS = 24
+#: Bytes of ids after which a group is packed in parts.
+GROUP_BYTES = 64 << 20
 #: Free space below this many tokens is left as padding, so that no document is cut into shreds.
 LEAST_CUT = 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -82,13 +84,30 @@ def plan_group(lengths: list[int], capacity: int, least: int = LEAST_CUT) -> lis
     return fill_up(bins, capacity, least)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], most_docs: int, most_bytes: int) -> Iterator[tuple[int, list, list]]:
+    """(group, doc_ids, ids) of sorted rows; a group that is far larger than meant, as rows repeat, comes in parts."""
+    now, names, ids, size = None, [], [], 0
+    for batch in batches:
+        for group, name, x in zip(batch.column("pack_group").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
+            if ids and (group != now or len(ids) >= most_docs or size >= most_bytes):
+                yield now, names, ids
+                names, ids, size = [], [], 0
+            now = group
+            names.append(name)
+            ids.append(x.as_py())
+            size += len(ids[-1])
+    if ids:
+        yield now, names, ids
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id: int = 0, seed: int = 7, group_docs: int = GROUP_DOCS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece.
 
     Nulls: a null text is the end id alone; null doc_ids are kept, each row a document of its own, as repeated
     rows are. Empty table: no pieces. Ties of length: by the place in the group. Very long texts become full
     sequences and one remainder. Other columns are not read. A group has about ``group_docs`` documents
-    whatever the table's size; groups are dealt by a hash of the row's place, so no key makes one large.
+    whatever the table's size; groups are dealt by a hash of doc_id and text, so that a task that runs again deals
+    them alike. Only rows that repeat both meet in one group; it is packed in parts of bounded rows and bytes.
     """
     path = path or tokenizer_path()
     kind = "<u2" if load_tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
@@ -100,25 +119,27 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
                 ids, per = encoder(path).encode(batch.column("text"))
                 flat = np.insert(ids, np.cumsum(per), end_id).astype(kind)
                 ends = np.concatenate([[0], np.cumsum(per + 1)])
-                held = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(held, pa.binary())], ["doc_id", "place", "ids"])
+                held = pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer((ends * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), batch.column("pack_group"), held], ["doc_id", "place", "pack_group", "ids"])
 
-    def place(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working_on()
-        table = table.sort_by([("place", "ascending")])
-        names, group = table.column("doc_id").to_pylist(), key[0].as_py()
-        ids = [np.frombuffer(b.as_buffer(), kind) for b in table.column("ids")]
-        rows = []
-        for number, pieces in enumerate(plan_group([len(x) for x in ids], capacity)):
-            offset = 0
-            for doc, start, length in pieces:
-                check = crc32(ids[doc][start : start + length].astype("<u4").tobytes())
-                rows.append((names[doc], start, length, check, len(ids[doc]), (group << BIN_BITS) | number, offset))
-                offset += length
-        columns = list(zip(*rows)) or [()] * 7
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in PIECES.split(", ")])
+        last, base = None, 0
+        for group, names, held in _groups(batches, 4 * group_docs, GROUP_BYTES):
+            base = base if group == last else 0
+            ids, rows = [np.frombuffer(b, kind) for b in held], []
+            sequences = plan_group([len(x) for x in ids], capacity)
+            for number, pieces in enumerate(sequences, base):
+                offset = 0
+                for doc, start, length in pieces:
+                    check = crc32(ids[doc][start : start + length].astype("<u4").tobytes())
+                    rows.append((names[doc], start, length, check, len(ids[doc]), (group << BIN_BITS) | number, offset))
+                    offset += length
+            last, base = group, base + len(sequences)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [c.split()[0] for c in PIECES.split(", ")])
 
     groups = max(1, -(-docs.count() // group_docs))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
-    encoded = rows.mapInArrow(encode, "doc_id long, place long, ids binary")
-    return encoded.withColumn("pack_group", F.pmod(F.xxhash64("place", F.lit(seed)), F.lit(groups))).groupBy("pack_group").applyInArrow(place, PIECES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "text", F.lit(seed))).withColumn("pack_group", F.pmod("place", F.lit(groups)))
+    encoded = rows.mapInArrow(encode, "doc_id long, place long, pack_group long, ids binary")
+    return encoded.repartition("pack_group").sortWithinPartitions("pack_group", "place").mapInArrow(place, PIECES)
