@@ -106,7 +106,7 @@ def mix_tokens(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None)
     Tokens are words. Nulls: a null language or source is the name ''; a null text, like one without words, has no
     tokens and gives none. Ties: rows of one leaf with the same doc_id go together; if the budget ends in them each
     gives at most what is left. Empty table: an empty result. Budgets are whole tokens, so a node may give up to one
-    token per child less. Other columns are not read.
+    token per child less. Texts are counted whole, of any length. Other columns are not read.
     """
     base = materialise(with_leaf(docs.select("doc_id", "text", "lang", "source"), domain).select("doc_id", *LEAF, "mix_tokens"), "mix-base")
     cuts = leaf_cuts(base, mix)
@@ -118,12 +118,17 @@ def mix_tokens(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None)
 
 
 def chosen(docs: DataFrame, mix: Mix, domain: Column | None = None) -> DataFrame:
-    """The rows of ``docs``, with their own columns, of which the mixture takes anything. Texts are not shuffled for it."""
-    leafed = with_leaf(docs, domain)
-    cuts = leaf_cuts(materialise(leafed.select("doc_id", *LEAF, "mix_tokens"), "mix-base"), mix).withColumnRenamed("tokens", "mix_total")
-    cuts = cuts.select(*LEAF, F.col("full").alias("mix_full"), F.col("cut").alias("mix_cut"))
-    taken = leafed.where("mix_tokens > 0").join(cuts, LEAF).where((F.col("mix_full") > 0) | (order_key(F.col("mix_full"), mix.seed) <= F.col("mix_cut")))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, with their own columns and values, of which the mixture takes anything.
+
+    Nulls, ties, repeated rows, long texts and empty tables: as in ``mix_tokens``; rows of one leaf with the same doc_id
+    are all taken or all left. Texts are counted whole, and not shuffled. Columns of any name keep their values.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "lang", "source")
+    leafed = with_leaf(rows, domain)
+    cuts = leaf_cuts(materialise(leafed.select("doc_id", *LEAF, "mix_tokens"), "mix-base"), mix)
+    cuts = cuts.select(*LEAF, "full", "cut")
+    taken = leafed.where("mix_tokens > 0").join(cuts, LEAF).where((F.col("full") > 0) | (order_key(F.col("full"), mix.seed) <= F.col("cut")))
+    return taken.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def oracle(mix: Mix = Mix()) -> str:

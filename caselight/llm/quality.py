@@ -1,26 +1,27 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-A logistic model of a document's own signs (letters, signs, words, lines) gives its evidence. What a host's and a
-path's documents look like on the whole tempers it: the mean of a host is shrunk toward the global mean, and that of
-a path toward its host's, the more so the fewer documents it has. How strongly is fitted from the data by moments.
+A logistic model of a document's own signs (letters, signs, words, lines) gives its evidence. What the other documents
+of its host and path look like on the whole tempers it: the mean of a host is shrunk toward the global mean, and that
+of a path toward its host's, the more so the fewer documents it has. How strongly is fitted from the data by moments.
+Texts are read once; the sites' sums are made from the stored evidence.
 The host of a document is its source; its path within the host is its language.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import materialise, working_on
+from .shared import free_name, materialise, working_on
 
 #: The model is fitted on at most this many labelled rows: those with the least hashes of their doc_id.
 SAMPLE_ROWS = 6000
 KEEP_FROM = 0.5
-#: A site's mean moves a document's log-odds by at most this much.
-SITE_LIMIT = 2.0
 FEATURES = 14
 EDGE = 1e-4
 
@@ -90,59 +91,73 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> np.n
     return fit(np.array([r.x for r in rows]), np.array([r.good for r in rows]))
 
 
-def with_evidence(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """``docs`` and ``quality_p``, what the document alone says; all other columns as they are."""
-    schema = docs.drop("quality_p").schema.add("quality_p", "double")
+def with_evidence(docs: DataFrame, model: np.ndarray, name: str) -> DataFrame:
+    """``docs`` and, as ``name``, what the document alone says; all other columns as they are."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working_on()
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(predict(x, model), EDGE, 1 - EDGE))], [*batch.schema.names, "quality_p"])
+            yield batch.append_column(name, pa.array(np.clip(predict(x, model), EDGE, 1 - EDGE)))
 
-    return docs.drop("quality_p").mapInArrow(judge, schema)
+    return docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_posteriors(judged: DataFrame) -> DataFrame:
-    """(quality_host, quality_path, host_posterior, path_posterior, quality_prior) from (quality_host, quality_path, quality_p)."""
-    paths = materialise(judged.groupBy("quality_host", "quality_path").agg(F.count("*").alias("n"), F.sum("quality_p").alias("s")), "quality-paths")
-    hosts = paths.groupBy("quality_host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
+@dataclass(frozen=True)
+class Priors:
+    """The global mean, and how many documents the prior of a host and that of a path are worth."""
+
+    mean: float
+    host: float
+    path: float
+
+    def posteriors(self, p: Column) -> tuple[Column, Column, Column]:
+        """(host's posterior, path's posterior, score) of a document of evidence ``p``, from the sums of ``site_sums``.
+
+        A document's own evidence is left out of its sites' means, so it counts once: the score is its log-odds, moved
+        by those of its path against those of the global mean.
+        """
+        host = (F.col("host_s") - p + self.host * self.mean) / (F.col("host_n") - 1 + self.host)
+        path = (F.col("path_s") - p + self.path * host) / (F.col("path_n") - 1 + self.path)
+        host, path = (F.least(F.lit(1 - EDGE), F.greatest(F.lit(EDGE), x)) for x in (host, path))
+        return host, path, 1 / (1 + F.exp(logit(F.lit(self.mean)) - logit(p) - logit(path)))
+
+
+def site_sums(judged: DataFrame) -> tuple[DataFrame, Priors]:
+    """Sums of the evidence of (site_host, site_path, p) by path and host, and the priors that fit them."""
+    paths = materialise(judged.groupBy("site_host", "site_path").agg(F.count("*").alias("path_n"), F.sum("p").alias("path_s")), "quality-paths")
+    hosts = paths.groupBy("site_host").agg(F.sum("path_n").alias("host_n"), F.sum("path_s").alias("host_s"))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s")).first()
     mean = min(1 - EDGE, max(EDGE, total.s / total.n)) if total.n else 0.5
 
-    def strength(rows: DataFrame, n: str, centre: Column) -> float:
+    def strength(rows: DataFrame, n: str, s: str, centre: Column) -> float:
         """Pseudo-documents of a prior: the spread of means beyond what their sizes explain, as a Beta prior's."""
-        m = F.col(n.replace("n", "s")) / F.col(n)
-        r = rows.agg(F.sum(F.col(n) * (m - centre) ** 2).alias("spread"), F.sum(n).alias("n"), F.count("*").alias("k")).first()
+        r = rows.agg(F.sum(F.col(n) * (F.col(s) / F.col(n) - centre) ** 2).alias("spread"), F.sum(n).alias("n"), F.count("*").alias("k")).first()
         if not r.n:
             return 1.0
-        noise = mean * (1 - mean) * r.k / r.n
-        extra = max(r.spread / r.n - noise, 1e-6)
+        extra = max(r.spread / r.n - mean * (1 - mean) * r.k / r.n, 1e-6)
         return float(min(1e6, max(1.0, mean * (1 - mean) / extra - 1)))
 
-    own = strength(hosts, "host_n", F.lit(mean))
-    hosts = hosts.withColumn("host_posterior", (F.col("host_s") + own * mean) / (F.col("host_n") + own))
-    sited = paths.join(hosts, "quality_host")
-    inner = strength(sited, "n", F.col("host_posterior"))
-    path = (F.col("s") + inner * F.col("host_posterior")) / (F.col("n") + inner)
-    return sited.select("quality_host", "quality_path", "host_posterior", path.alias("path_posterior"), F.lit(mean).alias("quality_prior"))
+    own = strength(hosts, "host_n", "host_s", F.lit(mean))
+    sums = materialise(paths.join(hosts, "site_host"), "quality-sites")
+    inner = strength(sums, "path_n", "path_s", (F.col("host_s") + own * mean) / (F.col("host_n") + own))
+    return sums, Priors(mean, own, inner)
 
 
-def combined() -> Column:
-    """Probability of good quality: the document's log-odds moved by its site's against the global mean's."""
-    site = F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), logit(F.col("path_posterior")) - logit(F.col("quality_prior"))))
-    return 1 / (1 + F.exp(-(logit(F.col("quality_p")) + site)))
+def _site(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    site = {"quality_host": F.coalesce("source", F.lit("")), "quality_path": F.coalesce("lang", F.lit(""))}
-    judged = with_evidence(docs, train(docs, labels, sample)).withColumns(site)
-    light = materialise(judged.select("quality_host", "quality_path", "quality_p"), "quality-evidence")
-    return judged.join(materialise(site_posteriors(light), "quality-sites"), ["quality_host", "quality_path"]).withColumn("quality_score", combined())
+def _scored(judged: DataFrame, p: str) -> DataFrame:
+    """The stored rows ``judged`` as the struct ``row``, with ``site_host``, ``site_path`` and what their sites add."""
+    rows = judged.select(F.struct(*(F.col(f"`{c}`") for c in judged.columns)).alias("row"), _site("source").alias("site_host"), _site("lang").alias("site_path"), F.col(f"`{p}`").alias("p"))
+    sums, priors = site_sums(rows.drop("row"))
+    host, path, score = priors.posteriors(F.col("p"))
+    return rows.join(sums, ["site_host", "site_path"]).withColumns({"host_posterior": host, "path_posterior": path, "score": score})
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
@@ -150,11 +165,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS)
 
     Nulls: a null text is empty; a null source or language is the site ''; labels that are null are not learned
     from, and without any label the evidence is 0.5. Empty tables: an empty result. Repeated rows: one result each.
+    Long texts are read whole. Ties: equal texts of one site have equal scores; a score of just ``KEEP_FROM`` is kept.
+    Other columns are not read, whatever their names.
     """
-    scored = _scored(docs.select("doc_id", "text", "lang", "source"), labels, sample)
-    return scored.select("doc_id", F.col("quality_host").alias("host"), F.col("quality_path").alias("path"), F.col("quality_p").alias("evidence"), "host_posterior", "path_posterior", F.col("quality_score").alias("score"), (F.col("quality_score") >= KEEP_FROM).alias("keep"))
+    judged = with_evidence(docs.select("doc_id", "lang", "source", "text"), train(docs, labels, sample), "p").drop("text")
+    scored = _scored(materialise(judged, "quality-evidence"), "p")
+    return scored.select("row.doc_id", F.col("site_host").alias("host"), F.col("site_path").alias("path"), F.col("p").alias("evidence"), "host_posterior", "path_posterior", "score", (F.col("score") >= KEEP_FROM).alias("keep"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their own columns."""
-    return _scored(docs, labels, sample).where(F.col("quality_score") >= KEEP_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are not rejected, with their own columns and values.
+
+    Nulls, ties, repeated rows, long texts and empty tables: as in ``score_quality``; repeated rows are all kept or all
+    rejected. Columns of any name keep their values.
+    """
+    p = free_name("quality_p", docs.columns)
+    judged = materialise(with_evidence(docs, train(docs, labels, sample), p), "quality-evidence")
+    return _scored(judged, p).where(F.col("score") >= KEEP_FROM).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import working_on
+from .shared import free_name, working_on
 
 #: The model is fitted on at most this many labelled rows, each with its whole text.
 SAMPLE_ROWS = 4000
@@ -388,10 +389,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Mode
     return fit([[t[a:b] for a, b in windows_of(len(t))] for t in texts], np.array([r[1] for r in rows]))
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` and ``toxic_score``; all other columns as they are."""
+def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` and, as ``name``, the score; all other columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
-    schema = docs.drop("toxic_score").schema.add("toxic_score", "double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working_on()
@@ -399,10 +399,9 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 batch = big.slice(at, 512)
-                scores = scorer.score(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "toxic_score"])
+                yield batch.append_column(name, pa.array(scorer.score(batch.column("text").to_pylist()), pa.float64()))
 
-    return docs.drop("toxic_score").mapInArrow(judge, schema)
+    return docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
@@ -410,13 +409,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS
 
     Nulls: a null text is empty and scored as an empty window; a null doc_id is not held out. Labels that are null
     are not learned from; without labels of both kinds all scores are near 0 (or 1, if all labels are 1). Empty
-    tables: an empty result. Repeated rows: one result each. Long texts: every window counts.
+    tables: an empty result. Repeated rows: one result each. Long texts: every window counts. Ties: equal texts have
+    equal scores up to rounding. Other columns are not read, whatever their names.
     """
-    scored = with_score(docs.select("doc_id", "text"), train(docs, labels, sample))
+    scored = with_score(docs.select("doc_id", "text"), train(docs, labels, sample), "toxic_score")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with their own columns."""
-    return with_score(docs, train(docs, labels, sample)).where(F.col("toxic_score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are not toxic, with their own columns and values.
+
+    Nulls, ties, repeated rows, long texts and empty tables: as in ``score_toxicity``; a text without words is kept.
+    Columns of any name keep their values.
+    """
+    name = free_name("toxic_score", docs.columns)
+    return with_score(docs, train(docs, labels, sample), name).where(F.col(name) < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

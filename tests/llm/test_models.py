@@ -6,8 +6,9 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from caselight.llm import chat, quality, toxicity as X
+from caselight.llm import chat, jaccard, mixing, quality, toxicity as X
 
 from .cases import documents, no_documents
 
@@ -37,12 +38,59 @@ def test_quality_held_out():
     assert ((quality.predict(x[1::2], model) >= 0.5) == y[1::2]).mean() > 0.99
 
 
-def test_sparse_sites_shrink_to_their_parents(spark):
-    rows = [("a", "x", 0.9)] * 400 + [("b", "x", 0.2)] * 400 + [("c", "x", 0.2)] + [("a", "y", 0.2)]
-    sites = {(r.quality_host, r.quality_path): r for r in quality.site_posteriors(spark.createDataFrame(rows, "quality_host string, quality_path string, quality_p double")).collect()}
-    mean = sites["a", "x"].quality_prior
-    assert abs(sites["c", "x"].host_posterior - mean) < abs(0.2 - mean) and sites["c", "x"].host_posterior > sites["b", "x"].host_posterior
-    assert sites["a", "y"].path_posterior > 0.2 and sites["b", "x"].path_posterior == pytest.approx(0.2, abs=0.02)
+def plain_posteriors(rows):
+    """Score of each (host, path, p), by plain sums over the other documents, and the priors."""
+    logit = lambda p: np.log(p / (1 - p))
+    mean = np.mean([p for *_, p in rows])
+    hosts, paths = {}, {}
+    for h, q, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+
+    def strength(groups, centre):
+        n = len(rows)
+        spread = sum(len(g) * (np.mean(g) - centre(k)) ** 2 for k, g in groups.items()) / n
+        return min(1e6, max(1.0, mean * (1 - mean) / max(spread - mean * (1 - mean) * len(groups) / n, 1e-6) - 1))
+
+    own = strength(hosts, lambda k: mean)
+    inner = strength(paths, lambda k: (sum(hosts[k[0]]) + own * mean) / (len(hosts[k[0]]) + own))
+    out = []
+    for h, q, p in rows:
+        host = (sum(hosts[h]) - p + own * mean) / (len(hosts[h]) - 1 + own)
+        path = (sum(paths[h, q]) - p + inner * host) / (len(paths[h, q]) - 1 + inner)
+        out.append((h, q, p, host, path, 1 / (1 + np.exp(-(logit(p) + logit(path) - logit(mean))))))
+    return sorted(out)
+
+
+def test_posteriors_are_those_of_plain_sums(spark):
+    """Sparse sites shrink to their parents, a document's own evidence counts once, and sites change decisions."""
+    rng = np.random.default_rng(3)
+    rows = [(f"h{h}", f"q{q}", float(np.clip(rng.normal(0.3 + 0.1 * h + 0.05 * q, 0.15), 0.01, 0.99))) for h in range(6) for q in range(3) for _ in range([1, 3, 40][(h + q) % 3])]
+    rows += [("lone", "q", 0.2), ("h5", "new", 0.45)]
+    judged = spark.createDataFrame(rows, "source string, lang string, p double")
+    got = sorted((r.site_host, r.site_path, r.p, r.host_posterior, r.path_posterior, r.score) for r in quality._scored(judged, "p").collect())
+    want = plain_posteriors(rows)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want])
+    lone = next(r for r in want if r[0] == "lone")
+    assert lone[5] == pytest.approx(lone[2])  # nothing is known of its site
+    changed = [r for r in want if (r[2] >= 0.5) != (r[5] >= 0.5)]
+    assert changed and any(r[:2] == ("h5", "new") and r[5] >= 0.5 for r in changed)
+
+
+def test_stages_keep_values_of_clashing_columns(spark, monkeypatch):
+    """Columns named as the operators' own keep their values; which rows stay does not depend on them."""
+    monkeypatch.setattr(X, "STEPS", 6)
+    monkeypatch.setattr(X, "SPELL_STEPS", 4)
+    names = ["quality_p", "quality_host", "site_host", "site_path", "p", "row", "score", "path_n", "host_s", "toxic_score", "mix_domain", "mix_lang", "mix_source", "mix_tokens", "full", "cut", "tokens", "document", "digest", "first", "component"]
+    plain = documents(spark).select("doc_id", "text", "lang", "source")
+    clash = plain.select("*", *(F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names))
+    for stage in (lambda d: quality.keep_quality(d, labels(spark)), lambda d: X.keep_clean(d, labels(spark)), lambda d: mixing.chosen(d, mixing.Mix(share=0.7, epochs=1)), jaccard.keep_first):
+        rows, bare = stage(clash).collect(), stage(plain).collect()
+        key = lambda r: (str(r.doc_id), str(r.text), str(r.lang), str(r.source))
+        assert sorted(map(key, rows)) == sorted(map(key, bare)) and rows
+        assert all(r[n] == n + ("-" if r.doc_id is None else str(r.doc_id)) for r in rows for n in names)
+        assert stage(clash.limit(0)).count() == 0
 
 
 def test_gradients():
