@@ -20,9 +20,9 @@ from .shared import materialise, runs
 from .shingles import U, shingle_sets
 
 #: Text bytes a range of hashes stands for.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 8 << 20
 #: Shingles and documents of a batch; places of documents have two bytes.
-BATCH_SHINGLES, BATCH_DOCS = 1 << 20, 60_000
+BATCH_SHINGLES, BATCH_DOCS = 1 << 19, 60_000
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 DEALT = "part int, batch binary, a binary, b binary, c binary, d binary"
 DESCRIBED = "doc_id long, n_shingles long, digest binary, lone long"
