@@ -22,10 +22,12 @@ MIX = Mix(share=0.9, epochs=1)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier does not reject; nulls, ties and repeated rows as ``keep_quality`` says."""
     return keep_quality(docs, read_table(spark, sf_dir, "labels"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that are not toxic; nulls, ties and repeated rows as ``keep_clean`` says."""
     return keep_clean(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -35,10 +37,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which the mixture takes anything; those without words go. Nulls, ties and repeated rows as ``chosen`` says."""
     return chosen(docs, MIX)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in sequences; nulls, ties and repeated rows as ``pack`` says."""
     return pack(docs)
 
 
