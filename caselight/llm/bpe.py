@@ -25,13 +25,13 @@ from .shared import MEMOS
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries and characters that a worker's memo holds before it starts anew (they bound memory, never the input).
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 12_000_000
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 8_000_000
 JOINED = 1024
 #: Pieces with signs outside common Latin text are encoded by the library whole.
 UNPLAIN = re.compile("[^ \n!-~¡-¬®-ɏ‐-‧]")
 #: Letters and one full stop or comma.
 ENDED = r"^(\p{L}+)([.,])$"
-SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:

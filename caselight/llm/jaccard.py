@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
-from .shared import discard, free_name, materialise, runs
+from .shared import broadcast_if_small, discard, free_name, materialise, runs, working_on
 from .shingles import U
 from .trie import Likeness, join
 from .winnow import describe, described_sets, slices
@@ -48,6 +48,7 @@ def ordered_sets(docs: DataFrame, classes: DataFrame, like: Likeness) -> DataFra
     numbers of the shingles that other classes have as well, ascending, and those of them in the prefix."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on()
         for batch in batches:
             for some in slices(batch):
                 elements, bounds, digests = described_sets(some, like.words)
@@ -71,7 +72,7 @@ def ordered_sets(docs: DataFrame, classes: DataFrame, like: Likeness) -> DataFra
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())))], ["node", "n", "elements", "weight", "prefix"])
 
-    texts = docs.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.join(broadcast_if_small(classes.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     sets = texts.mapInArrow(to_sets, "id long, digest binary, elements binary").join(classes.drop("n"), ["id", "digest"])
     sets = materialise(sets.select("node", "elements"), "sets")
     rows = sets.mapInArrow(to_rows, "node long, h long")
@@ -86,6 +87,7 @@ def joined(units: DataFrame, ordered: DataFrame, like: Likeness) -> DataFrame:
     """Links (u, v) between the sets of each unit: rows (hub, low, high, node, label, leaf, probe)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on()
         for _, rows in runs(batches, ("hub", "low", "high")):
             sets = [np.frombuffer(x, U) for x in rows["elements"]]
             label = np.array(rows["label"], np.int64)
@@ -188,11 +190,11 @@ def keep_first(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     rows = materialise(text_groups(docs, like), "text-groups")
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     stays = F.col("first").isNull() | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.digest") == F.col("digest")))
-    gone = known.where(~stays).select("doc_id").distinct()
+    gone = materialise(known.where(~stays).select("doc_id").distinct(), "gone")
     repeated = materialise(known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
     key = free_name("document", docs.columns)
     keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
-    kept = keyed.join(gone.withColumnRenamed("doc_id", key), key, "left_anti").select(*docs.columns)
+    kept = keyed.join(broadcast_if_small(gone.withColumnRenamed("doc_id", key)), key, "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return kept
     plain = keyed.join(gone.union(repeated).distinct().withColumnRenamed("doc_id", key), key, "left_anti").select(*docs.columns)

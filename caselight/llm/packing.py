@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import encoder, load_tokenizer, slices, tokenizer_path
-from .shared import working_on
+from .shared import text_batches, working_on
 
 GROUP_DOCS = 2048
 BIN_BITS = 24
@@ -141,5 +141,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id:
     groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("place", F.xxhash64("doc_id", "text", F.lit(seed))).withColumn("pack_group", F.pmod("place", F.lit(groups)))
-    encoded = rows.mapInArrow(encode, "doc_id long, place long, pack_group long, ids binary")
+    encoded = text_batches(rows).mapInArrow(encode, "doc_id long, place long, pack_group long, ids binary")
     return encoded.repartition("pack_group").sortWithinPartitions("pack_group", "place").mapInArrow(place, PIECES)

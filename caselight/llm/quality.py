@@ -3,7 +3,7 @@
 A logistic model of a document's own signs (letters, signs, words, lines) gives its evidence. What the other documents
 of its host and path look like on the whole tempers it: the mean of a host is shrunk toward the global mean, and that
 of a path toward its host's, the more so the fewer documents it has. How strongly is fitted from the data by moments.
-Texts are read once; the sites' sums are made from the stored evidence.
+The sites' sums are made from stored evidence.
 The host of a document is its source; its path within the host is its language.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import free_name, materialise, working_on
+from .shared import free_name, materialise, text_batches, working_on
 
 #: The model is fitted on at most this many labelled rows: those with the least hashes of their doc_id.
 SAMPLE_ROWS = 6000
@@ -100,7 +100,7 @@ def with_evidence(docs: DataFrame, model: np.ndarray, name: str) -> DataFrame:
             x = np.array([features(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, FEATURES)
             yield batch.append_column(name, pa.array(np.clip(predict(x, model), EDGE, 1 - EDGE)))
 
-    return docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return text_batches(docs).mapInArrow(judge, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def logit(p: Column) -> Column:
@@ -152,11 +152,16 @@ def _site(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def _scored(judged: DataFrame, p: str) -> DataFrame:
-    """The stored rows ``judged`` as the struct ``row``, with ``site_host``, ``site_path`` and what their sites add."""
-    rows = judged.select(F.struct(*(F.col(f"`{c}`") for c in judged.columns)).alias("row"), _site("source").alias("site_host"), _site("lang").alias("site_path"), F.col(f"`{p}`").alias("p"))
-    sums, priors = site_sums(rows.drop("row"))
+def _light(judged: DataFrame, p: str) -> DataFrame:
+    return judged.select(_site("source").alias("site_host"), _site("lang").alias("site_path"), F.col(f"`{p}`").alias("p"))
+
+
+def _scored(judged: DataFrame, p: str, light: DataFrame) -> DataFrame:
+    """The rows ``judged`` as the struct ``row``, with ``site_host``, ``site_path`` and what their sites, of which
+    ``light`` holds the evidence, add."""
+    sums, priors = site_sums(light)
     host, path, score = priors.posteriors(F.col("p"))
+    rows = judged.select(F.struct(*(F.col(f"`{c}`") for c in judged.columns)).alias("row"), _site("source").alias("site_host"), _site("lang").alias("site_path"), F.col(f"`{p}`").alias("p"))
     return rows.join(sums, ["site_host", "site_path"]).withColumns({"host_posterior": host, "path_posterior": path, "score": score})
 
 
@@ -169,7 +174,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS)
     Other columns are not read, whatever their names.
     """
     judged = with_evidence(docs.select("doc_id", "lang", "source", "text"), train(docs, labels, sample), "p").drop("text")
-    scored = _scored(materialise(judged, "quality-evidence"), "p")
+    judged = materialise(judged, "quality-evidence")
+    scored = _scored(judged, "p", _light(judged, "p"))
     return scored.select("row.doc_id", F.col("site_host").alias("host"), F.col("site_path").alias("path"), F.col("p").alias("evidence"), "host_posterior", "path_posterior", "score", (F.col("score") >= KEEP_FROM).alias("keep"))
 
 
@@ -177,8 +183,10 @@ def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS)
     """The rows of ``docs`` that are not rejected, with their own columns and values.
 
     Nulls, ties, repeated rows, long texts and empty tables: as in ``score_quality``; repeated rows are all kept or all
-    rejected. Columns of any name keep their values.
+    rejected. Columns of any name keep their values. The evidence is computed for the sites and again for the rows, as
+    a copy of all texts beside it would take as much disk as the input.
     """
     p = free_name("quality_p", docs.columns)
-    judged = materialise(with_evidence(docs, train(docs, labels, sample), p), "quality-evidence")
-    return _scored(judged, p).where(F.col("score") >= KEEP_FROM).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    judged = with_evidence(docs, train(docs, labels, sample), p)
+    light = materialise(_light(judged, p), "quality-evidence")
+    return _scored(judged, p, light).where(F.col("score") >= KEEP_FROM).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 #: What empties each memo that this Python worker keeps between tasks, by the memo's name.
@@ -15,10 +17,27 @@ MEMOS: dict[str, Callable[[], None]] = {}
 
 
 def working_on(memo: str = "") -> None:
-    """Empty all memos but one; workers are used again by tasks of other operators, and their memory is shared out tightly."""
+    """Empty all memos but one, and give what is free to the system; workers are used again by tasks of other operators,
+    and their memory is shared out tightly."""
     for name, empty in MEMOS.items():
         if name != memo:
             empty()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU C library keeps freed memory until it is told
+        trim(0)
+
+
+#: Rows of texts that go to Python at once; Spark's own default of 10,000 long texts takes much of a task's memory.
+BATCH_TEXTS = 1000
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session that sends at most ``BATCH_TEXTS`` rows to Python at once (fewer, if it is set so)."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_TEXTS:
+        conf.set(name, str(BATCH_TEXTS))
+    return docs
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +75,16 @@ def discard(df: DataFrame) -> None:
         files.delete_dir(folder)
 
 
+#: Rows of one number each that are broadcast at most (some 100 MB of an executor).
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(ids: DataFrame) -> DataFrame:
+    """``ids`` (one number a row), to be broadcast if they are few, so that texts joined with them are not shuffled; more
+    are left to the planner, which shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name`` with as many underscores before it as set it apart from all of ``taken``."""
     lower = {t.lower() for t in taken}

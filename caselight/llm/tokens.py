@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import JOINED, MEMO_ENTRIES, Memo, byte_letters, encoder, lettered, load_tokenizer, pre_token_pattern, pre_tokens_of, slices, spaced, split_index, sums, tokenizer_path, whole_only
-from .shared import MEMOS, filesystem, materialise, shared_dir, working_on
+from .shared import MEMOS, filesystem, materialise, shared_dir, text_batches, working_on
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -107,7 +107,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
                 counts = _COUNTERS[path].count(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, width int"
@@ -150,7 +150,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "path": name, "n_docs": sum(map(len, names)), "n_tokens": total, "width": width}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    return materialise(text_batches(ordered).mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def mapped(name: str, dtype: str) -> np.ndarray:

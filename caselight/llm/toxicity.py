@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import free_name, working_on
+from .shared import free_name, text_batches, working_on
 
 #: The model is fitted on at most this many labelled rows, each with its whole text.
 SAMPLE_ROWS = 4000
@@ -32,9 +32,9 @@ PIECE = 5
 CHARS, CHAR_KINDS, CHAR_DIM, CHAR_STATE = 10, 160, 8, 8
 WORD_KINDS, WORD_DIM, WORD_STATE, ATTENTION = 8192, 8, 8, 8
 WORDS = re.compile(r"\w+")
-MEMO = 300_000
+MEMO = 150_000
 SPELL_STEPS, STEPS, BATCH, RATE = 160, 150, 128, 0.01
-PLACES = 4096
+PLACES = 1024
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -401,7 +401,7 @@ def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
                 batch = big.slice(at, 512)
                 yield batch.append_column(name, pa.array(scorer.score(batch.column("text").to_pylist()), pa.float64()))
 
-    return docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return text_batches(docs).mapInArrow(judge, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import materialise, runs
+from .shared import materialise, runs, text_batches, working_on
 from .shingles import U, shingle_sets
 
 #: Text bytes a range of hashes stands for.
@@ -88,6 +88,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
     parts = 1 + (total or 0) // RANGE_BYTES
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on()
         held, shingles, rows, number = [], 0, 0, 0
         for batch in batches:
             for some in slices(batch):
@@ -101,6 +102,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
             yield from _batch_rows(held, parts, number)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_on()
         for (part,), rows in runs(batches, ("part",)):
             if part < 0:
                 columns = [rows[c] for c in ("a", "b", "c", "d")]
@@ -136,7 +138,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
             ids = pa.array(np.frombuffer(book[0], np.int64), mask=np.frombuffer(book[3], bool))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), digests, pa.array(lone.astype(np.int64))], ["doc_id", "n_shingles", "digest", "lone"])
 
-    dealt = docs.mapInArrow(deal, DEALT)
+    dealt = text_batches(docs).mapInArrow(deal, DEALT)
     found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(find, "batch binary, a binary, b binary, c binary, d binary")
     rows = materialise(found.repartition("batch").sortWithinPartitions("batch").mapInArrow(answer, DESCRIBED), "shingles")
     if tuple(rows.agg(*check).first()) != tuple(before):

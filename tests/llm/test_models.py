@@ -68,7 +68,7 @@ def test_posteriors_are_those_of_plain_sums(spark):
     rows = [(f"h{h}", f"q{q}", float(np.clip(rng.normal(0.3 + 0.1 * h + 0.05 * q, 0.15), 0.01, 0.99))) for h in range(6) for q in range(3) for _ in range([1, 3, 40][(h + q) % 3])]
     rows += [("lone", "q", 0.2), ("h5", "new", 0.45)]
     judged = spark.createDataFrame(rows, "source string, lang string, p double")
-    got = sorted((r.site_host, r.site_path, r.p, r.host_posterior, r.path_posterior, r.score) for r in quality._scored(judged, "p").collect())
+    got = sorted((r.site_host, r.site_path, r.p, r.host_posterior, r.path_posterior, r.score) for r in quality._scored(judged, "p", quality._light(judged, "p")).collect())
     want = plain_posteriors(rows)
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert np.allclose([r[2:] for r in got], [r[2:] for r in want])
