@@ -17,46 +17,48 @@ BANK_FONTS = ["courier", "ocr", "micr", "bank", "monospace", "code", "consolas",
 RENTAL, DEPOSITS = ["rental income", "rent roll", "monthly rent", "lease payment"], ["deposit", "credit", "paid in", "received"]
 P2P = ["venmo", "zelle", "cash app", "paypal", "cash payment"]
 #: The catalogue of signals: id, name, severity, weight.
-SIGNALS = """altered_bank_math|Altered Bank Statement Math|high|40
-pdf_metadata_anomalies|PDF Metadata Anomalies|high|40
-phantom_rental_income|Phantom Rental Income|high|38
-forged_tax_transcripts|Forged Tax Transcripts|high|40
-reverse_occupancy|Reverse Occupancy|high|35
-undisclosed_mortgages|Undisclosed Mortgages|high|38
-fabricated_leases|Fabricated Leases|high|40
-shell_company_concealment|Shell Company Concealment|high|38
-collusive_appraisals|Collusive Appraisals|high|40
-straw_buyers|Straw Buyers|high|40
-bogus_earnest_money|Bogus Earnest Money|high|40
-identity_tampering|Identity Document Tampering|high|40
-sudden_account_seasoning|Sudden Account Seasoning|medium|25
-inflated_market_rent|Inflated Market Rent|medium|28
-non_arms_length_leases|Non-Arm's Length Leases|medium|25
-orphaned_property_expenses|Orphaned Property Expenses|medium|25
-hidden_down_payment_loans|Hidden Down Payment Loans|medium|28
-unjustified_property_flipping|Unjustified Property Flipping|medium|25
-unverifiable_liquidity|Unverifiable Liquidity|medium|22
-commingled_funds|Commingled Funds|medium|20
-geographic_inconsistencies|Geographic Inconsistencies|medium|25
-pfs_tax_discrepancies|PFS vs. Tax Discrepancies|medium|28
-frequent_address_hopping|Frequent Address Hopping|medium|20
-inconsistent_name_variations|Inconsistent Name Variations|low|8
-missing_statement_pages|Missing Statement Pages|low|12
-sloppy_pfs_formatting|Sloppy PFS Formatting|low|8
-irregular_rent_deposits|Irregular Rent Deposits|low|10
-stale_documentation|Stale Documentation|low|10
-handwritten_lease_corrections|Handwritten Lease Corrections|low|12
-unexplained_micro_debits|Unexplained Micro-Debits|low|8
-newly_minted_llcs|Newly Minted LLCs|low|12
-po_box_business_addresses|PO Box Business Addresses|low|10
-misaligned_job_titles|Misaligned Job Titles|low|12
-verbal_omissions|Verbal Omissions|low|8"""
+SIGNALS = [
+    ("altered_bank_math", "Altered Bank Statement Math", "high", 40),
+    ("pdf_metadata_anomalies", "PDF Metadata Anomalies", "high", 40),
+    ("phantom_rental_income", "Phantom Rental Income", "high", 38),
+    ("forged_tax_transcripts", "Forged Tax Transcripts", "high", 40),
+    ("reverse_occupancy", "Reverse Occupancy", "high", 35),
+    ("undisclosed_mortgages", "Undisclosed Mortgages", "high", 38),
+    ("fabricated_leases", "Fabricated Leases", "high", 40),
+    ("shell_company_concealment", "Shell Company Concealment", "high", 38),
+    ("collusive_appraisals", "Collusive Appraisals", "high", 40),
+    ("straw_buyers", "Straw Buyers", "high", 40),
+    ("bogus_earnest_money", "Bogus Earnest Money", "high", 40),
+    ("identity_tampering", "Identity Document Tampering", "high", 40),
+    ("sudden_account_seasoning", "Sudden Account Seasoning", "medium", 25),
+    ("inflated_market_rent", "Inflated Market Rent", "medium", 28),
+    ("non_arms_length_leases", "Non-Arm's Length Leases", "medium", 25),
+    ("orphaned_property_expenses", "Orphaned Property Expenses", "medium", 25),
+    ("hidden_down_payment_loans", "Hidden Down Payment Loans", "medium", 28),
+    ("unjustified_property_flipping", "Unjustified Property Flipping", "medium", 25),
+    ("unverifiable_liquidity", "Unverifiable Liquidity", "medium", 22),
+    ("commingled_funds", "Commingled Funds", "medium", 20),
+    ("geographic_inconsistencies", "Geographic Inconsistencies", "medium", 25),
+    ("pfs_tax_discrepancies", "PFS vs. Tax Discrepancies", "medium", 28),
+    ("frequent_address_hopping", "Frequent Address Hopping", "medium", 20),
+    ("inconsistent_name_variations", "Inconsistent Name Variations", "low", 8),
+    ("missing_statement_pages", "Missing Statement Pages", "low", 12),
+    ("sloppy_pfs_formatting", "Sloppy PFS Formatting", "low", 8),
+    ("irregular_rent_deposits", "Irregular Rent Deposits", "low", 10),
+    ("stale_documentation", "Stale Documentation", "low", 10),
+    ("handwritten_lease_corrections", "Handwritten Lease Corrections", "low", 12),
+    ("unexplained_micro_debits", "Unexplained Micro-Debits", "low", 8),
+    ("newly_minted_llcs", "Newly Minted LLCs", "low", 12),
+    ("po_box_business_addresses", "PO Box Business Addresses", "low", 10),
+    ("misaligned_job_titles", "Misaligned Job Titles", "low", 12),
+    ("verbal_omissions", "Verbal Omissions", "low", 8),
+]
 DETECTED = ["altered_bank_math", "pdf_metadata_anomalies", "phantom_rental_income", "inflated_market_rent", "sudden_account_seasoning", "missing_statement_pages", "stale_documentation", "irregular_rent_deposits"]
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """(signal, name, severity, weight, has_detector)."""
-    rows = [(k, n, s.upper(), int(w), k in DETECTED) for k, n, s, w in (x.split("|") for x in SIGNALS.split("\n"))]
+    rows = [(k, n, s.upper(), w, k in DETECTED) for k, n, s, w in SIGNALS]
     return spark.createDataFrame(rows, "signal string, name string, severity string, weight int, has_detector boolean")
 
 
@@ -76,7 +78,8 @@ def payslip_math(docs: DataFrame, tolerance: float = 2.0) -> DataFrame:
     def value(words: str) -> Column:
         return F.replace(first_match(F.col("text"), rf"(?i)(?:{words}){number}", 1), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
 
-    found = docs.select("doc_id", value(r"gross|basic|earnings|total\s+earnings|gross\s+salary").alias("gross"), value(r"deduction|total\s+deductions|deductions").alias("deductions"), value(r"net|net\s+pay|take\s+home|salary\s+amount|net\s+salary").alias("net"))
+    amounts = F.struct(value(r"gross|basic|earnings|total\s+earnings|gross\s+salary").alias("gross"), value(r"deduction|total\s+deductions|deductions").alias("deductions"), value(r"net|net\s+pay|take\s+home|salary\s+amount|net\s+salary").alias("net"))
+    found = docs.select("doc_id", F.inline(F.array(amounts)))  # a generator's columns are computed once, filters on them stay above it
     return found.dropna().withColumn("mismatch", F.abs(F.col("gross") - F.col("deductions") - F.col("net")) > tolerance)
 
 
@@ -115,7 +118,8 @@ def signatures(files: DataFrame) -> DataFrame:
 
 def software(files: DataFrame, words: list[str] = SOFTWARE) -> DataFrame:
     """A HIGH finding for each program that the producer or creator names."""
-    return files.select("doc_id", F.explode(contained(F.lower(F.coalesce("producer", F.lit(""))), words)).alias("software"), F.lit("Editing Software Signature").alias("name"), F.lit("HIGH").alias("severity"))
+    named = F.lower(F.concat_ws("\n", "producer", "creator"))
+    return files.select("doc_id", F.explode(contained(named, words)).alias("software"), F.lit("Editing Software Signature").alias("name"), F.lit("HIGH").alias("severity"))
 
 
 def date_mismatch(files: DataFrame) -> DataFrame:

@@ -54,6 +54,7 @@ FROM (SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS g, CA
 
 RAW = """SELECT c_custkey AS doc_id, CONCAT('%PDF-1.7 ', CASE WHEN c_custkey % 5 = 0 THEN '/Type /Sig /ByteRange ' ELSE '' END, CASE WHEN c_custkey % 10 = 0 THEN '/Cert ' ELSE '' END, CASE WHEN c_custkey % 7 = 0 THEN '/Prev 116 ' ELSE '' END, REPEAT('%%EOF ', CAST(1 + c_custkey % 4 AS INT))) AS raw,
   CASE c_custkey % 6 WHEN 0 THEN 'Canva' WHEN 1 THEN 'Adobe Photoshop' WHEN 2 THEN 'Bank Core 4.1' WHEN 3 THEN NULL WHEN 4 THEN 'LibreOffice 7' ELSE 'iText' END AS producer,
+  CASE c_custkey % 11 WHEN 0 THEN 'GIMP 2.10' WHEN 1 THEN 'Canva' WHEN 2 THEN NULL ELSE 'Writer' END AS creator,
   CASE WHEN c_custkey % 3 = 0 THEN 'bank statement' ELSE 'holiday card from unon bank' END AS text, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE CAST(c_custkey % 9 AS STRING) END AS created, CAST(c_custkey % 9 + c_custkey % 2 AS STRING) AS modified FROM {customer}"""
 
 WORDS = """SELECT doc_id, pos, w AS word, CASE WHEN (doc_id * 31 + pos) % 23 = 0 THEN -1 ELSE CAST((doc_id * 31 + pos * 17) % 101 AS INT) END AS conf,

@@ -57,6 +57,30 @@ register("s9_case_reports", lambda t: K.report_rows(t.cases, t.kyc, t.findings,
 register("t1_summaries", lambda t: K.summaries(S.finding_groups(t.findings), S.trust_scores(t.findings), S.recommendation(F.col("trust_score"))), f"""WITH g AS (SELECT case_id, count(*) FILTER (contains(lower(name), 'identity') OR contains(lower(name), 'name')) AS i, count(*) FILTER (regexp_matches(lower(name), 'math|balance|salary')) AS f, count(*) FILTER (layer_source = 'FORENSIC') AS o FROM <findings> GROUP BY case_id)
  SELECT s.case_id, 'Trust score ' || CAST(trust_score AS VARCHAR) || '. Recommendation: ' || CASE WHEN trust_score >= 85 THEN 'Auto Approved' WHEN trust_score < 50 THEN 'High Risk Manual Review' ELSE 'Manual Review' END || '.' AS executive,
  CASE WHEN i + f + o = 0 THEN 'No findings.' ELSE 'Identity: ' || i || ', financial: ' || f || ', forensic: ' || o || '.' END AS risk FROM ({SCORED}) s JOIN g ON s.case_id = g.case_id""")
+
+
+def _said(key: str, *values: str) -> str:
+    """A fixed text as SQL, with SQL for its numbers."""
+    parts = K.CASE_TEXTS[key].replace("%%", "%").replace("%d", "\0").replace("%s", "\0").split("\0")
+    return "(" + " || ".join(x for p, v in zip(parts, [*values, None]) for x in ("'" + p.replace("'", "''") + "'", v) if x is not None) + ")"
+
+
+def _part(kind: str) -> str:
+    return f"CASE WHEN {kind} > 0 THEN {_said(kind, kind)} ELSE {_said(kind + '_none')} END"
+
+
+_STEPS = "list_filter([" + ", ".join(f"CASE WHEN {k} > 0 THEN {_said('step_' + k)} END" for k in ("identity", "math", "forensic")) + "], lambda x: x IS NOT NULL)"
+_CASE_TEXTS = f"""WITH f AS (SELECT case_id, count(*) AS n, count(*) FILTER (layer_source = 'CROSS_DOC' AND contains(lower(name), 'identity')) AS identity, count(*) FILTER (regexp_matches(lower(name), 'math|balance|salary')) AS math,
+  count(*) FILTER (layer_source = 'FORENSIC') AS forensic, list(name ORDER BY seq, name) FILTER (contains(lower(name), 'mismatch')) AS odd FROM <findings> GROUP BY case_id),
+ r AS (SELECT c.case_id, context, coalesce(n, 0) AS n, coalesce(identity, 0) AS identity, coalesce(math, 0) AS math, coalesce(forensic, 0) AS forensic, coalesce(odd, []) AS odd, CAST(coalesce(s.trust_score, 100) AS DECIMAL(9,1)) AS trust
+  FROM <cases> c LEFT JOIN f ON c.case_id = f.case_id LEFT JOIN ({SCORED}) s ON c.case_id = s.case_id)
+ SELECT case_id, CASE WHEN n > 0 THEN {_said('executive', 'n', 'trust')} ELSE {_said('executive_none')} END AS executive_summary, CASE WHEN n > 0 THEN {_said('hindi', 'trust')} ELSE {_said('hindi_none')} END AS executive_summary_hi,
+  CASE WHEN n > 0 THEN {_said('risk', 'CAST(100 - trust AS DECIMAL(9,1))')} ELSE {_said('risk_none')} END AS risk_narrative,
+  'Identity check: ' || {_part('identity')} || ' Math check: ' || {_part('math')} || ' Forensic check: ' || {_part('forensic')} AS evidence_analysis, CASE WHEN n > 0 THEN '15%' ELSE '0%' END AS false_positive_probability, odd AS contradictions,
+  CASE WHEN n > 0 THEN [{_said('missing')}] ELSE [] END AS missing_evidence, CASE WHEN n > 0 THEN [{_said('question')}] ELSE [] END AS manual_review_questions,
+  CASE WHEN len({_STEPS}) > 0 THEN {_STEPS} ELSE [{_said('step_none')}] END AS recommended_next_steps, 'Audit of applicant folder context ' || CHR(39) || coalesce(context, '') || CHR(39) || '. ' || {_part('identity')} AS forensic_story,
+  CASE WHEN n > 0 THEN {_said('verify')} ELSE {_said('approve')} END AS final_recommendation FROM r"""
+register("t1_case_texts", lambda t: K.case_texts(t.cases, t.findings, S.trust_scores(t.findings)), _CASE_TEXTS)
 _REPLIES = ['{"a": 1}', '```json\n{"a": 2}\n```', 'Here: {"a": 3} done', "none"]
 register("t2_lenient_json", lambda t: t.orders.select("o_orderkey", F.get_json_object(K.lenient_json(F.element_at(F.array(*map(F.lit, _REPLIES)), (F.col("o_orderkey") % 4 + 1).cast("int"))), "$.a").cast("int").alias("a")), "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS a FROM orders")
 register("t3_prompts", lambda t: K.prompts(t.cases, t.findings), f"SELECT c.case_id, 'Context: ' || context || CHR(10) || 'Findings:' || coalesce(CHR(10) || lines, '') AS prompt FROM <cases> c LEFT JOIN (SELECT case_id, string_agg('- ' || severity || ' ' || name, CHR(10) ORDER BY place) AS lines FROM ({_RANKED}) GROUP BY 1) l ON c.case_id = l.case_id")

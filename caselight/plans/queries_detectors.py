@@ -72,7 +72,7 @@ register("d10_signatures", lambda t: D.signatures(t.raw), f"""SELECT doc_id, 'In
 
 
 def _software(words: list[str]) -> str:
-    return "SELECT doc_id, software FROM <raw>, unnest([" + ", ".join(f"'{w}'" for w in words) + "]) AS u(software) WHERE contains(lower(producer), software)"
+    return "SELECT doc_id, software FROM <raw>, unnest([" + ", ".join(f"'{w}'" for w in words) + "]) AS u(software) WHERE contains(lower(coalesce(producer, '')), software) OR contains(lower(coalesce(creator, '')), software)"
 
 
 register("d11_editing_software", lambda t: D.software(t.raw), f"SELECT doc_id, software, 'Editing Software Signature' AS name, 'HIGH' AS severity FROM ({_software(D.SOFTWARE)})")
@@ -92,7 +92,7 @@ for _id, _signal, _where in [
     register(_id, lambda t, s=_signal: D.lease_signals(t.slips).where(F.col("signal") == s), f"SELECT doc_id, '{_signal}' AS signal FROM <slips> WHERE {_where}")
 register("d21_stale_documents", lambda t: t.statements.select("doc_id", D.oldest_date(F.col("text")).alias("oldest"), (F.datediff(F.lit("1998-08-02").cast("date"), D.oldest_date(F.col("text"))) > 90).alias("stale")),
          f"SELECT doc_id, min(date) AS oldest, date_diff('day', min(date), DATE '1998-08-02') > 90 AS stale FROM ({_DATES}) GROUP BY doc_id")
-_CATALOGUE = "(VALUES " + ", ".join("('{}', '{}', '{}', {}, {})".format(k, n.replace("'", "''"), s.upper(), w, k in D.DETECTED) for k, n, s, w in (x.split("|") for x in D.SIGNALS.split("\n"))) + ") AS c(signal, name, severity, weight, has_detector)"
+_CATALOGUE = "(VALUES " + ", ".join("('{}', '{}', '{}', {}, {})".format(k, n.replace("'", "''"), s.upper(), w, k in D.DETECTED) for k, n, s, w in D.SIGNALS) + ") AS c(signal, name, severity, weight, has_detector)"
 register("x11_signal_lookup", lambda t: D.lease_signals(t.slips).join(F.broadcast(D.catalogue(t.spark)), "signal").groupBy("signal", "name", "severity", "weight").agg(F.count("*").alias("n")),
          f"SELECT c.signal, c.name, c.severity, c.weight, count(*) AS n FROM {_CATALOGUE} JOIN (" + " UNION ALL ".join(f"SELECT doc_id, '{s}' AS signal FROM <slips> WHERE {w}" for s, w in (
              ("phantom_rental_income", f"regexp_matches({_LOW}, '{'|'.join(D.RENTAL)}') AND NOT regexp_matches({_LOW}, '{'|'.join(D.DEPOSITS)}')"), ("inflated_market_rent", f"list_avg({_RENTS}) > 5000"), ("sudden_account_seasoning", f"len(regexp_extract_all({_LOW}, 'deposit[:\\s]+[\\$£€]?\\s*([5-9]\\d{{3,}}|[1-9]\\d{{4,}})')) >= 2"),

@@ -155,3 +155,38 @@ def test_library_limit(spark, monkeypatch):
     monkeypatch.setattr(similar, "LIBRARY_ROWS", 3)
     with pytest.raises(ValueError, match="neighbours"):
         similar.library(similar.built_in(spark))
+
+
+def test_software_is_sought_in_producer_and_creator(spark):
+    files = spark.createDataFrame([(1, "Adobe Photoshop", "Writer"), (2, None, "GIMP 2.10"), (3, "Canva", "canva"), (4, None, None), (5, "", "iText")], "doc_id long, producer string, creator string")
+    assert sorted((r.doc_id, r.software) for r in detectors.software(files).collect()) == [(1, "photoshop"), (2, "gimp"), (3, "canva")]
+
+
+def test_case_texts(spark):
+    cases = spark.createDataFrame([(1, "Loan"), (2, None), (3, "Audit")], "case_id long, context string")
+    findings = spark.createDataFrame(
+        [(1, "Identity Name Mismatch", "CROSS_DOC", 2), (1, "Employer Mismatch", "CROSS_DOC", 1), (1, "Balance Error", "CONTEXT", 3), (3, None, "FORENSIC", 1)], "case_id long, name string, layer_source string, seq int"
+    )
+    scores = spark.createDataFrame([(1, 62.5)], "case_id long, trust_score double")
+    got = {r.case_id: r for r in K.case_texts(cases, findings, scores).collect()}
+    assert got[1].executive_summary == "Forensic analysis complete. Flagged 3 anomalies with Trust Score at 62.5%. Manual verification is recommended."
+    assert got[1].risk_narrative.startswith("Risk rating calculated at 37.5% ")
+    assert got[1].contradictions == ["Employer Mismatch", "Identity Name Mismatch"]
+    assert got[1].recommended_next_steps == ["Verify ID numbers with government databases.", "Verify payslip basic pay matches deposits in bank statements."]
+    assert "flagged 1 name mismatch" in got[1].evidence_analysis and "identified 1 calculation" in got[1].evidence_analysis and "62.5%" in got[1].executive_summary_hi
+    assert got[2].final_recommendation == "Approve Case" and got[2].contradictions == [] and got[2].forensic_story.startswith("Audit of applicant folder context ''. Names")
+    assert got[3].recommended_next_steps == ["Inspect file creator/producer metadata for Photoshop or Canva tags."] and "100.0%" in got[3].executive_summary
+    assert case_none(spark, cases) == 0
+
+
+def case_none(spark, cases):
+    findings = spark.createDataFrame([], "case_id long, name string, layer_source string, seq int")
+    return K.case_texts(cases.limit(0), findings, spark.createDataFrame([], "case_id long, trust_score double")).count()
+
+
+def test_no_pattern_is_unknown(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a payslip"), (4, "payslip and aadhaar")], "doc_id long, text string")
+    got = {r.doc_id: r.classification for r in C.classify(docs).collect()}
+    assert got == {1: "Unknown", 2: "Unknown", 3: "Payslip", 4: "Payslip"}
+    plan = C.classify(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == sum(map(len, C.TYPES.values()))
