@@ -1,7 +1,8 @@
 """Chat formatting: roles of transcript turns by a hidden Markov model, then canonical rendering.
 
-A turn shows signs: a speaker marker at its start, its length, its lines, whether it asks, whether it holds code or a
-list. The model's states are roles; what each role shows and which role follows which are counted from turns whose
+A text is cut before each of its lines that opens with a speaker marker, so that a transcript in one text comes apart.
+A piece shows signs: a speaker marker at its start, its length, its lines, whether it asks, whether it holds code or a
+list. Pieces of one text that turn out to be of one role in a row are one turn again. The model's states are roles; what each role shows and which role follows which are counted from turns whose
 role is known. Viterbi's path over a whole conversation is found in pieces, as its steps are products of matrices
 over (max, +): blocks of turns become one matrix each, the blocks of a conversation are chained by these small
 matrices, and each block is then walked by itself. No task holds a whole conversation, however long.
@@ -32,6 +33,16 @@ SIGNS = {"marker": 5, "length": 8, "lines": 4, "asks": 2, "code": 2, "listed": 2
 MARKER = r"^\s*(?:<\|im_start\|>|<\|)?(?:#{1,4}\s*|\*\*|\[)?(%s)\b(?:\]|\*\*|\|>)?\s*(?::|\n|\|>|\])"
 
 
+#: What opens a line of another speaker within a text: a name with a colon, or a name as a tag.
+INNER = r"(?i)\n(?=[ \t]*(?:(?:#{1,4}[ \t]*|\*\*|\[)?(?:%s)\b(?:\]|\*\*)?[ \t]*:|<\|(?:im_start\|>)?(?:%s)\b))"
+
+
+def pieces_of(text: Column) -> Column:
+    """A text in pieces, cut before each line but the first that opens with a speaker marker; line breaks join them again."""
+    names = "|".join(n for k in ROLES for n in NAMES[k])
+    return F.split(F.coalesce(text, F.lit("")), INNER % (names, names))
+
+
 def with_signs(turns: DataFrame) -> DataFrame:
     """``turns`` (conv_id, turn, text) and the signs of each turn, as small whole numbers."""
     text, low = F.coalesce("text", F.lit("")), F.lower(F.coalesce("text", F.lit("")))
@@ -86,14 +97,14 @@ def logs(counts: np.ndarray) -> np.ndarray:
 
 
 def fit(turns: DataFrame) -> HMM:
-    """Counts over all turns of known role; a marker at odds with the role is what the counts say it is.
+    """Counts over all turns of known role whose text is one piece; a marker at odds with the role is what the counts say it is.
 
     The counts that reach the driver are of a fixed number: states times states, and states times values.
     """
     state = F.lit(None).cast("int")
     for k, role in enumerate(ROLES):
         state = F.when(F.lower(F.trim("role")) == role, F.lit(k)).otherwise(state)
-    known = with_signs(turns).withColumn("state", state)
+    known = with_signs(turns).withColumn("state", F.when(F.size(pieces_of(F.col("text"))) == 1, state))
     before = F.lag("state").over(Window.partitionBy("conv_id", part_of_turn()).orderBy("turn", "text"))  # pairs within a part
     s = len(ROLES)
     start, step, emit = np.zeros(s), np.zeros((s, s)), {k: np.zeros((s, n)) for k, n in SIGNS.items()}
@@ -141,12 +152,16 @@ def viterbi(model: HMM, signs: dict[str, np.ndarray]) -> list[int]:
 
 
 def recover_roles(turns: DataFrame, model: HMM) -> DataFrame:
-    """(conv_id, turn, role, text, recovered) of every turn; ``recovered`` is the role on the best path of its conversation."""
+    """(conv_id, turn, part, role, text, recovered): the pieces of every turn, joined where neighbours in a turn have one
+    role; ``recovered`` is the role on the best path of the conversation, ``part`` counts the parts of a turn from 0."""
     turns = turns.select("conv_id", "turn", "role", "text")
     spark, signs = turns.sparkSession, ["sign_" + k for k in SIGNS]
     held = spark.sparkContext.broadcast(model)  # of a fixed size
     s = len(ROLES)
-    rows = materialise(with_blocks(with_signs(turns)), "chat-turns")
+    cut = with_blocks(turns).withColumn("pieces", pieces_of(F.col("text")))
+    cut = cut.select("conv_id", "turn", "role", "block", "place", F.size("pieces").alias("several"), F.posexplode("pieces").alias("piece", "text"))
+    cut = with_signs(cut).withColumn("sign_first", F.when(F.col("piece") > 0, 0).otherwise(F.col("sign_first")))
+    rows = materialise(cut.withColumn("place", F.shiftleft(F.col("place").cast("long"), 32) + F.col("piece")), "chat-turns")
 
     def arranged(columns: list[str]) -> DataFrame:
         return rows.select(*columns).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place")
@@ -185,26 +200,35 @@ def recover_roles(turns: DataFrame, model: HMM) -> DataFrame:
             enters, leaves = group["enters"][0], group["leaves"][0]
             first = (model.start if enters < 0 else model.step[enters]) + shows[0]
             path = walk(shows, model.step, first, leaves)
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(path), pa.int64()), pa.array([key[1]] * len(path), pa.int64()), pa.array(group["place"], pa.int32()), pa.array([ROLES[k] for k in path])], ["conv_id", "block", "place", "recovered"])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(path), pa.int64()), pa.array([key[1]] * len(path), pa.int64()), pa.array(group["place"], pa.int64()), pa.array([ROLES[k] for k in path])], ["conv_id", "block", "place", "recovered"])
 
     blocks = arranged(["conv_id", "block", "place", *signs]).mapInArrow(summed, "conv_id long, block long, m array<double>")
     ends = blocks.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chained, "conv_id long, block long, enters int, leaves int")
     ends = materialise(ends, "chat-ends")
     placed = rows.select("conv_id", "block", "place", *signs).join(ends, ["conv_id", "block"]).sortWithinPartitions("conv_id", "block", "place")
-    paths = placed.mapInArrow(walked, "conv_id long, block long, place int, recovered string")
-    return rows.join(paths, ["conv_id", "block", "place"]).drop("block", "place", *signs)
+    paths = materialise(placed.mapInArrow(walked, "conv_id long, block long, place long, recovered string"), "chat-paths")
+    told = rows.join(paths, ["conv_id", "block", "place"]).withColumn("source", F.shiftright("place", 32))
+    whole = told.where("several = 1").select("conv_id", "turn", F.lit(0).alias("part"), "role", "text", "recovered")
+    within = Window.partitionBy("conv_id", "block", "source").orderBy("place")
+    turned = F.coalesce((F.lag("recovered").over(within) != F.col("recovered")).cast("int"), F.lit(0))
+    parts = told.where("several > 1").withColumn("turned", turned).withColumn("part", F.sum("turned").over(within).cast("int"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n")
+    joined = parts.groupBy("conv_id", "block", "source", "part").agg(F.max("turn").alias("turn"), F.max("role").alias("role"), text.alias("text"), F.max("recovered").alias("recovered"))
+    return whole.union(joined.select(*whole.columns))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, recovered, n_turns, rendered), a row per turn of every conversation.
+    """(conv_id, turn, part, role, recovered, n_turns, rendered), a row per turn of every conversation, and several
+    (``part`` from 0) where a turn's text is itself a transcript; ``n_turns`` counts the rows of the table.
 
     ``rendered`` is ``<|role|>``, a line break, the bare text, ``<|end|>`` and a line break; a conversation is its
     turns' renderings in order. Nulls: a null text is empty, a null role is only not learned from, a null turn comes
     first, and rows without conv_id are left out. Ties: turns of one number in the order of their texts. Repeated
-    rows are turns of their own. Empty table: an empty result. Other columns are not read.
+    rows are turns of their own. Very long texts are cut at their markers alone, and no text is lost: the parts of a turn
+    are its whole text but for the markers that open them. Empty table: an empty result. Other columns are not read.
     """
     rows = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     found = recover_roles(rows, fit(rows))
     many = rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"))
     rendered = F.concat(F.lit("<|"), F.col("recovered"), F.lit("|>\n"), bare(F.coalesce("text", F.lit(""))), F.lit("<|end|>\n"))
-    return found.join(many, "conv_id").select("conv_id", "turn", "role", "recovered", "n_turns", rendered.alias("rendered"))
+    return found.join(many, "conv_id").select("conv_id", "turn", "part", "role", "recovered", "n_turns", rendered.alias("rendered"))

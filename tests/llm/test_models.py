@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from zlib import crc32
 
 import numpy as np
@@ -201,6 +202,36 @@ def test_roles_in_blocks_are_viterbi_paths(spark, monkeypatch):
     assert want == [r[2] for r in rows]
 
 
+def test_paths_are_best_of_all(spark):
+    """Every path over a short conversation, scored step by step; none beats the recovered one."""
+    rows = [(k, i, ("system", "user", "assistant", "tool")[(i * 7 + k) % 4], ("Tool: x", "why?", "because " * (3 * k + 1), "a\nb\nc")[(i + k) % 4]) for k in range(5) for i in range(k + 1)]
+    df = turns(spark, rows)
+    model = chat.fit(df)
+    got = {}
+    for r in chat.recover_roles(df, model).orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append(chat.ROLES.index(r.recovered))
+    for conv, group in chat.with_signs(df).orderBy("conv_id", "turn").toPandas().groupby("conv_id"):
+        def score(path):
+            total = model.start[path[0]] + sum(model.step[a, b] for a, b in zip(path, path[1:]))
+            return total + sum(model.emit[k][state, min(v, chat.SIGNS[k] - 1)] for k in chat.SIGNS for state, v in zip(path, group["sign_" + k]))
+
+        best = max(map(score, itertools.product(range(4), repeat=len(group))))
+        assert score(got[conv]) == pytest.approx(best)
+
+
+def test_transcripts_in_one_text_come_apart(spark):
+    said = [r for k in range(4) for r in conversation(k, 8)]
+    talk = "User: why so?\nAssistant: because it is\nso and\nso\nUser: why so?\nassistant : because"
+    rows = [*said, (10, 0, None, talk), (10, 1, "user", "User: why so?"), (11, 0, None, talk), (11, 0, None, talk), (12, 0, "assistant", "Assistant: first\nAssistant: second"), (12, 1, "user", "the user: none\nof them, users: too")]
+    got = chat.format_chats(turns(spark, rows)).orderBy("conv_id", "turn", "part").collect()
+    of = lambda k: [(r.turn, r.part, r.recovered, r.rendered) for r in got if r.conv_id == k]
+    want = [(0, 0, "user", "<|user|>\nwhy so?<|end|>\n"), (0, 1, "assistant", "<|assistant|>\nbecause it is\nso and\nso<|end|>\n"), (0, 2, "user", "<|user|>\nwhy so?<|end|>\n"), (0, 3, "assistant", "<|assistant|>\nbecause<|end|>\n")]
+    assert of(10) == [*want, (1, 0, "user", "<|user|>\nwhy so?<|end|>\n")]
+    assert of(11) == [w for w in want for _ in range(2)]
+    assert of(12)[0] == (0, 0, "assistant", "<|assistant|>\nfirst\nAssistant: second<|end|>\n") and len(of(12)) == 2
+    assert len([r for r in got if r.conv_id < 4]) == len(said)
+
+
 def test_chat_on_awkward_rows(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "### Assistant:\nhello"), (1, 5, "odd", ""), (2, 1, "system", "System: be kind " + "x " * 5000), (None, 1, "user", "lost"), *conversation(3, 6)]
     got = chat.format_chats(turns(spark, rows)).collect()
