@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import audit, mixing, phrases
 from .shared import read_table
 
 
@@ -71,6 +71,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import filter_audit
+
+    return filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal import find_personal
+
+    return find_personal(read_table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import mine_phrases
+
+    return mine_phrases(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_media_columns": op2_media_columns,
@@ -82,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_personal_data": op12_personal_data,
+    "op13_phrases": op13_phrases,
 }
 
 TOP_SQL = """
@@ -91,4 +112,4 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) A
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle(), "op6_exact_topk": TOP_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle(), "op6_exact_topk": TOP_SQL, "op11_filter_audit": audit.ORACLE, "op13_phrases": phrases.ORACLE}

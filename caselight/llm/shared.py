@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 #: What empties each memo that this Python worker keeps between tasks, by the memo's name.
@@ -85,6 +85,13 @@ def broadcast_if_small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def first_rows(rows: DataFrame, group: str, order: list, n: int, shares: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group, with their ``rank``: those of shares of it first, so that no task sorts a whole group."""
+    share = F.pmod(F.xxhash64(*rows.columns), F.lit(shares))
+    some = rows.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy(group, "share").orderBy(*order))).where(F.col("rank") <= n)
+    return some.drop("share").withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")).where(F.col("rank") <= n)
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name`` with as many underscores before it as set it apart from all of ``taken``."""
     lower = {t.lower() for t in taken}
