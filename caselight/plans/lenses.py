@@ -30,6 +30,9 @@ FINDINGS = """SELECT l_orderkey AS case_id, CASE WHEN l_quantity = 50 THEN 'CRIT
  CASE l_partkey % 5 WHEN 0 THEN 'Identity Name Mismatch' WHEN 1 THEN 'Altered Payslip Math' WHEN 2 THEN 'Balance Calculation Error' WHEN 3 THEN 'Employer Mismatch' ELSE 'Editing Software Signature' END AS name,
  l_linenumber AS seq FROM {lineitem}"""
 
+EVIDENCE = """SELECT l_orderkey AS case_id, l_linenumber AS finding, l_orderkey * 3 + l_linenumber % 3 AS doc_id, CAST(1 + l_partkey % 3 AS INT) AS page, CAST(l_discount AS DECIMAL(9,2)) AS confidence,
+ CONCAT('part ', CAST(l_partkey AS STRING)) AS extracted, CONCAT('status ', l_linestatus) AS description FROM {lineitem} WHERE l_suppkey % 4 <> 0"""
+
 CASE_EVENTS = """SELECT user_id AS case_id, event_id, ts, event_type, CASE event_type WHEN 'signup' THEN 5 WHEN 'view' THEN 30 WHEN 'click' THEN 60 WHEN 'purchase' THEN 100 ELSE 0 END AS progress,
  CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'PROCESSING' END AS status FROM {events}"""
 

@@ -25,5 +25,5 @@ def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None =
     QUERIES[name] = Query(lambda spark, sf_dir: build(Tables(spark, sf_dir)), duck(sql) if sql else None)
 
 
-for _family in ("documents", "crossdoc", "scoring", "detectors", "cases", "similar"):
+for _family in ("documents", "crossdoc", "scoring", "detectors", "cases", "similar", "store"):
     importlib.import_module(f"{__package__}.queries_{_family}")
