@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import MONTH
 
+#: Patterns of terms, the first that fits tells the category.
 TERMS = [
     ("Account Number", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b"),
     ("Account Number", r"\b\d{9,12}\b"),
@@ -35,6 +36,44 @@ def term_places(terms: DataFrame, words: DataFrame, most_amounts: int = 15) -> D
     return one.select("doc_id", "term", "category", "page", "x", "y")
 
 
+#: Words of the longest term that is looked for: names have up to four, as have account numbers in groups.
+LONGEST = 4
+#: Marks that may stand before and after a term.
+MARKS = "[.,;:!?\"()]"
+
+
+def without_marks(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{MARKS}+|{MARKS}+$", "")
+
+
+def run_places(terms: DataFrame, words: DataFrame, most_amounts: int = 15) -> DataFrame:
+    """(doc_id, term, category, page, x, y, width, height): all places of terms (doc_id, term, category) of up to ``LONGEST`` words.
+
+    words: (doc_id, pos, word, page, x0, y0, x1, y1), boxes in percent of the page. A term stands where a run of
+    consecutive words of one page, without marks around it, is the term; its box unites those of the run. Every word
+    brings the words after it along and meets only terms that begin with it. Of amounts the first places of a document
+    count; of places that are equal when rounded the first stays, others before amounts. Nulls: words and terms that are
+    null have no places.
+    """
+    after = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(0, LONGEST - 1)
+    starts = words.select("doc_id", "pos", F.collect_list(F.struct("word", "page", "x0", "y0", "x1", "y1")).over(after).alias("run"), without_marks(F.col("word")).alias("key"))
+    wanted = terms.select("doc_id", "term", "category", without_marks(F.split("term", " ")[0]).alias("key"), F.size(F.split("term", " ")).alias("n")).where(F.col("n") <= LONGEST)
+    run = F.slice("run", F.lit(1), F.col("n"))
+    part = lambda name: F.transform("run", lambda w: w[name])
+    hits = starts.join(wanted, ["doc_id", "key"]).where(F.size("run") >= F.col("n")).withColumn("run", run)
+    hits = hits.where((without_marks(F.array_join(part("word"), " ")) == F.col("term")) & (F.array_min(part("page")) == F.array_max(part("page"))))
+    x, y = F.array_min(part("x0")), F.array_min(part("y0"))
+    hits = hits.select("doc_id", "term", "category", "pos", F.array_min(part("page")).alias("page"), x.alias("x"), y.alias("y"), (F.array_max(part("x1")) - x).alias("width"), (F.array_max(part("y1")) - y).alias("height"))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "category").orderBy("page", "pos", "term"))).where((F.col("category") != "Amount") | (F.col("rank") <= most_amounts))
+    again = F.row_number().over(Window.partitionBy("doc_id", "page", F.round("x"), F.round("y")).orderBy(F.col("category") == "Amount", "pos", "term"))
+    return ranked.withColumn("again", again).where("again = 1").drop("pos", "rank", "again")
+
+
+def field_regions(places: DataFrame) -> DataFrame:
+    """(doc_id, page, x, y, width, height, severity, signal_name, signal_id, text): every place, to be marked on its page."""
+    return places.select("doc_id", "page", "x", "y", "width", "height", F.lit("high").alias("severity"), F.col("category").alias("signal_name"), F.lit("forensic_field").alias("signal_id"), F.col("term").alias("text"))
+
+
 def regions(places: DataFrame, signals: DataFrame) -> DataFrame:
     """(doc_id, page, x, y, severity, signal, text): what to mark on a page."""
     return places.join(signals, "category").select("doc_id", "page", "x", "y", "severity", "signal", F.col("term").alias("text"))

@@ -65,6 +65,10 @@ WORDS = """SELECT doc_id, pos, w AS word, CASE WHEN (doc_id * 31 + pos) % 23 = 0
 _SPARK_WORDS = "(SELECT doc_id, posexplode(split(text, ' ')) AS (pos, w) FROM {documents}) t"
 _DUCK_WORDS = "(SELECT doc_id, i AS pos, ws[i + 1] AS w FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM {documents}) d, unnest(range(len(ws))) AS u(i)) t"
 
+BOXES = """SELECT doc_id, pos, w AS word, page, x0, y0, x0 + 7 AS x1, y0 + 2 AS y1 FROM (SELECT doc_id, pos, w, CAST(pos % 12 * 8 AS INT) AS x0, CAST(FLOOR(pos / 12) % 50 * 2 AS INT) AS y0, CAST(1 + FLOOR(pos / 600) AS INT) AS page FROM @BOXES@) b WHERE w <> ''"""
+_SPARK_BOXES = "(SELECT doc_id, posexplode(split(text, '[ \n\t]+')) AS (pos, w) FROM {documents}) t"
+_DUCK_BOXES = "(SELECT doc_id, i AS pos, ws[i + 1] AS w FROM (SELECT doc_id, regexp_split_to_array(text, '[ \n\t]+') AS ws FROM {documents}) d, unnest(range(len(ws))) AS u(i)) t"
+
 IMAGES = """SELECT p_partkey AS doc_id, CAST(p_partkey % 50 AS DECIMAL(9,2)) * CAST(0.1 AS DECIMAL(3,1)) AS mean_diff, CAST(p_partkey % 70 AS DECIMAL(9,2)) * CAST(0.1 AS DECIMAL(3,1)) AS std_diff FROM {part}"""
 
 EMPLOYERS = """SELECT c_custkey AS doc_id, CAST(FLOOR(c_custkey / 3) AS BIGINT) AS case_id, c_custkey % 3 AS seq, employer, address, CONCAT('Employer: ', UPPER(REPLACE(employer,'.','')), CHR(10), 'Account Number: ', LPAD(CAST(c_custkey * 7919 % 1000000000 AS STRING),9,'0'), CHR(10),
@@ -78,7 +82,7 @@ LENSES = {k.lower(): v for k, v in list(globals().items()) if k.isupper() and is
 def duck(text: str) -> str:
     """A lens, or a query with lenses as ``<name>``, for DuckDB."""
     text = re.sub(r"<(\w+)>", lambda m: f"({LENSES[m[1]]})", text)
-    text = text.replace("@WORDS@", _DUCK_WORDS).replace("AS STRING", "AS VARCHAR")
+    text = text.replace("@WORDS@", _DUCK_WORDS).replace("@BOXES@", _DUCK_BOXES).replace("AS STRING", "AS VARCHAR")
     text = text.replace("LISTAGG(line, CHR(10)) WITHIN GROUP (ORDER BY row_no)", "string_agg(line, CHR(10) ORDER BY row_no)")
     return re.sub(r"\{([a-z]+)\}", r"\1", text)
 
@@ -95,5 +99,5 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in LENSES:
             return self.table(name)
-        text = LENSES[name].replace("@WORDS@", _SPARK_WORDS)
+        text = LENSES[name].replace("@WORDS@", _SPARK_WORDS).replace("@BOXES@", _SPARK_BOXES)
         return self.spark.sql(text, **{t: self.table(t) for t in set(re.findall(r"\{(\w+)\}", text))})

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import entities as E
-from ..operators import cases as K, classify as C, fields, scoring as S
+from ..operators import cases as K, classify as C, fields, reports as R, scoring as S, similar as M
 from ..streaming import flows
 from .queries_documents import classified
 from .queries_scoring import SCORED
+from .queries_similar import TOP
 from .registry import register
 
 register("p1_case_page", lambda t: K.page_of(t.cases, 20, 10).select("case_id", "created_at"), "SELECT case_id, created_at FROM <cases> ORDER BY created_at DESC, case_id LIMIT 10 OFFSET 20")
@@ -53,7 +54,6 @@ register("s11_snapshot_totals", lambda t: S.portfolio(t.cases, "1995-01-01").sel
 register("s13_replace_findings", lambda t: t.findings.join(t.cases.where("status = 'PENDING'").select("case_id"), "case_id", "left_anti").groupBy("layer_source").agg(F.count("*").alias("n")), "SELECT layer_source, count(*) AS n FROM <findings> WHERE case_id NOT IN (SELECT case_id FROM <cases> WHERE status = 'PENDING') GROUP BY 1")
 register("x6_case_children", lambda t: t.cases.select("case_id", "context").join(t.findings.groupBy("case_id").agg(F.count("*").alias("n_findings")), "case_id", "left").join(t.kyc.groupBy("case_id").agg(F.count("*").alias("n_documents")), "case_id", "left"),
          "SELECT c.case_id, context, n_findings, n_documents FROM <cases> c LEFT JOIN (SELECT case_id, count(*) AS n_findings FROM <findings> GROUP BY 1) f ON c.case_id = f.case_id LEFT JOIN (SELECT case_id, count(*) AS n_documents FROM <kyc> GROUP BY 1) d ON c.case_id = d.case_id")
-register("s9_case_reports", lambda t: K.report_rows(t.cases, t.kyc, t.findings, _events(t)))
 register("t1_summaries", lambda t: K.summaries(S.finding_groups(t.findings), S.trust_scores(t.findings), S.recommendation(F.col("trust_score"))), f"""WITH g AS (SELECT case_id, count(*) FILTER (contains(lower(name), 'identity') OR contains(lower(name), 'name')) AS i, count(*) FILTER (regexp_matches(lower(name), 'math|balance|salary')) AS f, count(*) FILTER (layer_source = 'FORENSIC') AS o FROM <findings> GROUP BY case_id)
  SELECT s.case_id, 'Trust score ' || CAST(trust_score AS VARCHAR) || '. Recommendation: ' || CASE WHEN trust_score >= 85 THEN 'Auto Approved' WHEN trust_score < 50 THEN 'High Risk Manual Review' ELSE 'Manual Review' END || '.' AS executive,
  CASE WHEN i + f + o = 0 THEN 'No findings.' ELSE 'Identity: ' || i || ', financial: ' || f || ', forensic: ' || o || '.' END AS risk FROM ({SCORED}) s JOIN g ON s.case_id = g.case_id""")
@@ -80,6 +80,42 @@ _CASE_TEXTS = f"""WITH f AS (SELECT case_id, count(*) AS n, count(*) FILTER (lay
   CASE WHEN n > 0 THEN [{_said('missing')}] ELSE [] END AS missing_evidence, CASE WHEN n > 0 THEN [{_said('question')}] ELSE [] END AS manual_review_questions,
   CASE WHEN len({_STEPS}) > 0 THEN {_STEPS} ELSE [{_said('step_none')}] END AS recommended_next_steps, 'Audit of applicant folder context ' || CHR(39) || coalesce(context, '') || CHR(39) || '. ' || {_part('identity')} AS forensic_story,
   CASE WHEN n > 0 THEN {_said('verify')} ELSE {_said('approve')} END AS final_recommendation FROM r"""
+
+def _filed(t):
+    """Documents as reports show them."""
+    return t.kyc.select("case_id", "doc_id", F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".pdf")).alias("filename"), F.lit("PAN Card").alias("classification"), F.lit("pdf").alias("file_type"), "text", F.struct("name", "pan").alias("entities"), F.struct(F.col("seq").cast("int").alias("seq")).alias("metadata"))
+
+
+def _proof(t):
+    return t.evidence.withColumn("coordinates", F.struct((F.col("page") * 10).alias("x"), F.col("finding").cast("int").alias("y")))
+
+
+def _reports(t, most: int = R.ITEMS):
+    cases = t.cases.withColumn("recommendation", F.when(F.col("trust_score").isNotNull(), S.recommendation(F.col("trust_score"))))
+    findings = t.findings.withColumn("description", F.concat_ws(" ", "name", F.lit("of"), "layer_source"))
+    summaries = K.case_texts(t.cases, t.findings, S.trust_scores(t.findings)).select("case_id", F.struct("executive_summary", "final_recommendation").alias("summary"))
+    matches = M.best_match(M.top_matches(M.matches(t.features, M.library(M.built_in(t.spark)))))
+    return R.reports(cases, _filed(t), findings, _proof(t), _events(t).withColumn("message", F.col("status")), matches, summaries, most)
+
+
+_FILED = "SELECT case_id, doc_id, 'doc-' || doc_id || '.pdf' AS filename, text, name, pan, CAST(seq AS INTEGER) AS seq FROM <kyc>"
+_REPORTS = f"""WITH d AS ({_FILED}),
+ dl AS (SELECT case_id, list({{'id': doc_id, 'filename': filename, 'classification': 'PAN Card', 'file_type': 'pdf', 'extracted_text': text, 'entities_json': {{'name': name, 'pan': pan}}, 'metadata_json': {{'seq': seq}}}} ORDER BY doc_id) AS documents FROM d GROUP BY 1),
+ e AS (SELECT x.case_id, finding AS seq, list({{'document': filename, 'document_id': x.doc_id, 'page': page, 'text': extracted, 'description': description, 'coordinates': {{'x': page * 10, 'y': CAST(finding AS INTEGER)}}}} ORDER BY x.doc_id, page, extracted, description) AS evidence FROM <evidence> x LEFT JOIN d ON x.doc_id = d.doc_id GROUP BY 1, 2),
+ f AS (SELECT x.case_id, list({{'id': x.seq, 'name': name, 'severity': severity, 'description': name || ' of ' || layer_source, 'layer_source': layer_source, 'evidence': coalesce(evidence, [])}} ORDER BY x.seq, name, severity, layer_source) AS findings FROM <findings> x LEFT JOIN e ON x.case_id = e.case_id AND x.seq = e.seq GROUP BY 1),
+ v AS (SELECT case_id, list({{'timestamp': strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'type': event_type, 'message': status}} ORDER BY ts, event_id) AS timeline FROM <case_events> GROUP BY 1),
+ s AS (SELECT case_id, {{'executive_summary': executive_summary, 'final_recommendation': final_recommendation}} AS summary FROM ({_CASE_TEXTS})),
+ m AS (SELECT case_id, {{'similarity_score': similarity, 'ref_id': ref_id, 'is_fraud': is_fraud}} AS alike FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY similarity DESC, is_fraud, rank) AS n FROM ({TOP}) WHERE rank <= 2) WHERE n = 1)
+ SELECT c.case_id, 0 AS part, CAST(to_json({{'investigation_id': c.case_id, 'context': context, 'status': status, 'created_at': strftime(created_at, '%Y-%m-%dT%H:%M:%S'),
+  'scores': {{'trust_score': trust_score, 'recommendation': CASE WHEN trust_score >= 85 THEN 'Auto Approved' WHEN trust_score < 50 THEN 'High Risk Manual Review' WHEN trust_score IS NOT NULL THEN 'Manual Review' END}},
+  'ai_summary': summary, 'dataset_similarity': alike, 'documents': coalesce(documents, []), 'findings': coalesce(findings, []), 'timeline': coalesce(timeline, [])}}) AS VARCHAR) AS report
+ FROM <cases> c LEFT JOIN dl ON c.case_id = dl.case_id LEFT JOIN f ON c.case_id = f.case_id LEFT JOIN v ON c.case_id = v.case_id LEFT JOIN s ON c.case_id = s.case_id LEFT JOIN m ON c.case_id = m.case_id"""
+register("s9_case_reports", _reports, _REPORTS)
+register("x6_evidence_chain", lambda t: R.evidence_chain(t.findings, t.evidence, _filed(t)), f"SELECT f.case_id, f.seq, f.name, severity, e.doc_id, filename, page, confidence, extracted, description FROM <findings> f LEFT JOIN <evidence> e ON f.case_id = e.case_id AND f.seq = e.finding LEFT JOIN ({_FILED}) d ON e.doc_id = d.doc_id")
+register("x6_case_levels", lambda t: R.levels(t.cases, t.findings, t.evidence, t.kyc), """WITH e AS (SELECT case_id, finding AS seq, count(*) AS pieces, count(DISTINCT (doc_id, page)) AS pages, sum(confidence) AS total FROM <evidence> GROUP BY 1, 2),
+ f AS (SELECT x.case_id, count(*) AS findings, CAST(min(CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 9 END) AS INTEGER) AS worst, count(pieces) AS proven, CAST(sum(pieces) AS BIGINT) AS pieces, CAST(sum(pages) AS BIGINT) AS pages, sum(total) AS total FROM <findings> x LEFT JOIN e ON x.case_id = e.case_id AND x.seq = e.seq GROUP BY 1),
+ d AS (SELECT case_id, count(*) AS documents FROM <kyc> GROUP BY 1)
+ SELECT c.case_id, coalesce(documents, 0) AS documents, coalesce(findings, 0) AS findings, worst, coalesce(proven, 0) AS proven, coalesce(pieces, 0) AS pieces, coalesce(pages, 0) AS pages, round(CAST(total AS DOUBLE) / pieces, 6) AS confidence FROM <cases> c LEFT JOIN d ON c.case_id = d.case_id LEFT JOIN f ON c.case_id = f.case_id""")
 register("t1_case_texts", lambda t: K.case_texts(t.cases, t.findings, S.trust_scores(t.findings)), _CASE_TEXTS)
 _REPLIES = ['{"a": 1}', '```json\n{"a": 2}\n```', 'Here: {"a": 3} done', "none"]
 register("t2_lenient_json", lambda t: t.orders.select("o_orderkey", F.get_json_object(K.lenient_json(F.element_at(F.array(*map(F.lit, _REPLIES)), (F.col("o_orderkey") % 4 + 1).cast("int"))), "$.a").cast("int").alias("a")), "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS a FROM orders")
@@ -98,22 +134,28 @@ register("e14_pan_names", lambda t: t.kyc.select("doc_id", E.pan_names(F.col("te
 register("e15_aadhaar_name", lambda t: t.kyc.select("doc_id", E.aadhaar_name(F.regexp_replace("text", "Name: ", "")).alias("name")))
 register("e16_father_name", lambda t: t.kyc.select("doc_id", E.father_name(F.concat(F.lit("Father's Name\n"), F.coalesce("name", F.lit("-")), F.lit("\n"), F.col("text"))).alias("father")), "SELECT doc_id, name AS father FROM <kyc>")
 _NAME_RE = "\\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\\b"
-register("e24_field_terms", lambda t: fields.field_terms(t.documents).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")))
+_TERMS = "SELECT doc_id, term, arg_min(category, ord) AS category FROM (" + " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[À-ÿ]', '_', 'g'), '{p}')) AS term, {k} AS ord, '{c}' AS category FROM documents" for k, (c, p) in enumerate(fields.TERMS)) + ") WHERE category <> 'Name/Address' OR length(term) < 40 GROUP BY 1, 2"
+register("e24_field_terms", lambda t: fields.field_terms(t.documents).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")), f"SELECT category, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_TERMS}) GROUP BY 1")
 register("e24_names", lambda t: fields.field_terms(t.documents.select("doc_id", "text")).where("category = 'Name/Address'").select("doc_id", "term"), f"SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[À-ÿ]', '_', 'g'), '{_NAME_RE}')) AS term FROM documents) WHERE length(term) < 40")
 
 
-def _places(t):
-    words = t.words
-    terms = words.where("length(word) >= 9 AND pos % 3 = 0").select("doc_id", F.col("word").alias("term"), F.when(F.length("word") >= 12, "Amount").otherwise("Date").alias("category")).distinct()
-    return fields.term_places(terms, words)
+def _runs(t):
+    return fields.run_places(fields.field_terms(t.documents.select("doc_id", "text")), t.boxes)
 
 
-_PLACES = """WITH w AS (SELECT * FROM <words>), t AS (SELECT DISTINCT doc_id, word AS term, CASE WHEN length(word) >= 12 THEN 'Amount' ELSE 'Date' END AS category FROM w WHERE length(word) >= 9 AND pos % 3 = 0),
+_BARE = "regexp_replace({}, '^" + fields.MARKS + "+|" + fields.MARKS + "+$', '', 'g')"
+_PLACES = f"""WITH w AS (SELECT doc_id, pos, {_BARE.format('word')} AS key, list({{'word': word, 'page': page, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS run FROM <boxes>),
+ t AS (SELECT *, string_split(term, ' ') AS parts FROM ({_TERMS})),
+ h AS (SELECT w.doc_id, term, category, pos, run[1:len(parts)] AS run FROM w JOIN t ON w.doc_id = t.doc_id AND w.key = {_BARE.format('t.parts[1]')} WHERE len(parts) <= 4 AND len(run) >= len(parts)),
+ p AS (SELECT doc_id, term, category, pos, list_min(list_transform(run, lambda r: r.page)) AS page, list_min(list_transform(run, lambda r: r.x0)) AS x, list_min(list_transform(run, lambda r: r.y0)) AS y, list_max(list_transform(run, lambda r: r.x1)) AS x1, list_max(list_transform(run, lambda r: r.y1)) AS y1
+  FROM h WHERE {_BARE.format("array_to_string(list_transform(run, lambda r: r.word), ' ')")} = term AND list_min(list_transform(run, lambda r: r.page)) = list_max(list_transform(run, lambda r: r.page))),
+ q AS (SELECT * FROM p QUALIFY category <> 'Amount' OR row_number() OVER (PARTITION BY doc_id, category ORDER BY page, pos, term) <= 15)
+ SELECT doc_id, term, category, page, x, y, x1 - x AS width, y1 - y AS height FROM q QUALIFY row_number() OVER (PARTITION BY doc_id, page, x, y ORDER BY category = 'Amount', pos, term) = 1"""
+register("e25_term_places", _runs, _PLACES)
+register("e26_regions", lambda t: fields.field_regions(_runs(t)), f"SELECT doc_id, page, x, y, width, height, 'high' AS severity, category AS signal_name, 'forensic_field' AS signal_id, term AS text FROM ({_PLACES})")
+_WORD_PLACES = """WITH w AS (SELECT * FROM <words>), t AS (SELECT DISTINCT doc_id, word AS term, CASE WHEN length(word) >= 12 THEN 'Amount' ELSE 'Date' END AS category FROM w WHERE length(word) >= 9),
  h AS (SELECT t.doc_id, term, category, pos, page, x0 AS x, y0 AS y, row_number() OVER (PARTITION BY t.doc_id, category ORDER BY pos, term) AS rank FROM t JOIN w ON t.doc_id = w.doc_id AND t.term = w.word)
  SELECT doc_id, term, category, page, x, y FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, x, y ORDER BY pos, term) AS again FROM h WHERE category <> 'Amount' OR rank <= 15) WHERE again = 1"""
-register("e25_term_places", _places, _PLACES)
-register("e26_regions", lambda t: fields.regions(_places(t), t.spark.createDataFrame([("Amount", "HIGH", "Altered amount"), ("Date", "MEDIUM", "Altered date")], "category string, severity string, signal string")),
-         f"SELECT doc_id, page, x, y, CASE category WHEN 'Amount' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE category WHEN 'Amount' THEN 'Altered amount' ELSE 'Altered date' END AS signal, term AS text FROM ({_PLACES})")
 
 
 def _all_places(t):
@@ -123,10 +165,9 @@ def _all_places(t):
     return fields.term_places(terms, words)
 
 
-_ALL_PLACES = _PLACES.replace(" AND pos % 3 = 0", "")
-register("e25_all_places", _all_places, _ALL_PLACES)
+register("e25_all_places", _all_places, _WORD_PLACES)
 register("e26_all_regions", lambda t: fields.regions(_all_places(t), t.spark.createDataFrame([("Amount", "HIGH", "Altered amount"), ("Date", "MEDIUM", "Altered date")], "category string, severity string, signal string")),
-         f"SELECT doc_id, page, x, y, CASE category WHEN 'Amount' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE category WHEN 'Amount' THEN 'Altered amount' ELSE 'Altered date' END AS signal, term AS text FROM ({_ALL_PLACES})")
+         f"SELECT doc_id, page, x, y, CASE category WHEN 'Amount' THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE category WHEN 'Amount' THEN 'Altered amount' ELSE 'Altered date' END AS signal, term AS text FROM ({_WORD_PLACES})")
 register("r1_incremental_intake", lambda t: flows.intake_of(t.table("documents"), t.sf_dir), "SELECT min(doc_id) AS doc_id, sha256(text) AS content_key FROM documents GROUP BY 2")
 register("r2_status_stream", lambda t: flows.status_of(t.sf_dir, t.spark), f"SELECT case_id, progress, status FROM ({_LATEST})")
 register("r3_balance_stream", lambda t: flows.balances_of(t.rows), """SELECT doc_id, row_no, kind FROM (SELECT *, CASE WHEN prev IS NULL THEN NULL WHEN abs(prev - amount - balance) <= 0.5 THEN 'debit' WHEN abs(prev + amount - balance) <= 0.5 THEN 'credit' ELSE 'error' END AS kind FROM (SELECT *, lag(balance) OVER (PARTITION BY doc_id ORDER BY page, row_no) AS prev FROM <rows>))""")

@@ -50,7 +50,7 @@ def _slips(t):
 
 register("x4_income_mismatch", lambda t: D.pay_mismatches(_slips(t)), f"SELECT case_id, first, second, {_FOUND.format('Income Inconsistency', 'HIGH')} FROM ({_TWO}) WHERE abs(first - second) > 100")
 register("w3_first_two", lambda t: D.first_two(_slips(t), "salary"), _TWO)
-register("x5_enough_documents", lambda t: D.with_enough(t.kyc.where("doc_id % 5 <> 0"), 2).select("case_id", "doc_id"), "SELECT case_id, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY case_id) AS n FROM <kyc> WHERE doc_id % 5 <> 0) WHERE n >= 2")
+register("x5_enough_documents", lambda t: D.with_enough(t.findings, 3).select("case_id", "seq"), "SELECT case_id, seq FROM (SELECT *, count(*) OVER (PARTITION BY case_id) AS n FROM <findings>) WHERE n >= 3")
 register("x5_all_documents", lambda t: D.with_enough(t.kyc, 2).select("case_id", "doc_id"), "SELECT case_id, doc_id FROM (SELECT *, count(*) OVER (PARTITION BY case_id) AS n FROM <kyc>) WHERE n >= 2")
 register("x7_reconcile_names", lambda t: D.reconciled_names(t.kyc).select("doc_id", "name", "reconciled"), f"""WITH k AS (SELECT * FROM <kyc>),
  best AS (SELECT case_id, name AS best FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY length(name) DESC, seq, doc_id) AS rn FROM k WHERE name IS NOT NULL) WHERE rn = 1),

@@ -103,9 +103,16 @@ _BASE = "trim(string_split(string_split(lower(font), '-')[1], ',')[1])"
 _FAM = f"SELECT doc_id, count(DISTINCT {_BASE}) AS n, bool_or(regexp_matches({_BASE}, '{'|'.join(D.CONSUMER_FONTS)}')) AS consumer, bool_or(regexp_matches({_BASE}, '{'|'.join(D.BANK_FONTS)}')) AS bank FROM <spans> GROUP BY doc_id"
 register("a12_font_families", lambda t: D.font_findings(t.spans).where("name = 'Font Inconsistency'"), f"SELECT doc_id, 'Font Inconsistency' AS name, 'HIGH' AS severity FROM ({_FAM}) WHERE n > 4")
 register("a13_mixed_fonts", lambda t: D.font_findings(t.spans).where("name = 'Mixed Font Origin'"), f"SELECT doc_id, 'Mixed Font Origin' AS name, 'HIGH' AS severity FROM ({_FAM}) WHERE consumer AND bank")
-_ODD = "WITH k AS (SELECT doc_id % 50 AS doc_id, size + CASE WHEN page = 7 THEN 6 ELSE 0 END AS size, count(*) AS n FROM <spans> GROUP BY 1, 2), m AS (SELECT doc_id, arg_max(size, n * 1000 - size) AS main, sum(n) AS total FROM k GROUP BY doc_id) SELECT k.doc_id, size, n, main FROM k JOIN m ON k.doc_id = m.doc_id WHERE abs(size - main) > 2 AND n < total * 0.05"
-register("a14_odd_sizes", lambda t: D.odd_sizes(t.spans.withColumn("doc_id", F.col("doc_id") % 50).withColumn("size", F.col("size") + F.when(F.col("page") == 7, 6).otherwise(0))), _ODD)
-register("a14_all_sizes", lambda t: D.odd_sizes(t.spans.withColumn("size", F.col("size") + F.when(F.col("page") == 7, 6).otherwise(0))), _ODD.replace("doc_id % 50 AS doc_id", "doc_id"))
+_ODD = "WITH k AS (SELECT doc_id, size + CASE WHEN page = 7 THEN 6 ELSE 0 END AS size, count(*) AS n FROM {rows} GROUP BY 1, 2), m AS (SELECT doc_id, arg_max(size, n * 1000 - size) AS main, sum(n) AS total FROM k GROUP BY doc_id) SELECT k.doc_id, size, n, main FROM k JOIN m ON k.doc_id = m.doc_id WHERE abs(size - main) > 2 AND n < total * 0.05"
+
+
+def _odd(spans):
+    return D.odd_sizes(spans.withColumn("size", F.col("size") + F.when(F.col("page") == 7, 6).otherwise(0)))
+
+
+# Documents of hundreds of spans: all lines of a supplier.
+register("a14_odd_sizes", lambda t: _odd(t.lineitem.select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page"), (8 + F.col("l_quantity").cast("int") % 5).alias("size"))), _ODD.replace("{rows}", "(SELECT l_suppkey AS doc_id, l_linenumber AS page, 8 + CAST(l_quantity AS INT) % 5 AS size FROM lineitem)"))
+register("a14_all_sizes", lambda t: _odd(t.spans), _ODD.replace("{rows}", "<spans>"))
 
 
 def _gated(t):
