@@ -1,4 +1,4 @@
-"""Streams: documents taken in once by content, the latest status of each case, balances checked with state."""
+"""Streams: documents taken in once by content, the latest status of each case, balances checked in their turn."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import StructType
 
-from ..functions.folders import kept, shared_folder
+from ..functions.folders import shared_folder
 
 
 def _finish(writer) -> None:
@@ -17,24 +18,27 @@ def _finish(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def take_in(stream: DataFrame, processed: str, checkpoint: str) -> None:
-    """Append documents whose content key is new to the processed table (doc_id, content_key); of equals in a batch the smallest id."""
+def new_contents(stream: DataFrame, delay: str = "30 days") -> DataFrame:
+    """(content_key, n_chars, arrived) of texts (text, arrived) whose content is new, as a stream.
+
+    The keys seen are the stream's own state, and are forgotten once the watermark is ``delay`` past them; no table of
+    what was taken in is read. A null text is a content of its own, taken in once.
+    """
+    keyed = stream.select(F.sha2("text", 256).alias("content_key"), F.length("text").alias("n_chars"), F.col("arrived").cast("timestamp").alias("arrived"))
+    return keyed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["content_key"])
 
-    def batch(rows: DataFrame, number: int) -> None:
-        new = rows.withColumn("content_key", F.sha2(F.col("text"), 256)).groupBy("content_key").agg(F.min("doc_id").alias("doc_id"))
-        known = rows.sparkSession.read.schema("doc_id long, content_key string").parquet(processed)
-        new.join(known, "content_key", "left_anti").select("doc_id", "content_key").write.mode("append").parquet(processed)
 
-    _finish(stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint))
+def take_in(stream: DataFrame, taken: str, checkpoint: str, delay: str = "30 days") -> None:
+    """Append what ``new_contents`` finds to the table ``taken``: each batch once, also if it is run again after a failure."""
+    _finish(new_contents(stream, delay).writeStream.format("parquet").option("path", taken).option("checkpointLocation", checkpoint))
 
 
 def intake_of(docs: DataFrame, sf_dir: str) -> DataFrame:
     spark = docs.sparkSession
-    processed = shared_folder(spark, "processed")
-    spark.createDataFrame([], "doc_id long, content_key string").write.parquet(processed)
-    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet*")
-    take_in(stream, processed, shared_folder(spark, "intake-state"))
-    return spark.read.parquet(processed)
+    taken = shared_folder(spark, "taken-in")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet*").withColumn("arrived", F.col("_metadata.file_modification_time"))
+    take_in(stream, taken, shared_folder(spark, "intake-state"))
+    return spark.read.schema("content_key string, n_chars int, arrived timestamp").parquet(taken)
 
 
 def latest_status(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -59,32 +63,93 @@ def status_of(sf_dir: str, spark: SparkSession) -> DataFrame:
 
 
 CHECKED = "doc_id long, row_no int, kind string"
+HELD = "ts timestamp, page int, row_no int, amount decimal(18,2), balance decimal(18,2)"
+STEP = Decimal("0.50")
+#: Later than all dates, and within what pandas holds.
+END = "2200-01-01"
+
+
+class InTurn(StatefulProcessor):
+    """Holds the rows of a statement back until the watermark has passed them, so that they are checked in their order
+    whatever batches they came in; keeps the last balance of those that are checked."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", HELD)
+        self.last = handle.getValueState("last", "balance decimal(18,2)")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [tuple(r) for batch in rows for r in batch[[c.split()[0] for c in HELD.split(", ")]].itertuples(index=False)]
+        first = not self.held.exists()
+        self.held.appendList(new)
+        if first:  # one timer waits for each statement, which then looks for the next turn itself
+            self.handle.registerTimer(int(min(r[0] for r in new).timestamp() * 1000))
+        yield pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "row_no": pd.Series(dtype="int32"), "kind": pd.Series(dtype=object)})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.held.get(), key=lambda r: (r[1], r[2]))
+        due = [r for r in rows if r[0].timestamp() * 1000 <= now]
+        left = [tuple(r) for r in rows if r[0].timestamp() * 1000 > now]
+        if left:
+            self.held.put(left)
+            self.handle.registerTimer(int(min(r[0] for r in left).timestamp() * 1000))
+        else:
+            self.held.clear()
+        before = self.last.get()[0] if self.last.exists() else None
+        kinds = []
+        for _, _, _, amount, balance in due:
+            if before is None or amount is None:
+                kinds.append(None)
+            else:
+                kinds.append("debit" if abs(before - amount - balance) <= STEP else "credit" if abs(before + amount - balance) <= STEP else "error")
+            before = balance
+        if due:
+            self.last.update((before,))
+        yield pd.DataFrame({"doc_id": [key[0]] * len(due), "row_no": pd.Series([r[2] for r in due], dtype="int32"), "kind": pd.Series(kinds, dtype=object)})
 
+    def close(self) -> None:
+        pass
 
-def check_rows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one statement in order; the state is the balance of the last row seen."""
-    rows = pd.concat(list(batches)).sort_values(["page", "row_no"], kind="stable")
-    before, kinds, step = state.get[0] if state.exists else None, [], Decimal("0.50")
-    for amount, balance in zip(rows["amount"], rows["balance"]):
-        if before is None or amount is None:
-            kinds.append(None)
-        else:
-            kinds.append("debit" if abs(before - amount - balance) <= step else "credit" if abs(before + amount - balance) <= step else "error")
-        before = balance
-    state.update((before,))
-    yield pd.DataFrame({"doc_id": rows["doc_id"], "row_no": rows["row_no"], "kind": kinds})
+
+def checked_balances(stream: DataFrame, delay: str = "1 day") -> DataFrame:
+    """(doc_id, row_no, kind) of a stream of statement rows (doc_id, txn_date, page, row_no, amount, balance).
+
+    Rows may come in any order and batches, as long as none is over ``delay`` behind the newest: later ones are dropped, as
+    are rows without a date. A row is checked once the watermark has passed its date. Page and row number grow with the date.
+    """
+    rows = stream.where("txn_date IS NOT NULL").withColumn("ts", F.col("txn_date").cast("timestamp")).withWatermark("ts", delay)
+    return rows.groupBy("doc_id").transformWithStateInPandas(InTurn(), CHECKED, "append", "EventTime")
+
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def check_stream(spark: SparkSession, source: str, schema: StructType, out: str, checkpoint: str, delay: str = "1 day", files: int = 1000) -> None:
+    """Check what has come to the folder ``source`` since the last call; ``end_stream`` lets the last rows go."""
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)  # the store that states of several kinds need
+    try:
+        stream = checked_balances(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source), delay)
+        _finish(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
 
 
-def checked_balances(stream: DataFrame) -> DataFrame:
-    """(doc_id, row_no, kind) of a stream of statement rows, whatever batches they come in; rows of a statement come in order."""
-    return stream.groupBy("doc_id").applyInPandasWithState(check_rows, CHECKED, "balance decimal(18,2)", "append", GroupStateTimeout.NoTimeout)
+def end_stream(spark: SparkSession, source: str, schema: StructType) -> None:
+    """A row of no statement, so far ahead that the watermark passes all others."""
+    end = spark.range(1).select(*(F.lit(END).cast(f.dataType).alias(f.name) if f.name == "txn_date" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
+    end.write.mode("append").parquet(source)
 
 
 def balances_of(rows: DataFrame) -> DataFrame:
+    """All rows as a stream, in whatever order their files come."""
     spark = rows.sparkSession
-    held = kept(rows, "statement-rows")
-    out = shared_folder(spark, "checked")
-    source = held.inputFiles()[0].rpartition("/")[0]
-    stream = checked_balances(spark.readStream.schema(held.schema).parquet(source))
-    _finish(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "checked-state")))
-    return spark.read.schema(CHECKED).parquet(out)
+    source, out, state = (shared_folder(spark, n) for n in ("statement-rows", "checked", "checked-state"))
+    rows = rows.select("doc_id", "txn_date", "page", "row_no", "amount", "balance")
+    rows.write.parquet(source)
+    # All dates may come in the first batch, so none is late.
+    check_stream(spark, source, rows.schema, out, state)
+    end_stream(spark, source, rows.schema)
+    check_stream(spark, source, rows.schema, out, state)
+    return spark.read.schema(CHECKED).parquet(out).where("doc_id IS NOT NULL")

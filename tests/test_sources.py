@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from caselight.operators import similar
 from caselight.sources import intake
 from caselight.streaming import flows
+from pyspark.sql.types import StructType
 
 
 def test_read_files(spark, tmp_path):
@@ -55,23 +56,81 @@ def test_findings_append_by_layer(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "findings")).where("layer_source = 'KNN'").count() == 2
 
 
+CONTENT = "content_key string, n_chars int, arrived timestamp"
+
+
+def arriving(spark, folder, *rows):
+    spark.createDataFrame(list(rows), "text string, arrived string").coalesce(1).write.mode("append").parquet(folder)
+
+
+def contents(spark, folder):
+    return spark.readStream.schema("text string, arrived string").option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def test_intake_over_batches(spark, tmp_path):
-    for k, rows in enumerate(([(1, "a"), (2, "b")], [(3, "a"), (4, "c")])):
-        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
-    processed = str(tmp_path / "processed")
-    spark.createDataFrame([], "doc_id long, content_key string").write.parquet(processed)
-    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "docs"))
+    docs, taken, state = (str(tmp_path / n) for n in ("docs", "taken", "state"))
+    arriving(spark, docs, ("a", "2024-01-01"), ("b", "2024-01-01"), ("a", "2024-01-02"))
+    arriving(spark, docs, ("a", "2024-01-02"), ("ccc", "2024-01-03"), (None, "2024-01-03"))
     for _ in range(2):  # a second run finds nothing new
-        flows.take_in(stream, processed, str(tmp_path / "state"))
-    assert spark.read.parquet(processed).count() == 3
+        flows.take_in(contents(spark, docs), taken, state)
+    arriving(spark, docs, ("b", "2024-01-04"), ("d", "2024-01-04"))  # files that overlap with earlier ones
+    flows.take_in(contents(spark, docs), taken, state)
+    rows = spark.read.schema(CONTENT).parquet(taken).collect()
+    assert sorted((r.n_chars is None, r.n_chars) for r in rows) == [(False, 1), (False, 1), (False, 1), (False, 3), (True, None)] and len({r.content_key for r in rows}) == 5
 
 
-def test_balances_over_batches(spark, tmp_path):
+def test_intake_forgets_old_contents(spark, tmp_path):
+    docs, taken, state = (str(tmp_path / n) for n in ("docs", "taken", "state"))
+    for day in ("2024-01-01", "2024-03-01", "2024-03-02"):
+        arriving(spark, docs, ("a", day))
+        flows.take_in(contents(spark, docs), taken, state)
+    days = sorted(str(r.arrived)[:10] for r in spark.read.schema(CONTENT).parquet(taken).collect())
+    assert days == ["2024-01-01", "2024-03-02"]  # that of March 1 came before the watermark had passed
+
+
+def test_intake_reads_no_table_of_what_was_taken(spark, tmp_path, capsys):
+    arriving(spark, str(tmp_path / "docs"), ("a", "2024-01-01"))
+    flows.new_contents(contents(spark, str(tmp_path / "docs"))).explain()
+    plan = capsys.readouterr().out
+    assert "DeduplicateWithinWatermark" in plan and "Join" not in plan and plan.count("StreamingRelation") == 1
+
+
+def test_balances_in_any_order(spark, tmp_path):
+    import random
+    from datetime import date, timedelta
+    from decimal import Decimal as D
+
+    schema = StructType.fromJson(spark.createDataFrame([], "doc_id long, txn_date date, page int, row_no int, amount decimal(18,2), balance decimal(18,2)").schema.jsonValue())
+    rng, rows, want = random.Random(4), [], {}
+    for doc in range(6):
+        balance, day = D(1000), date(2024, 1, 1)
+        for k in range(25):
+            amount, kind = D(rng.randint(1, 90)), rng.choice(["debit", "credit", "error"])
+            before, balance = balance, balance + {"debit": -amount, "credit": amount, "error": 500}[kind]
+            day += timedelta(rng.randint(0, 3))
+            rows.append((doc, day, 1, k, amount, balance))
+            want[doc, k] = kind if k else None
+    rng.shuffle(rows)
+    source, out, state = (str(tmp_path / n) for n in ("rows", "out", "state"))
+    for k in range(0, len(rows), 40):
+        spark.createDataFrame(rows[k : k + 40], schema).coalesce(1).write.mode("append").parquet(source)
+        flows.check_stream(spark, source, schema, out, state, delay="400 days")
+    flows.end_stream(spark, source, schema)
+    flows.check_stream(spark, source, schema, out, state, delay="400 days")
+    found = spark.read.schema(flows.CHECKED).parquet(out).where("doc_id IS NOT NULL").collect()
+    assert len(found) == len(rows) and {(r.doc_id, r.row_no): r.kind for r in found} == want
+    assert spark.conf.get(flows.STATE_STORE[0]) != flows.STATE_STORE[1]
+
+
+def test_balances_are_let_go_as_the_watermark_passes(spark, tmp_path):
+    from datetime import date
     from decimal import Decimal as D
 
-    schema = "doc_id long, page int, row_no int, amount decimal(18,2), balance decimal(18,2)"
+    schema = spark.createDataFrame([], "doc_id long, txn_date date, page int, row_no int, amount decimal(18,2), balance decimal(18,2)").schema
+    source, out, state = (str(tmp_path / n) for n in ("rows", "out", "state"))
+    seen = []
     for k, (a, b) in enumerate([("0", "100"), ("10", "90"), ("5", "99")]):
-        spark.createDataFrame([(1, 1, k, D(a), D(b))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
-    stream = flows.checked_balances(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rows")))
-    flows._finish(stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")))
-    assert [r.kind for r in spark.read.parquet(str(tmp_path / "out")).orderBy("row_no").collect()] == [None, "debit", "error"]
+        spark.createDataFrame([(1, date(2024, 1, 1 + 10 * k), 1, k, D(a), D(b))], schema).coalesce(1).write.mode("append").parquet(source)
+        flows.check_stream(spark, source, schema, out, state)
+        seen.append([(r.row_no, r.kind) for r in spark.read.schema(flows.CHECKED).parquet(out).orderBy("row_no").collect()])
+    assert seen == [[], [(0, None)], [(0, None), (1, "debit")]]
