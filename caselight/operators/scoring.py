@@ -72,16 +72,18 @@ def direct_risk(findings: DataFrame, key: str = "case_id") -> DataFrame:
 
 
 #: The entities expected of each type; other types are expected to show a name.
-EXPECTED = {"PAN": ["name", "dob", "pan"], "Aadhaar": ["name", "dob", "aadhaar"], "Payslip": ["name", "salary", "employer"]}
+EXPECTED = {
+    "PAN": ["name", "dob", "pan"], "Aadhaar": ["name", "dob", "aadhaar"], "Payslip": ["name", "salary", "employer"], "Property Record": ["property_id", "property_owner"],
+    "Bank Statement": ["account_number", "name"], "Utility Bill": ["address", "name"], "Lease Agreement": ["address", "name"],
+}
 
 
 def completeness(entities: DataFrame) -> DataFrame:
-    """(case_id, completeness): mean share of expected entities that are present, in percent."""
-    share = F.col("name").isNotNull().cast("double")
+    """(case_id, completeness): mean share of expected entities that are present, in percent; an entity without a column is never present."""
+    present = lambda k: F.col(k).isNotNull().cast("int") if k in entities.columns else F.lit(0)
+    share = present("name").cast("double")
     for kind, keys in EXPECTED.items():
-        if set(keys) <= set(entities.columns):
-            found = sum((F.col(k).isNotNull().cast("int") for k in keys), F.lit(0))
-            share = F.when(F.col("classification") == kind, found / len(keys)).otherwise(share)
+        share = F.when(F.col("classification") == kind, sum((present(k) for k in keys), F.lit(0)) / len(keys)).otherwise(share)
     return entities.groupBy("case_id").agg(F.avg(share * 100).alias("completeness"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import classify as C, detectors as D, scoring, statements as S
+from ..operators import cases as K, classify as C, detectors as D, gating, scoring, statements as S
 from .queries_documents import classified
 from .registry import register
 
@@ -126,6 +126,33 @@ register("d24_context_gate", _gated, f"""WITH c AS (SELECT doc_id, text FROM ({c
  SELECT doc_id, 'Altered Payslip Math' AS name, 'HIGH' AS severity FROM c WHERE abs({_val('gross|basic|earnings')} - {_val('deduction|total deductions|deductions')} - {_val('net|net\\s+pay|take\\s+home')}) > 2.0""")
 
 
+def _files(t):
+    """All documents of all cases: payslips and leases, and the statement of each account."""
+    both = t.slips.select("case_id", "doc_id", "text").unionByName(t.statements.select(F.col("doc_id").alias("case_id"), (-F.col("doc_id")).alias("doc_id"), "text"))
+    return C.classify(both).select("case_id", "doc_id", "text", "classification")
+
+
+_GATED = f"""docs AS (SELECT case_id, doc_id, text, classification FROM ({classified('slips')}) UNION ALL SELECT doc_id, -doc_id, text, classification FROM ({classified('statements')})),
+ g AS (SELECT d.*, lower(context) AS context FROM docs d JOIN <cases> c ON d.case_id = c.case_id WHERE text <> '' AND replace(lower(context), ' ', '_') IN ({', '.join(repr(k) for k in K.CONTEXT_RULES)})),
+ b AS (SELECT -doc_id AS doc_id, page, row_no, amount, balance FROM ({PARSED}) WHERE -doc_id IN (SELECT doc_id FROM g WHERE classification = 'Bank Statement')),
+ r AS (SELECT doc_id, case_id, text FROM g WHERE context IN ('mortgage underwriting', 'tenant screening'))"""
+_SIGNALLED = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS signal FROM r WHERE {w}" for s, w in (
+    ("phantom_rental_income", f"regexp_matches({_LOW}, '{'|'.join(D.RENTAL)}') AND NOT regexp_matches({_LOW}, '{'|'.join(D.DEPOSITS)}')"),
+    ("inflated_market_rent", f"list_avg({_RENTS}) > 5000"),
+    ("sudden_account_seasoning", f"len(regexp_extract_all({_LOW}, 'deposit[:\\s]+[\\$£€]?\\s*([5-9]\\d{{3,}}|[1-9]\\d{{4,}})')) >= 2"),
+    ("missing_statement_pages", "regexp_extract(lower(text), 'page\\s+(\\d+)\\s+of\\s+(\\d+)', 1) <> regexp_extract(lower(text), 'page\\s+(\\d+)\\s+of\\s+(\\d+)', 2)"),
+    ("irregular_rent_deposits", f"regexp_matches({_LOW}, '{'|'.join(D.P2P)}')"),
+    ("stale_documentation", "date_diff('day', list_min(list_transform(regexp_extract_all(text, '\\d{2}/\\d{2}/\\d{4}'), lambda x: CAST(strptime(x, '%d/%m/%Y') AS DATE))), DATE '1998-08-02') > 90"),
+))
+register("d24_context_findings", lambda t: gating.context_findings(t.cases, _files(t), "1998-08-02"), f"""WITH {_GATED},
+ found AS (SELECT doc_id, 'Balance Calculation Error' AS name, 'CRITICAL' AS severity FROM ({ERRORS.replace('<rows>', 'b')}) UNION ALL SELECT doc_id, 'Opening/Closing Balance Mismatch', 'HIGH' FROM ({CLOSING.replace('<rows>', 'b')}) WHERE difference > 1
+  UNION ALL SELECT doc_id, 'Altered Payslip Math', 'HIGH' FROM g WHERE classification = 'Payslip' AND abs({_val('gross|basic|earnings')} - {_val('deduction|total deductions|deductions')} - {_val('net|net\\s+pay|take\\s+home')}) > 2.0
+  UNION ALL SELECT doc_id, name, severity FROM (SELECT * FROM ({_SIGNALLED}) UNION ALL SELECT doc_id, 'altered_bank_math' FROM ({_TRIPLE.replace('<statements>', 'r')}) WHERE flagged) x JOIN {_CATALOGUE} ON c.signal = x.signal)
+ SELECT case_id, f.doc_id, 'CONTEXT' AS layer_source, name, severity FROM found f JOIN docs d ON f.doc_id = d.doc_id""")
+register("d24_gates", lambda t: gating.gated(t.cases, _files(t)).groupBy("case_id", "detector").agg(F.count("*").alias("n")), f"""WITH {_GATED} SELECT case_id, detector, count(*) AS n FROM (SELECT case_id, 'bank_balance' AS detector FROM g WHERE classification = 'Bank Statement'
+ UNION ALL SELECT case_id, 'payslip_math' FROM g WHERE classification = 'Payslip' UNION ALL SELECT case_id, 'lease_signals' FROM r) GROUP BY 1, 2""")
+
+
 def layers(t, metadata: bool = True, crossdoc: bool = True):
     """D25: findings without the layers that are switched off."""
     found = t.findings

@@ -57,3 +57,14 @@ def _complete(t):
 register("e23_completeness", _complete, """SELECT case_id, round(avg((CASE WHEN name IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN year(try_strptime(dob, '%d/%m/%Y')) BETWEEN 1900 AND 2028 THEN 1 ELSE 0 END
   + CASE WHEN regexp_matches(translate(substr(pan,1,5),'01582','OISBZ') || translate(substr(pan,6,4),'OISBZGT','0158267') || translate(substr(pan,10,1),'01582','OISBZ'), '^[A-Z]{5}[0-9]{4}[A-Z]$') THEN 1 ELSE 0 END) / 3 * 100), 6) AS completeness
  FROM (SELECT *, regexp_extract(text, '\\d{2}/\\d{2}/\\d{4}') AS dob FROM <kyc>) GROUP BY case_id""")
+_CLASSES = ["PAN", "Aadhaar", "Payslip", "Property Record", "Bank Statement", "Utility Bill", "Lease Agreement", "Insurance"]
+
+
+def _all_classes(t):
+    """Documents of all types; their texts show no names, birth dates, ids or salaries."""
+    kind = F.element_at(F.array(*map(F.lit, _CLASSES)), (F.col("doc_id") % 8 + 1).cast("int"))
+    docs = t.employers.select("case_id", kind.alias("classification"), F.lit(None).cast("string").alias("name"), "employer", "address", E.account_number(F.col("text")).alias("account_number"), E.property_id(F.col("text")).alias("property_id"), E.property_owner(F.col("text")).alias("property_owner"))
+    return S.completeness(docs).select("case_id", F.round("completeness", 6).alias("completeness"))
+
+
+register("e23_all_classes", _all_classes, "SELECT case_id, round(avg(CASE doc_id % 8 WHEN 2 THEN 100.0::DOUBLE / 3 WHEN 3 THEN 100 WHEN 4 THEN 50 WHEN 5 THEN 50 WHEN 6 THEN 50 ELSE 0 END), 6) AS completeness FROM <employers> GROUP BY case_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from caselight.operators import fields, reports as R
+from caselight.operators import fields, gating, reports as R, scoring
 
 CASES = "case_id long, context string, status string, created_at timestamp, trust_score double, recommendation string"
 
@@ -93,3 +93,25 @@ def test_first_amounts_only(spark):
     text = " ".join(f"x ${k}.00" for k in range(40))
     found = placed(spark, text, page=1000)
     assert len(found) == 15 and {t for t, *_ in found} == {f"${k}.00" for k in range(15)}
+
+
+def test_gates(spark):
+    cases = spark.createDataFrame([(1, "Loan Approval"), (2, "Tenant Screening"), (3, "Unknown"), (4, None)], "case_id long, context string")
+    slip = "Gross: 100.00\nDeductions: 10.00\nNet Pay: 50.00\nrent: 9,000.00 via venmo"
+    bank = "01/01/2020 open 100.00\n02/01/2020 x 10.00 95.00"
+    docs = spark.createDataFrame(
+        [(c, 10 * c + k, kind, text) for c in (1, 2, 3, 4) for k, (kind, text) in enumerate([("Payslip", slip), ("Bank Statement", bank), ("Unknown", slip), ("Payslip", ""), ("Payslip", None), (None, slip)])],
+        "case_id long, doc_id long, classification string, text string",
+    )
+    passed = {(r.doc_id, r.detector) for r in gating.gated(cases, docs).collect()}
+    assert passed == {(10, "payslip_math"), (11, "bank_balance"), (20, "payslip_math"), (21, "bank_balance"), *((d, "lease_signals") for d in (20, 21, 22, 25))}
+    found = {(r.case_id, r.doc_id, r.name) for r in gating.context_findings(cases, docs, "2024-01-01").collect()}
+    assert {(1, 10, "Altered Payslip Math"), (1, 11, "Balance Calculation Error"), (2, 20, "Altered Payslip Math")} <= found
+    assert {d for _, d, _ in found} == {10, 11, 20, 21, 22, 25} and {d for c, d, n in found if c == 1} == {10, 11}
+    undated = {r.name for r in gating.context_findings(cases, docs).where("doc_id = 21").collect()}
+    assert undated < {n for _, d, n in found if d == 21}  # only with a day to hold it against is a document too old
+
+
+def test_completeness_of_absent_columns(spark):
+    docs = spark.createDataFrame([(1, "Bank Statement", "n", "1"), (1, "Bank Statement", None, None), (2, "Payslip", "n", None), (3, "Other", "n", None), (4, "Lease Agreement", None, None)], "case_id long, classification string, name string, account_number string")
+    assert {r.case_id: round(r.completeness, 3) for r in scoring.completeness(docs).collect()} == {1: 50.0, 2: 33.333, 3: 100.0, 4: 0.0}
