@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import free_name, text_batches, working_on
+from .shared import free_name, materialise, text_batches, working_on
 
 #: The model is fitted on at most this many labelled rows, each with its whole text.
 SAMPLE_ROWS = 4000
+#: And on at most this many bytes of their texts: rows beyond that are left out whole, in the order of their hashes.
+SAMPLE_BYTES = 64 << 20
 #: A window starts every ``STRIDE`` words, so a passage of up to WINDOW - STRIDE + 1 = 17 words is whole in one of them.
 WINDOW, STRIDE = 32, 16
 THRESHOLD = 0.7
@@ -383,7 +385,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Mode
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([toxic.as_py()], pa.int32()), pa.array([" ".join(words_of(text.as_py()))])], ["doc_id", "toxic", "words"])
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")  # at most ``sample`` rows
-    rows = sorted((r.doc_id, r.toxic, r.words) for r in joined.mapInArrow(cut, "doc_id long, toxic int, words string").collect())
+    # Of rows of one doc_id the smallest text counts, so that there are no more texts than labels.
+    held = materialise(joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    sizes = held.select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("key")).collect()
+    kept, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r.key, r.doc_id, r.toxic)):
+        if total + r.n <= SAMPLE_BYTES:
+            kept.append((r.doc_id, r.toxic))
+            total += r.n
+    if len(kept) < len(sizes):
+        held = held.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long, toxic int")), ["doc_id", "toxic"], "left_semi")
+    rows = sorted((r.doc_id, r.toxic, r.words) for r in held.mapInArrow(cut, "doc_id long, toxic int, words string").collect())
     pool: dict[str, str] = {}
     texts = [[pool.setdefault(w, w) for w in r[2].split()] for r in rows]  # equal words are one object
     return fit([[t[a:b] for a, b in windows_of(len(t))] for t in texts], np.array([r[1] for r in rows]))
