@@ -245,7 +245,7 @@ def test_score_by_plain_loops():
     """The forward pass of tasks against the equations of the network, one number at a time."""
     import math
 
-    model = toxicity.Model(3)
+    model = X.Model(3)
     model.vocabulary = {"abc": 5, "zz": 9}
     p = {k: v.astype(float) for k, v in model.p.items()}
     text = " ".join(["abc", "zz", "extraordinarily", "q"] * 13)
@@ -269,24 +269,24 @@ def test_score_by_plain_loops():
         inputs = []
         for w in words:
             letters = [p["chars"][ord(c)] for c in w]
-            inputs.append([*run("cf", letters, toxicity.CHAR_STATE)[-1], *run("cb", letters[::-1], toxicity.CHAR_STATE)[-1], *p["words"][model.vocabulary.get(w, 0)]])
-        states = [a + b for a, b in zip(run("wf", inputs, toxicity.WORD_STATE), run("wb", inputs[::-1], toxicity.WORD_STATE)[::-1])]
-        e = [sum(math.tanh(sum(s[i] * p["aw"][i, j] for i in range(len(s)))) * p["av"][j, 0] for j in range(toxicity.ATTENTION)) for s in states]
+            inputs.append([*run("cf", letters, X.CHAR_STATE)[-1], *run("cb", letters[::-1], X.CHAR_STATE)[-1], *p["words"][model.vocabulary.get(w, 0)]])
+        states = [a + b for a, b in zip(run("wf", inputs, X.WORD_STATE), run("wb", inputs[::-1], X.WORD_STATE)[::-1])]
+        e = [sum(math.tanh(sum(s[i] * p["aw"][i, j] for i in range(len(s)))) * p["av"][j, 0] for j in range(X.ATTENTION)) for s in states]
         a = [math.exp(v) / sum(map(math.exp, e)) for v in e]
         return sum(a[t] * sum(states[t][i] * p["ow"][i, 0] for i in range(len(states[t]))) for t in range(len(states))) + p["ob"][0]
 
-    words = toxicity.words_of(text)
-    logits = [window(words[a:b]) for a, b in toxicity.windows_of(len(words))]
+    words = X.words_of(text)
+    logits = [window(words[a:b]) for a, b in X.windows_of(len(words))]
     assert len(logits) > 2
-    assert toxicity.Scorer(model).score([text])[0] == pytest.approx(1 / (1 + math.exp(-max(logits))), abs=1e-5)
+    assert X.Scorer(model).score([text])[0] == pytest.approx(1 / (1 + math.exp(-max(logits))), abs=1e-5)
 
 
 def test_sample_is_bounded_in_bytes(spark, monkeypatch):
     taken = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: taken.append(sum(len(w) for t in texts for x in t for w in x)) or toxicity.Model())
+    monkeypatch.setattr(X, "fit", lambda texts, toxic: taken.append(sum(len(w) for t in texts for x in t for w in x)) or X.Model())
     docs = spark.createDataFrame([(k, "word " * 100) for k in range(40)] * 3, "doc_id long, text string")
     marks = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
-    toxicity.train(docs, marks)
-    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2600)
-    toxicity.train(docs, marks)
+    X.train(docs, marks)
+    monkeypatch.setattr(X, "SAMPLE_BYTES", 2600)
+    X.train(docs, marks)
     assert taken[0] > 4 * taken[1] > 0
