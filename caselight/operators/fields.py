@@ -38,6 +38,8 @@ def term_places(terms: DataFrame, words: DataFrame, most_amounts: int = 15) -> D
 
 #: Words of the longest term that is looked for: names have up to four, as have account numbers in groups.
 LONGEST = 4
+#: Words of terms that are broadcast at most, so that the words of documents need not be shuffled; more are left to the planner.
+BROADCAST_ROWS = 1_000_000
 #: Marks that may stand before and after a term.
 MARKS = "[.,;:!?\"()]"
 
@@ -50,17 +52,23 @@ def run_places(terms: DataFrame, words: DataFrame, most_amounts: int = 15) -> Da
     """(doc_id, term, category, page, x, y, width, height): all places of terms (doc_id, term, category) of up to ``LONGEST`` words.
 
     words: (doc_id, pos, word, page, x0, y0, x1, y1), boxes in percent of the page. A term stands where a run of
-    consecutive words of one page, without marks around it, is the term; its box unites those of the run. Every word
-    brings the words after it along and meets only terms that begin with it. Of amounts the first places of a document
+    consecutive words of one page, without marks around it, is the term; its box unites those of the run. Words that no
+    term of their document has go first; the others bring those after them along and meet the terms that begin with them. Of amounts the first places of a document
     count; of places that are equal when rounded the first stays, others before amounts. Nulls: words and terms that are
-    null have no places.
+    null have no places. Positions count all words, without gaps.
     """
+    parts = F.split("term", " ")
+    wanted = terms.select("doc_id", "term", "category", without_marks(parts[0]).alias("key"), F.size(parts).alias("n")).where(F.col("n") <= LONGEST)
+    tokens = terms.where(F.size(parts) <= LONGEST).select("doc_id", F.explode(F.transform(parts, without_marks)).alias("key")).distinct()
+    if tokens.count() <= BROADCAST_ROWS:
+        tokens = F.broadcast(tokens)
+    # Only words that some term of their document has go any further.
+    some = words.withColumn("key", without_marks(F.col("word"))).join(tokens, ["doc_id", "key"], "left_semi")
     after = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(0, LONGEST - 1)
-    starts = words.select("doc_id", "pos", F.collect_list(F.struct("word", "page", "x0", "y0", "x1", "y1")).over(after).alias("run"), without_marks(F.col("word")).alias("key"))
-    wanted = terms.select("doc_id", "term", "category", without_marks(F.split("term", " ")[0]).alias("key"), F.size(F.split("term", " ")).alias("n")).where(F.col("n") <= LONGEST)
+    starts = some.select("doc_id", "pos", F.collect_list(F.struct("pos", "word", "page", "x0", "y0", "x1", "y1")).over(after).alias("run"), "key")
     run = F.slice("run", F.lit(1), F.col("n"))
     part = lambda name: F.transform("run", lambda w: w[name])
-    hits = starts.join(wanted, ["doc_id", "key"]).where(F.size("run") >= F.col("n")).withColumn("run", run)
+    hits = starts.join(wanted, ["doc_id", "key"]).where(F.size("run") >= F.col("n")).withColumn("run", run).where(F.array_max(part("pos")) == F.col("pos") + F.col("n") - 1)
     hits = hits.where((without_marks(F.array_join(part("word"), " ")) == F.col("term")) & (F.array_min(part("page")) == F.array_max(part("page"))))
     x, y = F.array_min(part("x0")), F.array_min(part("y0"))
     hits = hits.select("doc_id", "term", "category", "pos", F.array_min(part("page")).alias("page"), x.alias("x"), y.alias("y"), (F.array_max(part("x1")) - x).alias("width"), (F.array_max(part("y1")) - y).alias("height"))
