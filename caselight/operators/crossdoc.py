@@ -10,12 +10,55 @@ from ..functions.text import EMPLOYER_WORDS, normal_name, normal_words
 MATCH, NAMES_DIFFER, EMPLOYERS_DIFFER, PAY_DIFFERS = 0.92, 0.85, 0.75, 100
 
 
+#: Rows of a case up to which they meet in one cell; a larger case is cut into blocks of about so many.
+BLOCK = 2_000
+
+
+def in_blocks(rows: DataFrame, keys: list[str], block: int | None = None) -> DataFrame:
+    """``rows`` with ``block``, ``lo`` and ``hi``: once for each cell of two blocks of its case that a row takes part in.
+
+    Every two blocks of a case meet in one cell, so no task holds a case, and pairs of a small one are in one cell only.
+    """
+    block = block or BLOCK
+    large = rows.groupBy("case_id").agg(F.count("*").alias("n")).where(F.col("n") > block).select("case_id", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    cut = rows.join(large, "case_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64(*keys), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of one cell that meet there: of its two blocks, one row of each."""
+    joined = a.withColumnRenamed("block", "block_a").join(b.withColumnRenamed("block", "block_b"), ["case_id", "lo", "hi"])
+    return joined.where((F.col("lo") == F.col("hi")) | (F.col("block_a") != F.col("block_b"))).drop("lo", "hi", "block_a", "block_b")
+
+
+def _side(rows: DataFrame, columns: list[str], side: str, *others: str) -> DataFrame:
+    return rows.select(*others, *[F.col(c).alias(f"{c.removesuffix('_id')}_{side}") for c in columns])
+
+
+CELL = ("case_id", "block", "lo", "hi")
+
+
 def pairs_in_case(docs: DataFrame, columns: list[str]) -> DataFrame:
     """(case_id, doc_a, doc_b, <column>_a, <column>_b): pairs of a case in the order of seq, of documents that have all columns."""
-    own = docs.dropna(subset=columns)
-    a = own.select("case_id", F.col("seq").alias("seq_a"), F.col("doc_id").alias("doc_a"), *[F.col(c).alias(c + "_a") for c in columns])
-    b = own.select("case_id", F.col("seq").alias("seq_b"), F.col("doc_id").alias("doc_b"), *[F.col(c).alias(c + "_b") for c in columns])
-    return a.join(b, "case_id").where("seq_a < seq_b").drop("seq_a", "seq_b")
+    own = in_blocks(docs.dropna(subset=columns).select("case_id", "seq", "doc_id", *columns), ["doc_id", "seq"])
+    a, b = (_side(own, ["seq", "doc_id", *columns], side, *CELL) for side in "ab")
+    return met(a, b).where("seq_a < seq_b").drop("seq_a", "seq_b")
+
+
+def pairs_of_values(docs: DataFrame, column: str) -> DataFrame:
+    """(case_id, <column>_a, <column>_b): the distinct values of the pairs of a case, without making those pairs."""
+    values = docs.dropna(subset=[column]).groupBy("case_id", column).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    own = in_blocks(values, [column])
+    return met(_side(own, [column, "first"], "a", *CELL), _side(own, [column, "last"], "b", *CELL)).where("first_a < last_b").drop("first_a", "last_b")
+
+
+def documents_of(values: DataFrame, docs: DataFrame, column: str) -> DataFrame:
+    """Pairs of values of a case as pairs (doc_a, doc_b) of its documents in the order of seq."""
+    own = docs.dropna(subset=[column])
+    for side in "ab":
+        values = values.join(_side(own, ["doc_id", "seq", column], side, "case_id"), ["case_id", f"{column}_{side}"])
+    return values.where("seq_a < seq_b")
 
 
 def name_scores(pairs: DataFrame) -> DataFrame:
@@ -31,16 +74,19 @@ def finding(name: str, severity: str) -> list[Column]:
 
 
 def name_mismatches(docs: DataFrame) -> DataFrame:
-    """A finding for each pair of names in a case that are too unlike."""
-    pairs = pairs_in_case(docs, ["name"])
-    return pairs.join(name_scores(pairs), ["name_a", "name_b"]).where(F.col("similarity") < NAMES_DIFFER).select("case_id", "doc_a", "doc_b", *finding("Identity Name Mismatch", "HIGH"), F.round("similarity", 6).alias("score"))
+    """A finding for each pair of documents of a case whose names are too unlike."""
+    pairs = pairs_of_values(docs, "name")
+    unlike = pairs.join(name_scores(pairs), ["name_a", "name_b"]).where(F.col("similarity") < NAMES_DIFFER)
+    return documents_of(unlike, docs, "name").select("case_id", "doc_a", "doc_b", *finding("Identity Name Mismatch", "HIGH"), F.round("similarity", 6).alias("score"))
 
 
 def employer_mismatches(docs: DataFrame) -> DataFrame:
-    pairs = pairs_in_case(docs, ["employer"])
-    distinct = pairs.select("employer_a", "employer_b").distinct()
+    """A finding for each pair of documents of a case whose employers are too unlike."""
+    pairs = pairs_of_values(docs, "employer")
     score = token_set_ratio(normal_words(F.col("employer_a"), EMPLOYER_WORDS), normal_words(F.col("employer_b"), EMPLOYER_WORDS))
-    return pairs.join(distinct.withColumn("similarity", score), ["employer_a", "employer_b"]).where(F.col("similarity") < EMPLOYERS_DIFFER).select("case_id", "doc_a", "doc_b", *finding("Employer Mismatch", "MEDIUM"), F.round("similarity", 6).alias("score"))
+    scores = pairs.select("employer_a", "employer_b").distinct().withColumn("similarity", score)
+    unlike = pairs.join(scores, ["employer_a", "employer_b"]).where(F.col("similarity") < EMPLOYERS_DIFFER)
+    return documents_of(unlike, docs, "employer").select("case_id", "doc_a", "doc_b", *finding("Employer Mismatch", "MEDIUM"), F.round("similarity", 6).alias("score"))
 
 
 def id_mismatches(docs: DataFrame) -> DataFrame:
