@@ -98,6 +98,21 @@ def finding_groups(findings: DataFrame) -> DataFrame:
     )
 
 
+def snapshot(cases: DataFrame, generated_at: str) -> DataFrame:
+    """(case_id, line): the portfolio as lines of JSON: a head with totals (case_id null), then a line for each case.
+
+    cases: case_id, title, context, status, trust_score, recommendation. Lines are for ``write.text``, so nothing holds
+    the list whole; a completed case that is not approved automatically counts for manual review, one without a
+    recommendation too.
+    """
+    done = F.col("status") == "COMPLETED"
+    approved = F.coalesce(F.col("recommendation") == "AUTO_APPROVE", F.lit(False))
+    totals = cases.agg(F.count("*").alias("total_investigations"), F.count_if(done).alias("completed"), F.count_if(done & approved).alias("auto_approved"), F.count_if(done & ~approved).alias("manual_review"))
+    whole = {"ignoreNullFields": "false"}
+    head = totals.select(F.lit(None).cast(cases.schema["case_id"].dataType).alias("case_id"), F.to_json(F.struct(F.lit(generated_at).alias("generated_at"), *totals.columns), whole).alias("line"))
+    return head.unionByName(cases.select("case_id", F.to_json(F.struct(F.col("case_id").alias("id"), "title", "context", "status", "trust_score", "recommendation"), whole).alias("line")))
+
+
 def portfolio(cases: DataFrame, today: str) -> DataFrame:
     """One row of figures over all cases; ``today`` as yyyy-MM-dd."""
     done = F.col("status") == "COMPLETED"

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 #: Weights of features in percent and the spans that differences are held against.
 WEIGHTS = {"trust_score": (40, 100), "ocr_confidence": (10, 100), "metadata_score": (15, 100), "revision_count": (5, None), "salary_consistency": (10, "same"), "identity_similarity": (10, 1), "employer_consistency": (10, 1)}
 BONUSES = {"pdf_producer": 5, "editing_software": 5, "context": 10}
+#: Texts for which "None" says that there is none, so that it matches nothing.
+TOOLS = ("pdf_producer", "editing_software")
 SUSPICIOUS = "canva|photoshop|illustrator|inkscape|gimp|acrobat"
 VECTOR = "trust_score decimal(9,1), ocr_confidence decimal(9,1), metadata_score decimal(9,1), pdf_producer string, revision_count int, salary_consistency boolean, context string"
 #: Built-in reference cases.
@@ -47,7 +49,7 @@ def similarity(a: str, b: str, columns: list[str]) -> Column:
     for name, bonus in BONUSES.items():
         if name in columns:
             x, y = F.col(f"{a}{name}"), F.col(f"{b}{name}")
-            same = (x == y) & (x != "None") if name == "editing_software" else x == y
+            same = (x == y) & (x != "None") if name in TOOLS else x == y
             total = total + F.when(same, bonus).otherwise(0)
     return F.bround(F.least(F.lit(100), total).cast("decimal(18,6)"), 1).cast("decimal(9,1)")
 
@@ -57,6 +59,20 @@ def differences(a: str, b: str, columns: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(likeness(n, F.col(a + n), F.col(b + n)) < 0.85, F.lit(n)) for n in WEIGHTS if n in columns]))
 
 
+def difference_texts(a: str, b: str, columns: list[str]) -> Column:
+    """What ``differences`` finds, as texts in the order of features: by how much numbers differ, and both flags."""
+    texts = []
+    for name in [n for n in WEIGHTS if n in columns]:
+        x, y, shown = F.col(a + name), F.col(b + name), name.replace("_", " ").title()
+        flag = lambda c: F.when(c, "True").otherwise("False")
+        if WEIGHTS[name][1] == "same":
+            text = F.concat(F.lit(f"{shown} discrepancy: case has "), flag(x), F.lit(", target reference has "), flag(y), F.lit("."))
+        else:
+            text = F.concat(F.lit(f"{shown} varies by "), F.abs(x - y).cast("decimal(9,1)").cast("string"), F.lit(" points."))
+        texts.append(F.when(likeness(name, x, y) < 0.85, text))
+    return F.array_compact(F.array(*texts))
+
+
 def prefixed(vectors: DataFrame, prefix: str) -> DataFrame:
     return vectors.select(*[F.col(c).alias(prefix + c) for c in vectors.columns])
 
@@ -111,7 +127,7 @@ def arrays(a: pa.Table, b: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, n
         if name in WEIGHTS:
             x[name], y[name] = (np.array(t[name].to_pylist(), np.float64) for t in (a, b))
         else:
-            codes: dict = {None: -1} | ({"None": -1} if name == "editing_software" else {})
+            codes: dict = {None: -1} | ({"None": -1} if name in TOOLS else {})
             x[name], y[name] = (np.array([codes.setdefault(v, len(codes)) for v in t[name].to_pylist()], np.int64) for t in (a, b))
     return x, y
 

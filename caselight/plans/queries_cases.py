@@ -9,7 +9,7 @@ from ..operators import cases as K, classify as C, fields, reports as R, scoring
 from ..streaming import flows
 from .queries_documents import classified
 from .queries_scoring import SCORED
-from .queries_similar import TOP
+from .queries_similar import _TOP_ALL as TOP_ALL, TOP, _nearest as nearest
 from .registry import register
 
 register("p1_case_page", lambda t: K.page_of(t.cases, 20, 10).select("case_id", "created_at"), "SELECT case_id, created_at FROM <cases> ORDER BY created_at DESC, case_id LIMIT 10 OFFSET 20")
@@ -171,3 +171,51 @@ register("e26_all_regions", lambda t: fields.regions(_all_places(t), t.spark.cre
 register("r1_incremental_intake", lambda t: flows.intake_of(t.table("documents"), t.sf_dir).drop("arrived"), "SELECT DISTINCT sha256(text) AS content_key, CAST(length(text) AS INTEGER) AS n_chars FROM documents")
 register("r2_status_stream", lambda t: flows.status_of(t.sf_dir, t.spark), f"SELECT case_id, progress, status FROM ({_LATEST})")
 register("r3_balance_stream", lambda t: flows.balances_of(t.rows), """SELECT doc_id, row_no, kind FROM (SELECT *, CASE WHEN prev IS NULL THEN NULL WHEN abs(prev - amount - balance) <= 0.5 THEN 'debit' WHEN abs(prev + amount - balance) <= 0.5 THEN 'credit' ELSE 'error' END AS kind FROM (SELECT *, lag(balance) OVER (PARTITION BY doc_id ORDER BY page, row_no) AS prev FROM <rows>))""")
+
+
+def _recommended(t):
+    return t.cases.withColumn("recommendation", F.when(F.col("trust_score").isNotNull(), S.recommendation(F.col("trust_score"))))
+
+
+_RECOMMENDED = "SELECT *, CASE WHEN trust_score >= 85 THEN 'AUTO_APPROVE' WHEN trust_score < 50 THEN 'HIGH_RISK_MANUAL_REVIEW' WHEN trust_score IS NOT NULL THEN 'MANUAL_REVIEW' END AS recommendation FROM <cases>"
+_NOW = "2024-01-02T03:04:05"
+register("s11_snapshot", lambda t: S.snapshot(_recommended(t), _NOW), f"""WITH c AS ({_RECOMMENDED})
+ SELECT NULL AS case_id, CAST(to_json({{generated_at: '{_NOW}', total_investigations: count(*), completed: count(*) FILTER (status = 'COMPLETED'), auto_approved: count(*) FILTER (status = 'COMPLETED' AND recommendation = 'AUTO_APPROVE'), manual_review: count(*) FILTER (status = 'COMPLETED' AND recommendation IS DISTINCT FROM 'AUTO_APPROVE')}}) AS VARCHAR) AS line FROM c
+ UNION ALL SELECT case_id, CAST(to_json({{id: case_id, title: title, context: context, status: status, trust_score: trust_score, recommendation: recommendation}}) AS VARCHAR) FROM c""")
+_ITEM = "SELECT '{0}' AS kind, CAST(to_json({{{1}}}) AS VARCHAR) AS item FROM <{2}> WHERE case_id = 7"
+
+
+def _case_file(t):
+    docs, found = t.kyc.select("case_id", "doc_id", "name", "pan", "text"), t.findings.select("case_id", "seq", "name", "severity", "layer_source")
+    return R.case_file(7, t.cases.select("case_id", "context", "status", "title"), document=docs, finding=found, evidence=t.evidence.select("case_id", "finding", "doc_id", "page", "extracted"), event=t.case_events.select("case_id", "event_id", "event_type", "progress"))
+
+
+register("p2_case_file", _case_file, " UNION ALL ".join(_ITEM.format(kind, ", ".join(f"{c}: {c}" for c in columns.split()), lens) for kind, columns, lens in [
+    ("case", "case_id context status title", "cases"), ("document", "case_id doc_id name pan text", "kyc"), ("finding", "case_id seq name severity layer_source", "findings"), ("evidence", "case_id finding doc_id page extracted", "evidence"), ("event", "case_id event_id event_type progress", "case_events")]))
+
+
+def _case_prompts(t):
+    docs = t.kyc.select("case_id", "doc_id", F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".pdf")).alias("filename"), F.lit("PAN Card").alias("classification"), (60 + F.col("doc_id") % 41).alias("ocr_confidence"), F.when(F.col("doc_id") % 4 == 0, "Canva").alias("producer"), F.lit(None).cast("string").alias("creator"))
+    findings = t.findings.withColumn("description", F.concat_ws(" ", "name", F.lit("of"), "layer_source"))
+    return R.prompts(_recommended(t), docs, findings, t.evidence, nearest(t))
+
+
+_T = R.PROMPT
+
+
+def _headed(section: int, name: str, kind: str) -> str:
+    return f"SELECT case_id, {section}, 0, 0, 0, 0, CHR(10) || '{_T[name]}' || CASE WHEN case_id IN (SELECT case_id FROM {kind}) THEN '' ELSE CHR(10) || '{_T['no ' + name]}' END FROM c"
+
+
+register("t3_case_prompts", _case_prompts, f"""WITH c AS ({_RECOMMENDED}), d AS (SELECT *, 'doc-' || doc_id || '.pdf' AS filename FROM <kyc>), f AS (SELECT * FROM <findings>), e AS (SELECT * FROM <evidence>), m AS ({TOP_ALL}),
+ lines(case_id, section, ord, below, place, page, line) AS (
+ SELECT case_id, 0, 0, 0, 0, 0, '{_T['metrics']}' || CHR(10) || '- Case Context: ' || coalesce(context, 'None') || CHR(10) || '- Trust Score: ' || coalesce(CAST(trust_score AS VARCHAR), 'None') || '/100' || CHR(10) || '- Rule Engine Suggestion: ' || coalesce(recommendation, 'None') FROM c
+ UNION ALL {_headed(1, 'documents', 'd')}
+ UNION ALL SELECT case_id, 2, doc_id, 0, 0, 0, '- File: ' || filename || CHR(10) || '  Type: PAN Card' || CHR(10) || '  OCR Accuracy: ' || (60 + doc_id % 41) || '%' || CHR(10) || '  Producer: ' || CASE WHEN doc_id % 4 = 0 THEN 'Canva' ELSE 'None' END || CHR(10) || '  Creator/Editor: None' FROM d
+ UNION ALL {_headed(3, 'findings', 'f')}
+ UNION ALL SELECT case_id, 4, seq, 0, 0, 0, '- Finding Name: ' || name || CHR(10) || '  Severity: ' || severity || CHR(10) || '  Source: ' || layer_source || CHR(10) || '  Description: ' || name || ' of ' || layer_source || CHR(10) || '  Evidence Items:'
+   || CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.case_id = f.case_id AND e.finding = f.seq) THEN '' ELSE CHR(10) || '{_T['no evidence']}' END FROM f
+ UNION ALL SELECT e.case_id, 4, finding, 1, e.doc_id, page, '  - Evidence in ' || coalesce(filename, 'None') || ' on page ' || page || ': ' || description || ' [Text: ' || CHR(39) || extracted || CHR(39) || ']' FROM e LEFT JOIN d ON e.doc_id = d.doc_id
+ UNION ALL {_headed(5, 'matches', 'm')}
+ UNION ALL SELECT case_id, 6, CAST(is_fraud AS INTEGER), rank, 0, 0, '  * ' || ref_id || ' (' || similarity || '% match) - Label: ' || CASE WHEN is_fraud THEN 'fraud' ELSE 'genuine' END FROM m)
+ SELECT case_id, 0 AS part, string_agg(line, CHR(10) ORDER BY section, ord, below, place, page, line) AS prompt FROM lines WHERE case_id IN (SELECT case_id FROM c) GROUP BY case_id""")

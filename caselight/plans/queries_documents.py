@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import entities as E, money, similarity, text as X
+from ..functions.folders import shared_folder
 from ..operators import classify as C
 from ..sources import intake
 from .registry import register
@@ -155,3 +156,30 @@ register("s3_file_names", lambda t: t.pages.select("page_id", intake.safe_name(F
 register("s5_content_key", lambda t: intake.first_by_content(t.documents.select("doc_id", "text", F.concat(F.lit("f"), (F.col("doc_id") % 2).cast("string")).alias("filename"))),
          "SELECT min(doc_id) AS doc_id, sha256(text || 'f' || CAST(doc_id % 2 AS VARCHAR)) AS content_key FROM documents GROUP BY 2")
 register("s7_read_tables", lambda t: t.customer.select("c_custkey", "c_name", "c_nationkey"), "SELECT c_custkey, c_name, c_nationkey FROM customer")
+
+
+def _word_files(t):
+    """Raw files under names of several kinds, after the signatures of old and new text documents."""
+    k = F.col("doc_id")
+    path = F.concat(F.lit("in/"), k, F.when(k % 5 == 0, ".DOC").when(k % 5 == 1, ".docx").when(k % 5 == 2, ".docx.pdf").otherwise(".zip"))
+    sign = F.when(k % 4 == 0, F.unhex(F.lit("D0CF11E0A1B11AE1"))).when(k % 4 < 3, F.unhex(F.lit("504B0304"))).otherwise(F.lit(b""))
+    inner = F.when(k % 4 == 1, "word/document.xml").otherwise("xl/workbook.xml")
+    return t.raw.select("doc_id", path.alias("path"), F.concat(sign, F.encode(F.concat(F.col("raw"), inner), "UTF-8")).alias("content"))
+
+
+_WORD_FILES = """SELECT doc_id, 'in/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.DOC' WHEN 1 THEN '.docx' WHEN 2 THEN '.docx.pdf' ELSE '.zip' END AS path,
+ CASE doc_id % 4 WHEN 0 THEN 'D0CF11E0A1B11AE1' WHEN 3 THEN '' ELSE '504B0304' END || hex(encode(raw || CASE WHEN doc_id % 4 = 1 THEN 'word/document.xml' ELSE 'xl/workbook.xml' END)) AS content FROM <raw>"""
+register("s1_may_be_read", lambda t: _word_files(t).select("doc_id", intake.may_be_read(F.col("path")).alias("taken")), f"SELECT doc_id, regexp_matches(lower(path), '\\.(pdf|png|jpg|jpeg|bmp|tiff)$') AS taken FROM ({_WORD_FILES})")
+register("s4_word_files", lambda t: _word_files(t).select("doc_id", intake.is_word_file(F.col("path"), F.col("content")).alias("is_word")),
+         f"SELECT doc_id, regexp_matches(lower(path), '\\.docx?$') OR starts_with(content, 'D0CF11E0A1B11AE1') OR (starts_with(content, '504B0304') AND contains(content, hex(encode('word/document.xml')))) AS is_word FROM ({_WORD_FILES})")
+
+
+def _flushed(t):
+    """The keys of all documents as a processed table, emptied: how many it held and holds."""
+    path = shared_folder(t.spark, "processed")
+    t.documents.select(intake.content_key(F.col("text"), F.lit("f")).alias("content_key")).distinct().write.parquet(path)
+    flushed = intake.flush_processed(t.spark, path)
+    return t.spark.read.schema("content_key string").parquet(path).agg(F.count("*").alias("left")).select(F.lit(flushed).cast("long").alias("flushed"), "left")
+
+
+register("s6_flush", _flushed, "SELECT count(DISTINCT coalesce(text, chr(1))) AS flushed, 0 AS \"left\" FROM documents")

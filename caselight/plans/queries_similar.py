@@ -13,7 +13,7 @@ _REFS = "(VALUES " + ", ".join(f"('{i}', {f}, {a}::DECIMAL(9,1), {b}::DECIMAL(9,
 def _score(a: str, b: str) -> str:
     part = lambda n, w, span: f"CAST(1 - abs({a}.{n} - {b}.{n}) / {span} AS DECIMAL(18,9)) * {w}"
     return f"""CAST(round_even(CAST(least(100, {part('trust_score', 40, '100')} + {part('ocr_confidence', 10, '100')} + {part('metadata_score', 15, '100')} + {part('revision_count', 5, f'greatest(1, {a}.revision_count, {b}.revision_count)')}
- + CASE WHEN {a}.salary_consistency = {b}.salary_consistency THEN 10 ELSE 0 END + 20 + CASE WHEN {a}.pdf_producer = {b}.pdf_producer THEN 5 ELSE 0 END + CASE WHEN {a}.context = {b}.context THEN 10 ELSE 0 END) AS DECIMAL(18,6)), 1) AS DECIMAL(9,1))"""
+ + CASE WHEN {a}.salary_consistency = {b}.salary_consistency THEN 10 ELSE 0 END + 20 + CASE WHEN {a}.pdf_producer = {b}.pdf_producer AND {a}.pdf_producer <> 'None' THEN 5 ELSE 0 END + CASE WHEN {a}.context = {b}.context THEN 10 ELSE 0 END) AS DECIMAL(18,6)), 1) AS DECIMAL(9,1))"""
 
 
 FOUND = f"SELECT f.case_id, ref_id, is_fraud, {_score('f', 'r')} AS similarity FROM <features> f, {_REFS}"
@@ -35,6 +35,20 @@ def _differences(t):
 
 _DIFF = "[x FOR x IN [CASE WHEN abs(trust_score - 98) / 100 > 0.15 THEN 'trust_score' END, CASE WHEN abs(ocr_confidence - 95) / 100 > 0.15 THEN 'ocr_confidence' END, CASE WHEN abs(metadata_score - 100) / 100 > 0.15 THEN 'metadata_score' END, CASE WHEN (revision_count - 1) / greatest(1, revision_count) > 0.15 THEN 'revision_count' END, CASE WHEN NOT salary_consistency THEN 'salary_consistency' END] IF x IS NOT NULL]"
 register("k2b_differences", _differences, f"SELECT case_id, {_DIFF} AS differences FROM <features>")
+
+
+def _difference_texts(t):
+    joined = M.prefixed(t.features, "a_").join(F.broadcast(M.prefixed(M.built_in(t.spark), "b_")))
+    return joined.select(F.col("a_case_id").alias("case_id"), F.col("b_ref_id").alias("ref_id"), M.difference_texts("a_", "b_", _COLUMNS).alias("texts"))
+
+
+def _varies(name: str, span: str) -> str:
+    return f"CASE WHEN abs(f.{name} - r.{name}) / {span} > 0.15 THEN '{name.replace('_', ' ').title()} varies by ' || CAST(abs(f.{name} - r.{name}) AS DECIMAL(9,1)) || ' points.' END"
+
+
+_TEXTS = ", ".join([_varies("trust_score", "100"), _varies("ocr_confidence", "100"), _varies("metadata_score", "100"), _varies("revision_count", "greatest(1, f.revision_count, r.revision_count)"),
+                    "CASE WHEN f.salary_consistency <> r.salary_consistency THEN 'Salary Consistency discrepancy: case has ' || CASE WHEN f.salary_consistency THEN 'True' ELSE 'False' END || ', target reference has ' || CASE WHEN r.salary_consistency THEN 'True' ELSE 'False' END || '.' END"])
+register("k2b_difference_texts", _difference_texts, f"SELECT case_id, ref_id, [x FOR x IN [{_TEXTS}] IF x IS NOT NULL] AS texts FROM <features> f, {_REFS}")
 register("w5_rank_in_label", lambda t: M.top_matches(_found(t)), f"SELECT case_id, ref_id, is_fraud, similarity, CAST(rank AS INTEGER) AS rank FROM ({TOP}) WHERE rank <= 2")
 register("k3_best_match", lambda t: M.best_match(M.top_matches(_found(t))), f"SELECT case_id, ref_id, is_fraud, similarity FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY similarity DESC, is_fraud, rank) AS n FROM ({TOP}) WHERE rank <= 2) WHERE n = 1")
 register("k4_top_k", lambda t: M.top_matches(M.matches(t.features, M.built_in(t.spark), 0).withColumn("is_fraud", F.lit(False)), 3).select("case_id", "ref_id", "rank"), f"SELECT case_id, ref_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY similarity DESC, ref_id) AS INTEGER) AS rank FROM ({FOUND}) QUALIFY rank <= 3")
@@ -54,6 +68,16 @@ def _nearest(t):
     return M.nearest(t.features, M.candidates(t.spark, t.features, done, t.features.join(done.where("is_baseline").select("case_id"), "case_id", "left_semi")))
 
 
+def _nearest_kept(t):
+    """The three most alike of the repository (completed baselines) for every case, however little alike."""
+    kept = t.features.join(t.cases.where("status = 'COMPLETED' AND is_baseline").select("case_id"), "case_id", "left_semi")
+    refs = kept.withColumnRenamed("case_id", "ref_id").withColumn("source", F.lit(0)).withColumn("is_fraud", F.lit(False))
+    return M.nearest(t.features, refs, 3, 0).select("case_id", "ref_id", "similarity", "rank")
+
+
+register("k4_top_of_all", _nearest_kept, f"""SELECT f.case_id, CAST(r.case_id AS STRING) AS ref_id, {_score('f', 'r')} AS similarity, CAST(row_number() OVER (PARTITION BY f.case_id ORDER BY {_score('f', 'r')} DESC, CAST(r.case_id AS STRING)) AS INTEGER) AS rank
+ FROM <features> f JOIN (SELECT * FROM <features> f WHERE {_PAST} AND is_baseline)) r ON f.case_id <> r.case_id QUALIFY rank <= 3""")
+register("o5_found_of_all", lambda t: _nearest(t).select("case_id", "ref_id").distinct(), f"SELECT DISTINCT case_id, ref_id FROM ({_TOP_ALL})")
 register("w5_rank_in_all", lambda t: _nearest(t), _TOP_ALL)
 register("k3_best_of_all", lambda t: M.best_match(_nearest(t)), _BEST_ALL)
 register("k5_fraud_of_all", lambda t: M.best_match(_nearest(t)).where("is_fraud").select("case_id", F.lit("KNN").alias("layer_source"), F.lit("LOW").alias("severity")), f"SELECT case_id, 'KNN' AS layer_source, 'LOW' AS severity FROM ({_BEST_ALL}) WHERE is_fraud")

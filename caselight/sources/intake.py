@@ -10,10 +10,14 @@ MIME_TYPES = ["application/pdf", "image/png", "image/jpeg", "image/jpg"]
 LARGEST = 20 * 1024 * 1024
 
 
+def may_be_read(path: Column) -> Column:
+    return F.lower(path).rlike(r"\.(" + "|".join(EXTENSIONS) + ")$")
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, modificationTime, length, content) of files with an allowed extension below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.where(F.lower("path").rlike(r"\.(" + "|".join(EXTENSIONS) + ")$"))
+    return files.where(may_be_read(F.col("path")))
 
 
 def upload_filter(files: DataFrame) -> DataFrame:
@@ -48,9 +52,8 @@ def not_processed(files: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def flush_processed(spark: SparkSession, path: str) -> int:
-    """Empty the processed table; returns how many keys it held."""
+    """Empty the processed table in one step; returns how many keys it held."""
     table = spark.read.parquet(path)
     n = table.count()
-    table.limit(0).write.mode("overwrite").parquet(path + ".new")
-    spark.read.parquet(path + ".new").write.mode("overwrite").parquet(path)
+    spark.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
     return n

@@ -115,3 +115,42 @@ def test_gates(spark):
 def test_completeness_of_absent_columns(spark):
     docs = spark.createDataFrame([(1, "Bank Statement", "n", "1"), (1, "Bank Statement", None, None), (2, "Payslip", "n", None), (3, "Other", "n", None), (4, "Lease Agreement", None, None)], "case_id long, classification string, name string, account_number string")
     assert {r.case_id: round(r.completeness, 3) for r in scoring.completeness(docs).collect()} == {1: 50.0, 2: 33.333, 3: 100.0, 4: 0.0}
+
+
+def prompts(spark, most):
+    t = tables(spark)
+    docs = t["documents"].selectExpr("case_id", "doc_id", "filename", "classification", "90 AS ocr_confidence", "CAST(NULL AS string) AS producer", "'Writer' AS creator")
+    found = R.prompts(t["cases"], docs, t["findings"], t["evidence"], t["matches"].selectExpr("*", "1 AS rank"), most)
+    return {(r.case_id, r.part): r.prompt for r in found.collect()}
+
+
+def test_prompts_name_all_that_a_case_holds(spark):
+    found = prompts(spark, 100)
+    assert sorted(found) == [(1, 0), (2, 0)]
+    none = ["INVESTIGATION FORENSIC METRICS:", "- Case Context: None", "- Trust Score: None/100", "- Rule Engine Suggestion: None"]
+    for name in ("documents", "findings", "matches"):
+        none += ["", R.PROMPT[name], R.PROMPT["no " + name]]
+    assert found[2, 0].split("\n") == none
+    lines = found[1, 0].split("\n")
+    assert [x for x in lines if x.startswith("- File")] == [f"- File: f{d}" for d in range(7)] and lines.count("  Producer: None") == 7
+    assert [x[16:] for x in lines if x.startswith("- Finding")] == [f"name {k}" for k in range(5)] and lines.count(R.PROMPT["no evidence"]) == 4
+    at = lines.index("- Finding Name: name 2")
+    assert lines[at + 5 : at + 15] == [f"  - Evidence in {f'f{d % 8}' if d % 8 < 7 else None} on page {d}: why [Text: 't{d}']" for d in sorted(range(10), key=lambda d: (d % 8, d))]
+    assert lines[-1] == "  * ref-g1 (90.0% match) - Label: genuine" and not any(R.PROMPT["no " + n] in lines for n in ("documents", "findings", "matches"))
+    parts = prompts(spark, 4)
+    assert len(parts) > 4 and "\n".join(p for (c, _), p in sorted(parts.items()) if c == 1) == found[1, 0]
+
+
+def test_case_file(spark):
+    t = tables(spark)
+    found = [(r.kind, json.loads(r.item)) for r in R.case_file(1, t["cases"], finding=t["findings"], event=t["events"]).collect()]
+    assert sorted(k for k, _ in found) == ["case"] + ["event"] * 4 + ["finding"] * 5 and all(item["case_id"] == 1 for _, item in found)
+    assert sorted(item["seq"] for k, item in found if k == "finding") == list(range(5))
+    assert not R.case_file(99, t["cases"], document=t["documents"]).count()
+
+
+def test_snapshot(spark):
+    rows = scoring.snapshot(tables(spark)["cases"].withColumnRenamed("created_at", "title"), "now").collect()
+    lines = {r.case_id: json.loads(r.line) for r in rows}
+    assert lines[None] == {"generated_at": "now", "total_investigations": 2, "completed": 1, "auto_approved": 0, "manual_review": 1}
+    assert lines[2] == {"id": 2, "title": None, "context": None, "status": None, "trust_score": None, "recommendation": None} and lines[1]["trust_score"] == 50.0 and len(rows) == 3

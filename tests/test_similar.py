@@ -55,3 +55,14 @@ def test_few_cases_leave_cells_empty(spark):
     refs = M.candidates(spark, one, one, one)
     assert {r[1][:4] for r in M.nearest(one, refs).collect()} == {"ref-"}
     assert M.nearest(one.limit(0), refs).count() == M.neighbours(one).count() == 0
+
+
+def test_differences_as_texts(spark):
+    a = spark.createDataFrame([(1, D(90), D(80), D(100), "None", 1, True, "A"), (2, None, D(95), D(40), "None", 3, None, "A")], "case_id long, " + M.VECTOR)
+    b = spark.createDataFrame([(D("74.9"), D(95), D(85), "None", 1, False, "A")], M.VECTOR)
+    both = M.prefixed(a, "a_").join(M.prefixed(b, "b_"))
+    found = {r[0]: r[1:] for r in both.select("a_case_id", M.difference_texts("a_", "b_", b.columns), M.differences("a_", "b_", b.columns), M.similarity("a_", "b_", b.columns)).collect()}
+    assert found[1][0] == ["Trust Score varies by 15.1 points.", "Salary Consistency discrepancy: case has True, target reference has False."] and found[1][1] == ["trust_score", "salary_consistency"]
+    assert found[2][0] == ["Metadata Score varies by 45.0 points.", "Revision Count varies by 2.0 points."]
+    # No tool on either side is no tool in common: 100 less 6.04, 1.5, 2.25 and 10, and 10 for the context.
+    assert found[1][2] == D("90.2")
