@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -108,16 +109,24 @@ def top_matches(found: DataFrame, k: int = 2) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-#: Rows of either side that meet in one cell of the grid, and of one step inside it.
+#: Vectors of either side that meet in one cell, and in one step inside it.
 CELL, STEP = 50_000, 512
 #: A case is at most once a completed case and once an entry of the repository, so this many candidates can be itself.
 OWN = 2
+#: Bands of scores and buckets of texts that make the leaves of the index. With one each for missing values, and the
+#: flag, there are at most 6,075 leaves (twice as many of references, by label), however many cases there are.
+BUCKETS, FLAG, BANDS = {"context": 8, "pdf_producer": 4}, "salary_consistency", {"trust_score": 8, "metadata_score": 4}
+#: Regions that leaves of cases are put together in, at least and at most; a large one is split into cells.
+REGIONS = 16, 128
+#: Most partitions that cells are dealt over.
+PARTITIONS = 20_000
 
 
 def plain_features(vectors: DataFrame, others: list[str]) -> tuple[list[str], DataFrame]:
-    """The feature columns that are there, and ``others`` beside them as numbers and texts."""
+    """The feature columns that are there, and ``others`` beside them as numbers (nan is missing) and texts."""
     numbers, texts = ([c for c in group if c in vectors.columns] for group in (WEIGHTS, BONUSES))
-    return numbers + texts, vectors.select(*others, *[F.col(c).cast("double").alias(c) for c in numbers], *[F.col(c).cast("string").alias(c) for c in texts])
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+    return numbers + texts, vectors.select(*others, *map(number, numbers), *[F.col(c).cast("string").alias(c) for c in texts])
 
 
 def arrays(a: pa.Table, b: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -151,13 +160,155 @@ def tenths(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def bound(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> float:
-    """What no pair of rows of x and y exceeds, in tenths: by the gap in trust, and all bonuses that some pair may get."""
-    bonus = sum(w for n, w in BONUSES.items() if n in x and np.intersect1d(x[n], y[n]).size)
-    gap = 0.0
-    if "trust_score" in x:
-        p, q = x["trust_score"], y["trust_score"]
-        gap = max(0.0, p.min() - q.max(), q.min() - p.max()) if not np.isnan(p).any() | np.isnan(q).any() else 0.0
-    return min(1000.0, 1000 + 10 * bonus - 4 * gap + 1)
+    """What no pair of rows of x and y exceeds, in tenths: by the gaps between ranges, and all bonuses that some pair may get."""
+    total = 100.0 + sum(w for n, w in BONUSES.items() if n in x and np.intersect1d(x[n][x[n] >= 0], y[n]).size)
+    for name, (weight, span) in WEIGHTS.items():
+        if name in x and not np.isnan(x[name]).any() | np.isnan(y[name]).any():
+            ranges = x[name].min(), x[name].max(), y[name].min(), y[name].max()
+            total -= weight * float(least_and_most(span, *ranges)[0])
+    return min(1000.0, 10 * total + 1)
+
+
+def least_and_most(span: float | str | None, a_low: np.ndarray, a_high: np.ndarray, b_low: np.ndarray, b_high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most by which values of two ranges can differ, as a share of the span."""
+    gaps = np.maximum(0, np.maximum(a_low - b_high, b_low - a_high)), np.maximum(a_high - b_low, b_high - a_low)
+    if span == "same":
+        return tuple((g > 0).astype(float) for g in gaps)
+    if span is not None:
+        return gaps[0] / span, gaps[1] / span
+    # Held against the larger value: a gap is the least between the ends that face each other.
+    between = np.where(a_low > b_high, a_low, b_low)
+    apart = [np.abs(p - q) / np.maximum(1, np.maximum(p, q)) for p, q in ((a_low, b_high), (a_high, b_low))]
+    return gaps[0] / np.maximum(1, between), np.maximum(*apart)
+
+
+def leaf(columns: list[str]) -> Column:
+    """The number of a vector's leaf, of at most 6,075, by buckets of texts, the flag and bands of scores."""
+    code = F.lit(0)
+    parts = [(F.pmod(F.xxhash64(c), F.lit(n)), n, c) for c, n in BUCKETS.items()] + [(F.col(FLAG), 2, FLAG)]
+    parts += [(F.least(F.greatest(F.floor(F.col(c) * n / 100), F.lit(0)), F.lit(n - 1)), n, c) for c, n in BANDS.items()]
+    for part, n, name in parts:
+        if name in columns:
+            known = F.col(name).isNotNull() & ((F.col(name) != "None") if name in TOOLS else F.lit(True))
+            code = code * (n + 1) + F.when(known, part).otherwise(n)
+    return code.cast("int")
+
+
+def leaves(vectors: DataFrame, names: list[str]) -> dict[str, np.ndarray]:
+    """Summaries of leaves in their order: rows, and of each feature the smallest and largest value and how many rows have one."""
+    value = {c: F.when(F.col(c) != "None", F.col(c)) if c in TOOLS else F.col(c) for c in names}
+    found = vectors.groupBy("leaf").agg(F.count("*").alias("n"), *[f(value[c]).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max, F.count)])
+    rows = sorted(found.collect(), key=lambda r: r["leaf"])  # as few as there are leaves
+    out = {c: np.array([r[c] for r in rows], np.int64) for c in ["leaf", "n", *[f"count_{c}" for c in names]]}
+    return out | {f"{e}_{c}": np.array([r[f"{e}_{c}"] for r in rows], object if c in BONUSES else np.float64) for c in names for e in ("min", "max")}
+
+
+def ranked(a: dict[str, np.ndarray], b: dict[str, np.ndarray], names: list[str]) -> None:
+    """Put places in the order of all texts in place of texts; -1 where a leaf has none."""
+    for c in [c for c in names if c in BONUSES]:
+        columns = [(side, f"{e}_{c}") for side in (a, b) for e in ("min", "max")]
+        place = {v: k for k, v in enumerate(sorted({v for side, key in columns for v in side[key] if v is not None}))}
+        for side, key in columns:
+            side[key] = np.array([place.get(v, -1) for v in side[key]], np.int64)
+
+
+def between(a: dict[str, np.ndarray], b: dict[str, np.ndarray], names: list[str], at: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) in tenths: no pair of vectors of leaf a[at] and leaf b is less alike than low or more than high."""
+    low = np.full((len(a["n"][at]), len(b["n"])), 100.0)
+    high = low.copy()
+    for c in names:
+        ends = a[f"min_{c}"][at, None], a[f"max_{c}"][at, None], b[f"min_{c}"][None], b[f"max_{c}"][None]
+        if c in BONUSES:
+            some = (ends[0] >= 0) & (ends[2] >= 0)
+            high += BONUSES[c] * (some & (ends[0] <= ends[3]) & (ends[2] <= ends[1]))
+            whole = (a[f"count_{c}"] == a["n"])[at, None] & (b[f"count_{c}"] == b["n"])[None]
+            low += BONUSES[c] * (some & whole & (ends[0] == ends[1]) & (ends[2] == ends[3]) & (ends[0] == ends[2]))
+            continue
+        weight, span = WEIGHTS[c]
+        few, many = least_and_most(span, *ends)
+        missing = (a[f"count_{c}"] < a["n"])[at, None] | (b[f"count_{c}"] < b["n"])[None]
+        high -= weight * np.where(missing, 0, few)
+        low -= weight * np.nan_to_num(many)
+    # A tenth on either side for rounding; what reaches 100 is 100.
+    return np.where(low > 100.01, 1000, np.minimum(1000, 10 * low - 1)), np.minimum(1000, 10 * high + 1)
+
+
+class Near(NamedTuple):
+    """Summaries of the leaves of two sides, as many as leaves, for the bounds of those that meet in a task."""
+
+    a: dict[str, np.ndarray]
+    b: dict[str, np.ndarray]
+    names: list[str]
+
+    def of(self, leaves_of_a: np.ndarray, leaves_of_b: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, places of its rows, what no row of b exceeds with them) of each leaf of a."""
+        order, at = np.argsort(leaves_of_a, kind="stable"), np.searchsorted(self.b["leaf"], leaves_of_b)
+        for rows in np.split(order, np.flatnonzero(np.diff(leaves_of_a[order])) + 1):
+            one = int(leaves_of_a[rows[0]])
+            place = int(np.searchsorted(self.a["leaf"], one))
+            yield one, rows, between(self.a, self.b, self.names, slice(place, place + 1))[1][0, at]
+
+
+class Cells:
+    """Which leaves of two sides meet, and in which cells their rows do.
+
+    Leaves of a, in order, are put together in regions; a leaf of b goes to the regions that hold a leaf it may match,
+    and no other row is copied. Regions of over ``cell`` rows of a side are split, so that no cell holds more of either.
+    """
+
+    def __init__(self, near: Near, meets: np.ndarray, cell: int):
+        a, b, _ = self.near = near
+        total = int(a["n"].sum())
+        number = min(REGIONS[1], max(REGIONS[0], -(-total // cell)))
+        region = (np.cumsum(a["n"]) - a["n"]) * number // max(1, total)
+        needs = np.zeros((number, len(b["n"])), bool)
+        np.logical_or.at(needs, region, meets)
+        split = lambda n: np.maximum(1, -(-n // cell))
+        self.rows = split(np.bincount(region.astype(np.int64), a["n"], number).astype(np.int64))
+        self.columns = split(needs @ b["n"])
+        self.number = int(min(PARTITIONS, (self.rows * self.columns).sum()))
+        self.compared, self.all = int(a["n"] @ (meets @ b["n"])), total * int(b["n"].sum())
+        entry = lambda r: (int(r), int(self.rows[r]), int(self.columns[r]))
+        self.a_routes = [(int(c), [entry(r)]) for c, r in zip(a["leaf"], region)]
+        self.b_routes = [(int(c), [entry(r) for r in np.flatnonzero(needs[:, k])]) for k, c in enumerate(b["leaf"])]
+
+    def meet(self, a: DataFrame, b: DataFrame, a_key: str, b_key: str, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """``work`` of the rows of a and of b of each cell; both have ``leaf``. No row of a meets one of b twice."""
+        spark, kind = a.sparkSession, "leaf int, route array<struct<region: int, rows: int, columns: int>>"
+        # Routes have a row per leaf and at most REGIONS[1] entries each, so that they are always small.
+        one, two = (F.broadcast(spark.createDataFrame(r, kind)) for r in (self.a_routes, self.b_routes))
+        spread = lambda d, r: d.join(r, "leaf").withColumn("_to", F.explode("route")).drop("route")
+        own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        cells = ["_region", "_row", "_column"]
+        left = spread(a, one).withColumns({"_region": F.col("_to.region"), "_row": own(a_key, "_to.rows")}).withColumn("_column", every("_to.columns")).drop("_to")
+        right = spread(b, two).withColumns({"_region": F.col("_to.region"), "_column": own(b_key, "_to.columns")}).withColumn("_row", every("_to.rows")).drop("_to")
+        # Other names on the right, as both sides may be one table.
+        right = right.select(*cells, *[F.col(c).alias("b_" + c) for c in right.columns if c not in cells])
+        grouped = [d.repartition(self.number, *cells).groupBy(*cells) for d in (left, right)]
+
+        def both(x: pa.Table, y: pa.Table) -> pa.Table:
+            return work(x, y.rename_columns([c.removeprefix("b_") for c in y.column_names])) if x.num_rows and y.num_rows else pa.table({})
+
+        return grouped[0].cogroup(grouped[1]).applyInArrow(both, schema)
+
+
+def cells_between(a: DataFrame, b: DataFrame, names: list[str], floors: Callable[[np.ndarray, dict], np.ndarray], cell: int) -> tuple[Cells, dict[int, list[int]]]:
+    """The cells of two sides with ``leaf``, that of b doubled and one more for rows of the second label.
+
+    ``floors`` of (low, leaves of b) gives for each leaf of a, by label, the likeness from which on pairs are wanted; it
+    is returned by leaf.
+    """
+    p, q = leaves(a, names), leaves(b, names)
+    ranked(p, q, names)
+    meets, wanted = np.zeros((len(p["n"]), len(q["n"])), bool), {}
+    for k in range(0, len(p["n"]), 256):
+        at = slice(k, k + 256)
+        low, high = between(p, q, names, at)
+        least = floors(low, q)
+        meets[at] = high >= least[:, q["leaf"] % 2]
+        wanted |= {int(c): [int(v) for v in f] for c, f in zip(p["leaf"][at], least)}
+    return Cells(Near(p, q, names), meets, cell), wanted
 
 
 def steps(x: dict[str, np.ndarray]) -> list[np.ndarray]:
@@ -170,62 +321,71 @@ def picked(x: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
     return {n: v[at] for n, v in x.items()}
 
 
-def in_cells(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: int, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``meet`` of all rows of a with all of b, in even cells of a grid: no side is broadcast, and no pair is left out."""
-    rows, columns = (max(1, -(-d.count() // cell)) for d in (a, b))
-    # More cells than rows ask for, so that a small table also spreads.
-    rows, columns = max(rows, 4), max(columns, 4)
-    left = a.withColumn("_row", F.pmod(F.xxhash64(a_key), F.lit(rows)).cast("int")).withColumn("_column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    # Other names on the right, as both sides may be one table.
-    right = prefixed(b, "b_").withColumn("_column", F.pmod(F.xxhash64("b_" + b_key), F.lit(columns)).cast("int")).withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    spread = [d.repartition(rows * columns, "_row", "_column").groupBy("_row", "_column") for d in (left, right)]
+def search(cases: DataFrame, references: DataFrame, k: int, least: float) -> tuple[DataFrame, DataFrame, Cells, dict[int, list[int]]]:
+    """Cases with their vectors, references that can be among the best, and the cells in which their leaves meet.
 
-    def both(x: pa.Table, y: pa.Table) -> pa.Table:
-        return meet(x, y.rename_columns([c.removeprefix("b_") for c in y.column_names])) if x.num_rows and y.num_rows else pa.table({})
-
-    return spread[0].cogroup(spread[1]).applyInArrow(both, schema)
-
-
-def nearest(cases: DataFrame, references: DataFrame, k: int = 2, least: float = 60.0) -> DataFrame:
-    """(case_id, ref_id, is_fraud, similarity, rank): the k best references of each case and label, exactly.
-
-    References (ref_id, source, is_fraud and features) may be as many as the cases; one of the case's own id is left
-    out. Of equals the smaller source and then id comes first. Equal vectors meet once; the work is that of all pairs
-    of distinct vectors, less steps whose bound is under what was found already.
+    Where leaves of at least as many references as are wanted are all so much alike a leaf of cases, others whose bound
+    is less cannot be among the best of any of its cases, and do not meet it.
     """
     names, known = plain_features(references, ["ref_id", "source", "is_fraud"])
     own, asked = plain_features(cases, ["case_id"])
-    asked = asked.withColumn("vector", F.to_json(F.struct(*own)))
+    asked = asked.withColumn("vector", F.to_json(F.struct(*own))).withColumn("leaf", leaf(own))
+    known = known.withColumns({"ref_id": F.col("ref_id").cast("string"), "source": F.col("source").cast("int"), "is_fraud": F.coalesce("is_fraud", F.lit(False))})
     first = F.row_number().over(Window.partitionBy("is_fraud", *names).orderBy("source", "ref_id"))
-    known = known.withColumn("_n", first).where(F.col("_n") <= k + OWN).drop("_n")
-    some, floor = k + OWN, round(least * 10)
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.sort_by([("source", "ascending"), ("ref_id", "ascending")])
-        x, y = arrays(a, b)
-        fraud, out = np.array(b["is_fraud"].to_pylist(), bool), []
-        for label in (False, True):
-            mine = np.flatnonzero(fraud == label)
-            blocks = [mine[at] for at in steps(picked(y, mine))]
-            for rows in steps(x):
+    known = known.withColumn("_n", first).where(F.col("_n") <= k + OWN).drop("_n").withColumn("leaf", leaf(names) * 2 + F.col("is_fraud").cast("int"))
+
+    def floors(low: np.ndarray, theirs: dict[str, np.ndarray]) -> np.ndarray:
+        out = np.full((len(low), 2), round(least * 10), np.int64)
+        for label in (0, 1):
+            mine = np.flatnonzero(theirs["leaf"] % 2 == label)
+            if theirs["n"][mine].sum() >= k + OWN:
+                order = mine[np.argsort(-low[:, mine], 1, kind="stable")]
+                last = np.argmax(np.cumsum(theirs["n"][order], 1) >= k + OWN, 1)
+                out[:, label] = np.maximum(out[:, label], np.floor(low[np.arange(len(low)), order[np.arange(len(low)), last]]))
+        return out
+
+    cells, wanted = cells_between(asked.drop("case_id").dropDuplicates(["vector"]), known, [n for n in own if n in names], floors, CELL)
+    return asked, known, cells, wanted
+
+
+def best_of(a: pa.Table, b: pa.Table, near: Near, wanted: dict[int, list[int]], some: int) -> pa.Table:
+    """The best rows of b, by label, of each row of a. Rows of b come by their bounds, until all of a's step have better ones."""
+    b = b.sort_by([("source", "ascending"), ("ref_id", "ascending")])
+    x, y = arrays(a, b)
+    theirs, out = b["leaf"].to_numpy(), []
+    for one, mine, high in near.of(a["leaf"].to_numpy(), theirs):
+        for label, floor in enumerate(wanted[one]):
+            same = np.flatnonzero((theirs % 2 == label) & (high >= floor))
+            same = same[np.argsort(-high[same], kind="stable")]
+            for rows in [mine[at] for at in steps(picked(x, mine))]:
                 p = picked(x, rows)
-                bounds = [bound(p, picked(y, at)) for at in blocks]
                 # The score, and below it the place in order; a smaller place is better.
                 best = np.full((len(rows), some), (floor << 32) - 1, np.int64)
-                for n in np.argsort(bounds, kind="stable")[::-1]:
-                    if bounds[n] < best.min() >> 32:
+                for at in np.split(same, range(STEP, len(same), STEP)) if len(same) else []:
+                    least = best.min() >> 32
+                    if high[at[0]] < least:
                         break
-                    key = (tenths(p, picked(y, blocks[n])) << 32) + ((1 << 32) - 1 - blocks[n][None])
-                    best = -np.partition(-np.concatenate([best, key], 1), some - 1, 1)[:, :some]
+                    if bound(p, picked(y, at)) >= least:
+                        key = (tenths(p, picked(y, at)) << 32) + ((1 << 32) - 1 - at[None])
+                        best = -np.partition(-np.concatenate([best, key], 1), some - 1, 1)[:, :some]
                 i, j = np.nonzero(best >= floor << 32)
-                found = best[i, j]
-                place = (1 << 32) - 1 - (found & ((1 << 32) - 1))
-                at = b.take(pa.array(place))
-                out.append(pa.table({"vector": a["vector"].take(pa.array(rows[i])), "ref_id": at["ref_id"], "source": at["source"], "is_fraud": at["is_fraud"], "tenths": pa.array(found >> 32)}))
-        return pa.concat_tables(out) if out else pa.table({})
-
-    known = known.select(F.col("ref_id").cast("string").alias("ref_id"), F.col("source").cast("int").alias("source"), F.coalesce("is_fraud", F.lit(False)).alias("is_fraud"), *names)
-    found = in_cells(asked.drop("case_id").dropDuplicates(["vector"]), known, "vector", "ref_id", CELL, meet, "vector string, ref_id string, source int, is_fraud boolean, tenths long")
+                out.append((rows[i], best[i, j]))
+    rows, found = (np.concatenate(v) for v in zip(*out))
+    at = b.take(pa.array((1 << 32) - 1 - (found & ((1 << 32) - 1))))
+    return pa.table({"vector": a["vector"].take(pa.array(rows)), "ref_id": at["ref_id"], "source": at["source"], "is_fraud": at["is_fraud"], "tenths": pa.array(found >> 32)})
+
+
+def nearest(cases: DataFrame, references: DataFrame, k: int = 2, least: float = 60.0) -> DataFrame:
+    """(case_id, ref_id, is_fraud, similarity, rank): the k best references of each case and label, exactly.
+
+    References (ref_id, source, is_fraud and features) may be as many as the cases; one of the case's own id is left
+    out. Of equals the smaller source and then id comes first. Equal vectors meet once. Leaves of vectors meet only where
+    bounds allow it (``search``), and in them steps of rows whose bound is under what was found already are left out.
+    """
+    asked, known, cells, wanted = search(cases, references, k, least)
+    some, near = k + OWN, cells.near
+    work = lambda a, b: best_of(a, b, near, wanted, some)
+    found = cells.meet(asked.drop("case_id").dropDuplicates(["vector"]), known, "vector", "ref_id", work, "vector string, ref_id string, source int, is_fraud boolean, tenths long")
     order = [F.col("tenths").desc(), "source", "ref_id"]
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("vector", "is_fraud").orderBy(*order))).where(F.col("rank") <= some)
     each = asked.select("case_id", "vector").join(best.drop("rank"), "vector").where(F.col("case_id").cast("string") != F.col("ref_id"))
@@ -259,36 +419,42 @@ PAIR_CELL = 1_000
 def neighbours(cases: DataFrame, least: float = 60.0, within: str | None = None) -> DataFrame:
     """(case_id, other_id, similarity) of all pairs of cases that are at least so alike; within: only of one value of that column.
 
-    Context is only a bonus and a missing value counts as alike, so no column keeps two cases apart: all meet in the
-    cells of a grid, where steps of rows whose bound is under ``least`` are left out.
+    Context is only a bonus and a missing value counts as alike, so no column keeps two cases apart: leaves of cases meet
+    where their bound is at least ``least``, and in them steps of rows do.
     """
     names, rows = plain_features(cases.where("case_id IS NOT NULL"), ["case_id"])
     rows, floor, id_type = rows.select(F.col("case_id"), *([F.col(within).cast("string").alias("_within")] if within else []), *names), round(least * 10), cases.schema["case_id"].dataType
-    others = rows.withColumnRenamed("case_id", "other_id")
+    rows = rows.withColumn("leaf", leaf(names))
+    others = rows.withColumnRenamed("case_id", "other_id").withColumn("leaf", F.col("leaf") * 2)
+    cells, _ = cells_between(rows, others, names, lambda low, theirs: np.full((len(low), 2), floor), PAIR_CELL)
+    near = cells.near
 
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = arrays(a, b)
         ids = np.array(a["case_id"].to_pylist()), np.array(b["other_id"].to_pylist())
         groups = [np.array(t["_within"].to_pylist(), object) for t in (a, b)] if within else []
         empty = np.zeros(0, np.int64)
-        blocks, out = steps(y), [(empty, empty, empty)]
-        for one in steps(x):
-            p = picked(x, one)
-            for two in blocks:
-                q = picked(y, two)
-                if bound(p, q) < floor:
-                    continue
-                score = tenths(p, q)
-                ok = (score >= floor) & (ids[0][one][:, None] < ids[1][two][None])
-                if within:
-                    left = groups[0][one][:, None]
-                    ok &= (left == groups[1][two][None]) & (left != None)  # noqa: E711
-                i, j = np.nonzero(ok)
-                out.append((one[i], two[j], score[i, j]))
+        out = [(empty, empty, empty)]
+        for _, mine, high in near.of(a["leaf"].to_numpy(), b["leaf"].to_numpy()):
+            theirs = np.flatnonzero(high >= floor)
+            blocks = [theirs[at] for at in steps(picked(y, theirs))]
+            for one in [mine[at] for at in steps(picked(x, mine))]:
+                p = picked(x, one)
+                for two in blocks:
+                    q = picked(y, two)
+                    if bound(p, q) < floor:
+                        continue
+                    score = tenths(p, q)
+                    ok = (score >= floor) & (ids[0][one][:, None] < ids[1][two][None])
+                    if within:
+                        left = groups[0][one][:, None]
+                        ok &= (left == groups[1][two][None]) & (left != None)  # noqa: E711
+                    i, j = np.nonzero(ok)
+                    out.append((one[i], two[j], score[i, j]))
         i, j, score = (np.concatenate(v) for v in zip(*out))
         return pa.table({"case_id": a["case_id"].take(pa.array(i)), "other_id": b["other_id"].take(pa.array(j)), "tenths": pa.array(score)})
 
-    found = in_cells(rows, others, "case_id", "other_id", PAIR_CELL, meet, f"case_id {id_type.simpleString()}, other_id {id_type.simpleString()}, tenths long")
+    found = cells.meet(rows, others, "case_id", "other_id", work, f"case_id {id_type.simpleString()}, other_id {id_type.simpleString()}, tenths long")
     return found.select("case_id", "other_id", (F.col("tenths").cast("decimal(9,0)") / 10).cast("decimal(9,1)").alias("similarity"))
 
 

@@ -66,3 +66,59 @@ def test_differences_as_texts(spark):
     assert found[2][0] == ["Metadata Score varies by 45.0 points.", "Revision Count varies by 2.0 points."]
     # No tool on either side is no tool in common: 100 less 6.04, 1.5, 2.25 and 10, and 10 for the context.
     assert found[1][2] == D("90.2")
+
+
+def wide_cases(spark, n: int, seed: int):
+    """Cases with all features, some missing, of any value; scores also beyond their span."""
+    rng = random.Random(seed)
+    some = lambda *values: rng.choice([*values, None])
+    row = lambda k: (k, some(rng.uniform(-5, 110), rng.uniform(60, 80), float("nan")), some(rng.uniform(0, 100)), some(rng.uniform(0, 100), 80.0), some("None", "Canva", "iText", f"own {k % 7}"), some("None", "GIMP"),
+                     some(1, 2, 9), some(True, False), some(rng.random(), 1.0), some(rng.random()), some("A", "B", f"C{k % 20}"))
+    return spark.createDataFrame([row(k) for k in range(n)], "case_id long, trust_score double, ocr_confidence double, metadata_score double, pdf_producer string, editing_software string, revision_count int, salary_consistency boolean, identity_similarity double, employer_consistency double, context string")
+
+
+def test_bounds_of_leaves_hold_for_every_pair(spark):
+    names, rows = M.plain_features(wide_cases(spark, 150, 1), ["case_id"])
+    # Seven leaves at random, so that they are mixed in every feature.
+    sides = [rows.withColumn("leaf", F.pmod(F.xxhash64("case_id", F.lit(k)), F.lit(7)).cast("int") * (k + 1)) for k in (0, 1)]
+    p, q = (M.leaves(d, names) for d in sides)
+    M.ranked(p, q, names)
+    for some in (slice(0, 3), slice(3, 7)):
+        low, high = M.between(p, q, names, some)
+        a, b = (d.toArrow() for d in sides)
+        score = M.tenths(*M.arrays(a, b))
+        of = [[list(s["leaf"]).index(c) for c in t["leaf"].to_pylist()] for s, t in ((p, a), (q, b))]
+        for i, one in enumerate(of[0]):
+            if some.start <= one < some.stop:
+                for j, two in enumerate(of[1]):
+                    assert low[one - some.start, two] <= score[i, j] <= high[one - some.start, two]
+
+
+def test_search_and_pairs_over_split_regions(spark, monkeypatch):
+    for name, value in (("STEP", 5), ("CELL", 9), ("PAIR_CELL", 9), ("REGIONS", (2, 3))):
+        monkeypatch.setattr(M, name, value)
+    cases = wide_cases(spark, 70, 2).cache()
+    refs = cases.withColumnRenamed("case_id", "ref_id").withColumn("source", F.col("ref_id") % 2).withColumn("is_fraud", F.col("trust_score") < 60)
+    names, rows = M.plain_features(cases, ["case_id"])
+    table = rows.orderBy("case_id").toArrow()
+    score = M.tenths(*M.arrays(table, table))
+    fraud = {int(r.ref_id): bool(r.is_fraud) for r in refs.collect()}
+    for k, least in ((2, 60), (3, 0)):
+        want = set()
+        for a in range(70):
+            for label in (False, True):
+                best = sorted((-int(score[a, b]), b % 2, str(b)) for b in range(70) if b != a and fraud[b] == label and score[a, b] >= 10 * least)[:k]
+                want |= {(a, ref, label, D(-s) / 10, n) for n, (s, _, ref) in enumerate(best, 1)}
+        *_, cells, _ = M.search(cases, refs, k, least)
+        assert cells.number > 4 and cells.rows.max() > 1 and cells.columns.max() > 1 and cells.compared <= cells.all
+        assert {tuple(r) for r in M.nearest(cases, refs, k, least).collect()} == want
+    for least in (60, 85):
+        found = [tuple(r) for r in M.neighbours(cases, least).collect()]
+        assert len(found) == len(set(found))
+        assert set(found) == {(a, b, D(int(score[a, b])) / 10) for a in range(70) for b in range(a + 1, 70) if score[a, b] >= 10 * least}
+
+
+def test_leaves_that_cannot_match_do_not_meet(spark):
+    cases = spark.range(2000).selectExpr("id AS case_id", "CAST(id % 100 AS DECIMAL(9,1)) AS trust_score", "CAST(id * 7 % 20 AS DECIMAL(9,1)) AS metadata_score", "id % 2 = 0 AS salary_consistency", "CAST(id % 4 AS STRING) AS context")
+    *_, cells, _ = M.search(cases, cases.withColumnRenamed("case_id", "ref_id").withColumn("source", F.lit(1)).withColumn("is_fraud", F.col("trust_score") < 70), 2, 60)
+    assert cells.compared < 0.5 * cells.all
