@@ -1,4 +1,7 @@
-"""Entities of a document's text, as expressions over the whole text. Absent entities are null."""
+"""Entities of a document's text, as expressions over the whole text. Absent entities are null.
+
+Fixed values: all patterns in this module, as they decide what counts as an entity.
+"""
 
 from __future__ import annotations
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import entities as E
+from ..functions.text import NOT_NAMES
 from ..operators import cases as K, classify as C, fields, reports as R, scoring as S, similar as M
 from ..streaming import flows
 from .queries_documents import classified
@@ -130,8 +131,31 @@ _EDGES = f"""WITH k AS (SELECT * FROM <kyc>), r AS ({_RANKED}), d AS (SELECT cas
 register("g1_graph_nodes", lambda t: K.graph_nodes(t.kyc, t.findings), _NODES)
 register("g1_graph_edges", lambda t: K.graph_edges(t.kyc, t.findings), _EDGES)
 register("g2_graph_counts", lambda t: K.graph_edges(t.kyc, t.findings).groupBy("case_id", "relation").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources")), f"SELECT case_id, relation, count(*) AS n, count(DISTINCT source) AS sources FROM ({_EDGES}) GROUP BY 1, 2")
-register("e14_pan_names", lambda t: t.kyc.select("doc_id", E.pan_names(F.col("text")).alias("n")).select("doc_id", "n.name", "n.father"))
-register("e15_aadhaar_name", lambda t: t.kyc.select("doc_id", E.aadhaar_name(F.regexp_replace("text", "Name: ", "")).alias("name")))
+_SPACES = "trim(regexp_replace(regexp_replace({}, '{}', '', 'g'), '\\s+', ' ', 'g'))"
+_LINES = "list_filter(list_transform(string_split({}, CHR(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+_DAY = "\\b\\d{2}[/.-]\\d{2}[/.-]\\d{4}\\b"
+
+
+def _in(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _valid(c: str) -> str:
+    name = f"upper(array_to_string(list_filter(string_split({_SPACES.format(c, '[^A-Za-z\\s.]')}, ' '), lambda w: upper(w) NOT IN ({_in(NOT_NAMES)}) AND w <> ''), ' '))"
+    return f"CASE WHEN length(replace({name}, ' ', '')) >= 3 THEN {name} END"
+
+
+_USABLE = f"array_to_string(list_filter(string_split({_SPACES.format('x', '[^A-Za-z\\s]')}, ' '), lambda w: upper(w) NOT IN ({_in(E.NAME_STOPS)}) AND length(w) >= 3), ' ')"
+register("e14_pan_names", lambda t: t.kyc.select("doc_id", E.pan_names(F.col("text")).alias("n")).select("doc_id", "n.name", "n.father"), f"""WITH l AS (SELECT doc_id, {_LINES.format('text')} AS lines FROM <kyc>),
+ a AS (SELECT doc_id, lines, coalesce(list_position(list_transform(lines, lambda x: regexp_matches(x, '{_DAY}|\\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\\b')), TRUE), 0) AS stop FROM l),
+ j AS (SELECT doc_id, array_to_string(list_transform(CASE WHEN stop > 0 THEN lines[1:stop - 1] ELSE lines END, lambda x: {_USABLE}), '|') AS joined FROM a),
+ g AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(joined, '\\|\\|+'), lambda x: trim(replace(x, '|', ' '))), lambda x: x <> '') AS parts FROM j)
+ SELECT doc_id, {_valid('parts[1]')} AS name, {_valid('parts[2]')} AS father FROM g""")
+register("e15_aadhaar_name", lambda t: t.kyc.select("doc_id", E.aadhaar_name(F.regexp_replace("text", "Name: ", "")).alias("name")), f"""WITH l AS (SELECT doc_id, body, {_LINES.format('body')} AS lines FROM (SELECT doc_id, replace(text, 'Name: ', '') AS body FROM <kyc>)),
+ a AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x: regexp_matches(x, '(?i)dob|yob|year of birth|birth|{_DAY}')), TRUE), 0) AS place FROM l),
+ g AS (SELECT doc_id, body, list_filter(list_reverse(lines[1:place - 1]), lambda x: regexp_matches(x, '^[A-Za-z\\s.]+$') AND ({_valid('x')}) IS NOT NULL AND NOT regexp_matches(x, '(?i)government|india|unique|authority')) AS good FROM (SELECT doc_id, body, CASE WHEN place > 0 THEN lines ELSE [] END AS lines, place FROM a)),
+ n AS (SELECT doc_id, coalesce(good[1], regexp_replace(nullif(regexp_extract(body, '(?i)(?:name|employee\\s+name|customer\\s+name)[:\\s]+([A-Z\\s.]{{3,30}})', 1), ''), '^\\s+|\\s+$', '', 'g')) AS line FROM g)
+ SELECT doc_id, {_valid('line')} AS name FROM n""")
 register("e16_father_name", lambda t: t.kyc.select("doc_id", E.father_name(F.concat(F.lit("Father's Name\n"), F.coalesce("name", F.lit("-")), F.lit("\n"), F.col("text"))).alias("father")), "SELECT doc_id, name AS father FROM <kyc>")
 _NAME_RE = "\\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\\b"
 _TERMS = "SELECT doc_id, term, arg_min(category, ord) AS category FROM (" + " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[À-ÿ]', '_', 'g'), '{p}')) AS term, {k} AS ord, '{c}' AS category FROM documents" for k, (c, p) in enumerate(fields.TERMS)) + ") WHERE category <> 'Name/Address' OR length(term) < 40 GROUP BY 1, 2"
