@@ -79,6 +79,26 @@ def test_intake_over_batches(spark, tmp_path):
     assert sorted((r.n_chars is None, r.n_chars) for r in rows) == [(False, 1), (False, 1), (False, 1), (False, 3), (True, None)] and len({r.content_key for r in rows}) == 5
 
 
+def test_intake_names_the_first_document(spark, tmp_path):
+    docs, taken, state = (str(tmp_path / n) for n in ("docs", "taken", "state"))
+    schema, far = "doc_id long, text string, arrived string", (1 << 53) + 1
+    for rows in ([(7, "a", "2024-01-01"), (3, "a", "2024-01-02"), (None, "a", "2024-01-01"), (far + 2, "b", "2024-01-01"), (far, "b", None), (None, "c", "2024-01-01"), (9, None, "2024-01-01")], [(1, "a", "2024-01-03"), (4, "dd", "2024-01-03")]):
+        spark.createDataFrame(rows, schema).repartition(2).write.mode("append").parquet(docs)
+        flows.take_in(spark.readStream.schema(schema).parquet(docs), taken, state)
+    found = spark.read.schema("doc_id long, " + CONTENT).parquet(taken).select("doc_id", "n_chars", F.to_date("arrived").cast("string")).collect()
+    flows.take_in(spark.readStream.schema(schema).parquet(docs), taken, state)  # finds nothing new
+    assert spark.read.schema(CONTENT).parquet(taken).count() == len(found)
+    assert sorted(map(tuple, found), key=str) == sorted([(3, 1, "2024-01-01"), (far, 1, "2024-01-01"), (None, 1, "2024-01-01"), (9, None, "2024-01-01"), (4, 2, "2024-01-03")], key=str)
+
+
+def test_intake_of_documents_forgets_old_contents(spark, tmp_path):
+    docs, taken, state = (str(tmp_path / n) for n in ("docs", "taken", "state"))
+    for k, day in enumerate(("2024-01-01", "2024-03-01", "2024-03-02")):
+        spark.createDataFrame([(k, "a", day)], "doc_id long, text string, arrived string").coalesce(1).write.mode("append").parquet(docs)
+        flows.take_in(spark.readStream.schema("doc_id long, text string, arrived string").parquet(docs), taken, state)
+    assert sorted(r.doc_id for r in spark.read.schema("doc_id long, " + CONTENT).parquet(taken).collect()) == [0, 2]
+
+
 def test_intake_forgets_old_contents(spark, tmp_path):
     docs, taken, state = (str(tmp_path / n) for n in ("docs", "taken", "state"))
     for day in ("2024-01-01", "2024-03-01", "2024-03-02"):
