@@ -2,7 +2,7 @@
 
 The network is trained in numpy from labelled spans: what the patterns find in a bounded sample, also rewritten in
 ways that they do not know ("name (at) host dot com", numbers without a plus sign). Overlapping windows are decoded by
-Viterbi; a document's spans of all windows are joined where a border has cut them, held against a rule of their kind,
+Viterbi: all but those that share no character with any stretch where a span could keep the rule of its kind; a document's spans of all windows are joined where a border has cut them, held against a rule of their kind,
 and the heaviest set of spans that do not overlap is kept. Spans of the patterns always stay.
 """
 
@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,6 @@ DIGIT = re.compile("[0-9]")
 
 #: Windows of ``WINDOW`` characters start every ``STRIDE``; a span of up to 49 characters is whole in one of them.
 WINDOW, STRIDE = 96, 48
-#: What an added span must hold: windows without any have none, and are not read.
 TRIGGER = re.compile("[0-9@]")
 SPELT = re.compile(r"\bat\b(?=[^\n]{1,48}?\bdot\b)", re.IGNORECASE)
 #: What may be personal data that the patterns miss: a passage with any is no example.
@@ -39,6 +39,11 @@ DOUBTFUL = re.compile(r"@|[0-9](?:[ ()./_-]{0,3}[0-9]){9,}|[0-9]{1,3}(?:\W{1,5}(
 #: The network is trained on at most this many passages of each kind, and of passages without, of ``PASSAGE`` characters.
 SAMPLE, PASSAGE = 300, 192
 KINDS_OF_CHAR, CHAR_DIM, STATE = 160, 12, 16
+#: Where an added span can lie, by ``plain_form``: around an @ or a spelt "at" before a domain; numbers, with what may stand between.
+DOT = r"\s*+(?:[\[({<]\s*+)?(?:\.|dot)(?:\s*+[\])}>])?+\s*+"
+AT = re.compile(rf"(?:@|(?<=[\s\[({{<])at(?=[\s\])}}>]))\s*+(?:[\])}}>]\s*+)?[A-Za-z0-9-]++(?:(?:{DOT}|(?<=-dot)\s*+(?:[\])}}>]\s*+)?)[A-Za-z0-9-]++)++", re.IGNORECASE)
+LOCAL_BACKWARDS = re.compile(r"[A-Za-z0-9._%+\-\s\[\](){}<>]*+")
+NUMBERS = re.compile(rf"[+(]{{0,2}}[0-9]++(?:(?:[ ()./_-]{{0,3}}+|{DOT})[0-9]++)*+", re.IGNORECASE)
 LABELS = 1 + 2 * len(KINDS)  # outside; first and further characters of each kind
 STEPS, BATCH, RATE = 360, 48, 0.02
 READ = 512
@@ -315,13 +320,20 @@ def plain_form(kind: int, text: str) -> str | None:
     return "+" + digits if 10 <= len(digits) <= 15 and marks >= 2 and re.fullmatch(r"[+(]{0,2}[0-9](?:[ ()./-]{0,3}[0-9])+", text) else None
 
 
+def regions(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of the text such that any span that keeps the rule of its kind (``plain_form``) lies in one of them."""
+    last = 0
+    for m in AT.finditer(text):  # the part before it as far back as its characters reach, or to the last one found
+        yield m.start() - LOCAL_BACKWARDS.match(text[last : m.start()][::-1]).end(), m.end()
+        last = m.start()
+    for m in NUMBERS.finditer(text):
+        yield m.span()
+
+
 def window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold anything a span needs."""
-    at = [m.start() for m in TRIGGER.finditer(text)]
-    if "dot" in text or "DOT" in text or "Dot" in text:
-        at += [m.start() for m in SPELT.finditer(text)]
+    """Starts of all windows that share a character with a region: what the network finds in others breaks every rule."""
     last = max(0, -(-(len(text) - WINDOW) // STRIDE))
-    return sorted({k * STRIDE for t in set(x // STRIDE for x in at) for k in (t - 1, t) if 0 <= k} | {last * STRIDE for x in at if x >= last * STRIDE}) if at else []
+    return sorted({k * STRIDE for a, b in regions(text) for k in range(max(0, (a - WINDOW) // STRIDE + 1), min(last, (b - 1) // STRIDE) + 1)})
 
 
 def pieces(labels: np.ndarray, over: np.ndarray, length: int) -> Iterator[tuple[int, int, int, float]]:
@@ -351,11 +363,11 @@ def reconciled(text: str, found: list[tuple[int, int, int, float]], base: list[t
                 joined[run[0], kind, run[1]] = max(run[2], joined.get((run[0], kind, run[1]), 0.0))
             else:
                 run = (a, b, weight)
-    starts, rows = [a for a, _, _ in base], {}
+    starts, reached, rows = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max)), {}
     for (a, kind, b), weight in joined.items():
         for span in snapped(text, a, b):
             k = bisect_left(starts, span[1])
-            if not any(e > span[0] for _, _, e in base[max(0, k - 8) : k]) and plain_form(kind, text[span[0] : span[1]]):
+            if not (k and reached[k - 1] > span[0]) and plain_form(kind, text[span[0] : span[1]]):
                 rows[span[0], kind, span[1]] = max(weight, rows.get((span[0], kind, span[1]), 0.0))
                 break
     ordered = sorted(rows.items(), key=lambda x: (x[0][2], x[0][0], x[0][1]))

@@ -124,6 +124,44 @@ def test_adds_what_patterns_miss(spark, planted):
     assert false <= 1
 
 
+MAIL = st.tuples(
+    st.lists(st.sampled_from(["ann", "x.", " dot ", "b", "(.)", "w" * 130, "%+"]), min_size=1, max_size=4).map("".join),
+    st.sampled_from([" at ", "(at)", "[ AT ]", "{at>", " @ ", "@", "\nat\t", "( @ )", " At "]),
+    st.lists(st.sampled_from(["mail", "a-dot", "c", " ", " dot ", ".", "[dot]", "]", " " * 120 + "dOt ", "org", "q" * 99]), min_size=2, max_size=6).map("".join),
+).map("".join)
+NUMBER = st.lists(st.sampled_from(["1", "25", "+", "(", ") ", " ", "-", ".", " dot ", "[.]", " " * 150 + ".", "(dot)", "4111 1111/1111_1111"]), max_size=9).map("".join)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 40), MAIL | NUMBER, MAIL | NUMBER | st.just(""))
+def test_windows_hold_all_that_keeps_the_rules(ahead, one, other):
+    text = "so " * ahead + one + " ok, " + other
+    starts, last = set(personal.window_starts(text)), max(0, -(-(len(text) - personal.WINDOW) // personal.STRIDE))
+    borders = [k for k in range(len(text) + 1) if k in (0, len(text)) or text[k - 1].isalnum() != text[k].isalnum() or text[k] in "+("]
+    for a, b in [(a, b) for a in borders for b in borders if a < b]:
+        if any(personal.plain_form(kind, text[a:b]) for kind in range(4)):
+            assert {k * personal.STRIDE for k in range(last + 1) if a - personal.WINDOW < k * personal.STRIDE < b} <= starts, (text, a, b)
+
+
+@pytest.mark.parametrize("span", ["anna.lang (at) mailer.example.com", "anna.lang [at] mailer.example.com", "anna.lang at mailer.example.com", "anna.lang (at) mailer dOt com"])
+def test_address_without_digit_or_spelt_dot_is_read(span):
+    text = words(5, 60) + " " + span
+    found = personal.window_starts(text)
+    assert found and found[-1] + personal.WINDOW >= len(text) and found[0] <= len(text) - len(span)
+
+
+def test_added_address_with_plain_dots(spark, planted):
+    texts = [f"{words(k, 30)} write to anna.lang{at}mailer.example.com {words(k + 50, 9)}".translate(str.maketrans("", "", "0123456789")) for k, at in enumerate([" (at) ", "(at)", "[at]", " [at] "])]
+    rows = personal.find_personal(table(spark, texts), planted[3]).collect()
+    assert sum(f"email:{t.index('anna')}:{t.index('.com') + 4}" in rows[k].spans for k, t in enumerate(texts)), rows
+
+
+def test_long_base_spans_hold_off_what_is_added():
+    text = ".".join("1" * 40) + "x@mail.example.org or 2"
+    base, b = base_spans(text), text.index(" or")
+    assert len(base) > 8 and personal.reconciled(text, [(b - 12, 0, b, 9.0)], base) == []
+
+
 def test_awkward_rows(spark, planted):
     rows = personal.find_personal(documents(spark), planted[3]).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in documents(spark).collect())
