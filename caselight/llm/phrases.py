@@ -24,6 +24,8 @@ NO_LANG = "und"
 SLACK = 4
 #: Counters that a task holds before it sends them, and counters a row.
 HELD, ROW = 1_000_000, 4096
+#: Rows of counted phrases that a task holds before it adds up equal ones; it sends them if more than half are left.
+HELD_ROWS = 600_000
 #: Bytes of text a hash partition, and the most bits that tell partitions.
 PART_BYTES, PART_BITS = 32 << 20, (4, 16)
 #: Bits of the bitmap for each survivor, and the most bits altogether (128 MiB).
@@ -54,7 +56,7 @@ class Words:
 
 def words_of(batch: pa.RecordBatch) -> Words:
     """Pieces end at ``.,;:!?`` and line ends, words at spaces and tabs; A-Z are lower-cased."""
-    text = pc.ascii_lower(pc.fill_null(batch.column("text").cast(pa.large_string()), ""))
+    text = pc.ascii_lower(pc.fill_null(batch.column("text"), "")).cast(pa.large_string())  # a slice that is cast first is read at wrong places
     text = pc.replace_substring_regex(pc.replace_substring(text, "\t", " "), "[.,;:!?\\x0A-\\x0D]", " \n ")
     lists = pc.split_pattern(text, " ")
     coded = lists.flatten().dictionary_encode()
@@ -233,23 +235,41 @@ def exact_counts(docs: DataFrame, mining: Mining, short: object, long: object) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working_on()
+        held, n = [], 0
         for big in batches:
             for batch in slices(big):
-                w = words_of(batch)
-                if not len(w.code):
-                    continue
-                total = np.bincount(w.lang, minlength=len(w.langs))
-                yield rows([pa.array(w.langs), pa.array([""] * len(w.langs)), total], 0)
-                pairs = None
-                for size, h, whole in hashes(w, sizes):
-                    at = np.flatnonzero(whole & (short if size < 3 else long).value.has(h))
-                    if size == 2:
-                        pairs = np.zeros(len(whole) + 1, bool)
-                        pairs[at] = True
-                    for k in range(size - 1 if size > 2 else 0):
-                        at = at[pairs[at + k]]
-                    if len(at):
-                        yield rows(distinct(w, at, size), size)
+                for some in counted(words_of(batch)):
+                    held.append(some)
+                    n += some.num_rows
+                if n > HELD_ROWS:
+                    held = added_up(held)
+                    n = sum(some.num_rows for some in held)
+                if n > HELD_ROWS // 2 and len(held) == 1:
+                    yield from pa.Table.from_batches(held).to_batches(ROW)
+                    held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(added_up(held)).to_batches(ROW)
+
+    def counted(w: Words) -> Iterator[pa.RecordBatch]:
+        if not len(w.code):
+            return
+        total = np.bincount(w.lang, minlength=len(w.langs))
+        yield rows([pa.array(w.langs), pa.array([""] * len(w.langs)), total], 0)
+        pairs = None
+        for size, h, whole in hashes(w, sizes):
+            at = np.flatnonzero(whole & (short if size < 3 else long).value.has(h))
+            if size == 2:
+                pairs = np.zeros(len(whole) + 1, bool)
+                pairs[at] = True
+            for k in range(size - 1 if size > 2 else 0):
+                at = at[pairs[at + k]]
+            if len(at):
+                yield rows(distinct(w, at, size), size)
+
+    def added_up(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        """One batch with a row for each phrase of a language."""
+        table = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("f", "sum")])
+        return table.select(["lang", "phrase", "words", "f_sum"]).rename_columns(["lang", "phrase", "words", "f"]).combine_chunks().to_batches()
 
     def distinct(w: Words, at: np.ndarray, size: int) -> list:
         number = w.lang[at]

@@ -5,6 +5,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from caselight.llm import phrases
@@ -60,6 +61,28 @@ def test_all_phrases(spark, monkeypatch, least, top):
     assert len(found) == len(set(found)) and set(found) == brute(docs.collect(), mining) and found
 
 
+@pytest.mark.parametrize("held", [600_000, 40])
+def test_a_task_adds_up_what_it_counts(spark, monkeypatch, held):
+    monkeypatch.setattr(phrases, "HELD_ROWS", held)
+    monkeypatch.setattr("caselight.llm.bpe.SLICE_ROWS", 2)
+    sent = []
+    frame = type(spark.range(0))
+    through = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, f, schema, *more: through(df, f, schema, *more) if schema != phrases.COUNTED else sent.append(f) or through(df, f, schema, *more))
+    mining, docs = Mining(least=5, top=50), corpus(spark).coalesce(1)
+    assert {tuple(r) for r in phrases.mine_phrases(docs, mining).collect()} == brute(docs.collect(), mining)
+    batch = pa.RecordBatch.from_pylist([{"text": r.text, "lang": r.lang} for r in docs.collect()], pa.schema([("text", pa.string()), ("lang", pa.string())]))
+    rows = [(r["lang"], r["phrase"], r["words"]) for b in sent[0](iter([batch])) for r in b.to_pylist()]
+    assert (len(rows) == len(set(rows))) == (held > 40) and len(set(rows)) > 100
+
+
+def test_words_of_a_slice():
+    batch = pa.RecordBatch.from_pylist([{"text": f"Ab{k} cd. É {k} " * (k % 7), "lang": "en"} for k in range(200)])
+    for at in (0, 2, 100):
+        some, alone = phrases.words_of(batch.slice(at, 5)), phrases.words_of(pa.RecordBatch.from_pylist(batch.slice(at, 5).to_pylist()))
+        assert some.names.take(pa.array(some.code)).to_pylist() == alone.names.take(pa.array(alone.code)).to_pylist()
+
+
 def test_awkward_rows(spark):
     mining = Mining(least=2)
     assert {tuple(r) for r in phrases.mine_phrases(documents(spark), mining).collect()} == brute(documents(spark).collect(), mining)
