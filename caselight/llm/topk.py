@@ -4,7 +4,8 @@ Components become whole numbers, floor(scale * x). Vectors are dealt into blocks
 longest of a block bounds every inner product with it (Cauchy-Schwarz). A first pass over the longest vectors gives
 each query a score that its k-th best cannot fall below; only blocks that can still reach it meet the query. Within
 a block, vectors are rotated into the basis of the singular vectors of all vectors: a partial sum over the leading
-components plus the product of the residual lengths bounds the whole sum, and only what passes is summed exactly.
+components plus the product of the residual lengths bounds the whole sum, and only what passes is summed exactly: a
+few pairs at a time, or, where many pass, all pairs of a slice as one product of matrices.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ SCALE = 1024
 BLOCK_ROWS, QUERY_ROWS, HEAD_ROWS = 16384, 2048, 2048
 #: Relative slack of bounds that are computed in floating point.
 SLACK = 1e-9
-#: Beyond this a sum of products could leave 64 bits.
-EXACT = 2.0**62
+#: Beyond this a sum of products could leave 64 bits, and beyond this the whole numbers that a double holds.
+EXACT, WHOLE = 2.0**62, 2.0**53
+#: Candidates of a slice, and pairs whose vectors are copied side by side at once.
+SLICE, PAIRS = 1024, 16384
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -68,6 +71,21 @@ def exact_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([max(-limit - 1, min(limit, sum(int(a) * int(b) for a, b in zip(u, v)))) for u, v in zip(x, y)], np.int64)
 
 
+def passing(q: np.ndarray, c: np.ndarray, may: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, exact scores) of the pairs of ``may``; of those under their row's floor some may be left out.
+
+    Vectors are not copied for more than ``PAIRS`` pairs at once, however many there are.
+    """
+    some, others = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if np.count_nonzero(may) * 32 > len(some) * len(others) and np.linalg.norm(q[some], axis=1).max() * np.linalg.norm(c[others], axis=1).max() < WHOLE / 2:
+        score = q[some] @ c[others].T  # no partial sum is larger than the product of both lengths, so all are exact
+        rows, cols = np.nonzero(may[np.ix_(some, others)] & (score >= floor[some, None]))
+        return some[rows], others[cols], score[rows, cols].astype(np.int64)
+    rows, cols = np.nonzero(may)
+    parts = [exact_scores(q[rows[k : k + PAIRS]], c[cols[k : k + PAIRS]]) for k in range(0, len(rows), PAIRS)]
+    return rows, cols, np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def best(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller name."""
     return np.lexsort((names, -score))[:k]
@@ -85,16 +103,20 @@ def search(q: np.ndarray, q_names: np.ndarray, floor: np.ndarray, c: np.ndarray,
     qr, cr = q @ basis, c @ basis
     q_rest, c_rest = np.linalg.norm(qr[:, lead:], axis=1), np.linalg.norm(cr[:, lead:], axis=1)
     floor, found = floor.astype(float).copy(), [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q]
+    # Score and name of each query's k-th best; of equal scores only smaller names can replace it.
+    least, last = np.full(len(q), np.iinfo(np.int64).min), np.full(len(q), np.iinfo(np.int64).max)
     live = np.arange(len(q))
-    for at in range(0, len(c), 1024):
+    for at in range(0, len(c), SLICE):
         room = SLACK * (1 + q_norm * (c_norm[at] if len(c) else 0))
         live = live[q_norm[live] * c_norm[at] + room[live] >= floor[live]]
         if not len(live):
             break
-        some = slice(at, at + 1024)
+        some = slice(at, at + SLICE)
         bound = qr[live, :lead] @ cr[some, :lead].T + q_rest[live, None] * c_rest[None, some] + room[live, None]
-        rows, cols = np.nonzero((bound >= floor[live, None]) & (q_names[live, None] != c_names[None, some]))
-        score = exact_scores(q[live[rows]], c[at + cols])
+        rows, cols, score = passing(q[live], c[some], (bound >= floor[live, None]) & (q_names[live, None] != c_names[None, some]), floor[live])
+        held = least[live[rows]]
+        better = (score > held) | (score == held) & (c_names[at + cols] < last[live[rows]])
+        rows, cols, score = rows[better], cols[better], score[better]
         starts = np.searchsorted(rows, np.arange(len(live) + 1))
         for k_live, (a, b) in enumerate(zip(starts, starts[1:])):
             if a == b:
@@ -104,7 +126,7 @@ def search(q: np.ndarray, q_names: np.ndarray, floor: np.ndarray, c: np.ndarray,
             top = best(s, n, k)
             found[i] = s[top], n[top]
             if len(top) == k:
-                floor[i] = max(floor[i], float(s[top[-1]]))
+                floor[i], least[i], last[i] = max(floor[i], float(s[top[-1]])), s[top[-1]], n[top[-1]]
     return [(int(q_names[i]), int(n), int(s)) for i, (ss, ns) in enumerate(found) for s, n in zip(ss, ns)]
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -44,3 +45,20 @@ def test_large_numbers_stay_exact(spark):
     df = spark.createDataFrame([(0, [2.0**20, 1.0]), (1, [2.0**20, 1.0]), (2, [2.0**20, 2.0])], "vec_id long, embedding array<double>")
     rows = topk.top_inner_products(df, df.where("vec_id = 0"), 2).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in rows] == [(2, 2**60 + 2 * 2**20), (1, 2**60 + 2**20)]
+
+
+def test_memory_is_bounded_where_bounds_leave_nothing_out():
+    rng = np.random.default_rng(3)
+    q, c = (np.floor(1024 * rng.standard_normal((n, 64))) for n in (512, 2048))
+    c[1024:] = c[:1024]
+    names, others = np.arange(512), np.arange(2048)[::-1] + 10_000
+    tracemalloc.start()
+    found = topk.search(q, names, np.full(512, -np.inf), c, others, np.eye(64), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # vectors of all pairs of a slice side by side: 268 MB a side
+    score = (q @ c.T).astype(np.int64)
+    want = [(i, int(others[j]), int(score[i, j])) for i in range(512) for j in np.lexsort((others, -score[i]))[:5]]
+    assert sorted(found) == sorted(want)
+    few = topk.search(2.0**14 * q[:40], names[:40], np.full(40, -np.inf), 2.0**14 * c, others, np.eye(64), 5)  # beyond the whole numbers of a double
+    assert sorted(few) == sorted((i, j, s * 2**28) for i, j, s in want if i < 40)
