@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from decimal import Decimal as D
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from caselight.operators import similar as M
@@ -122,3 +124,34 @@ def test_leaves_that_cannot_match_do_not_meet(spark):
     cases = spark.range(2000).selectExpr("id AS case_id", "CAST(id % 100 AS DECIMAL(9,1)) AS trust_score", "CAST(id * 7 % 20 AS DECIMAL(9,1)) AS metadata_score", "id % 2 = 0 AS salary_consistency", "CAST(id % 4 AS STRING) AS context")
     *_, cells, _ = M.search(cases, cases.withColumnRenamed("case_id", "ref_id").withColumn("source", F.lit(1)).withColumn("is_fraud", F.col("trust_score") < 70), 2, 60)
     assert cells.compared < 0.5 * cells.all
+
+
+def test_more_references_than_the_head_holds(spark, monkeypatch):
+    cases = wide_cases(spark, 90, 5).cache()
+    refs = cases.withColumnRenamed("case_id", "ref_id").withColumn("source", F.col("ref_id") % 2).withColumn("is_fraud", F.col("trust_score") < 60)
+    refs = refs.union(refs.where("ref_id < 9")).cache()  # some twice
+    want = {k: sorted(map(tuple, M.nearest(cases, refs, k, least).collect()), key=str) for k, least in ((2, 60), (3, 0))}
+    for name, value in (("STEP", 5), ("HEAD", 20), ("CELL", 4)):
+        monkeypatch.setattr(M, name, value)
+    # Two leaves only, so that each holds far more than the first that go to the head.
+    monkeypatch.setattr(M, "leaf", lambda columns: F.coalesce(F.col("salary_consistency").cast("int"), F.lit(0)))
+    for k, least in ((2, 60), (3, 0)):
+        assert sorted(map(tuple, M.nearest(cases, refs, k, least).collect()), key=str) == want[k]
+    names, own, asked, known = M.sides(cases, refs, 2)
+    head, after, rest = M.head_of(known, names, 4, 4)
+    assert head.num_rows and set(after) and head.num_rows + rest.count() == known.count()
+
+
+def test_rows_that_have_their_best_are_compared_no_more(monkeypatch):
+    n, counted = 4000, []
+    a = pa.table({"vector": [str(k) for k in range(600)], "leaf": pa.array([0] * 600, pa.int32()), "trust_score": [float(k % 100) for k in range(600)]})
+    b = pa.table({"ref_id": [f"{k:05}" for k in range(n)], "source": pa.array([1] * n, pa.int32()), "is_fraud": [False] * n, "leaf": pa.array([0] * n, pa.int32()), "trust_score": [float(k * 7 % 100) for k in range(n)]})
+    summary = {"leaf": np.array([0]), "min_trust_score": np.array([0.0]), "max_trust_score": np.array([99.0])}
+    near = M.Near(*({**summary, "n": np.array([m]), "count_trust_score": np.array([m])} for m in (600, n)), ["trust_score"])
+    exact = M.tenths
+    monkeypatch.setattr(M, "tenths", lambda x, y: counted.append(len(x["trust_score"]) * len(y["trust_score"])) or exact(x, y))
+    found = M.best_of(a, b, near, {0: [600, 600]}, 4)
+    assert sum(counted) <= 600 * 2 * M.STEP  # all 4,000 were compared before, as later ones may be as much alike
+    score = exact(*M.arrays(a, b))
+    want = {(str(i), f"{j:05}", int(score[i, j])) for i in range(600) for j in np.lexsort((np.arange(n), -score[i]))[:4]}
+    assert {(r["vector"], r["ref_id"], r["tenths"]) for r in found.to_pylist()} == want
