@@ -155,3 +155,23 @@ def test_rows_that_have_their_best_are_compared_no_more(monkeypatch):
     score = exact(*M.arrays(a, b))
     want = {(str(i), f"{j:05}", int(score[i, j])) for i in range(600) for j in np.lexsort((np.arange(n), -score[i]))[:4]}
     assert {(r["vector"], r["ref_id"], r["tenths"]) for r in found.to_pylist()} == want
+
+
+def test_rows_are_sent_to_few_cells(spark, monkeypatch):
+    """Each row goes to as many cells as the other side has of a bounded size, and only to those of its own value."""
+    some = spark.range(3000).selectExpr("id AS case_id", "CAST(id % 100 AS DECIMAL(9,1)) AS trust_score", "CAST(id % 5 AS STRING) AS context")
+    sent, yielded = [], []
+    pairs = M.Cells.pairs
+
+    def watched(self, rows, key, work, schema):
+        sent.append((self.rows * self.columns).sum())
+        yielded.append(work)
+        return pairs(self, rows, key, work, schema)
+
+    monkeypatch.setattr(M.Cells, "pairs", watched)
+    assert M.neighbours(some, 99, "context").count() == M.neighbours(some, 99).where("case_id % 5 = other_id % 5").count()
+    assert max(sent) <= 16  # 3 in each direction for every 1,000 rows of a region before
+    names, rows = M.plain_features(some, ["case_id"])
+    table = rows.withColumn("leaf", M.leaf(names)).withColumn("_within", F.lit("x")).toArrow()
+    batches = [b.num_rows for b in yielded[0](table, table)]
+    assert sum(batches) and max(batches) <= M.STEP**2  # all pairs of a cell were one table before
