@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from caselight.operators import fields, gating, reports as R, scoring
 
@@ -154,3 +155,22 @@ def test_snapshot(spark):
     lines = {r.case_id: json.loads(r.line) for r in rows}
     assert lines[None] == {"generated_at": "now", "total_investigations": 2, "completed": 1, "auto_approved": 0, "manual_review": 1}
     assert lines[2] == {"id": 2, "title": None, "context": None, "status": None, "trust_score": None, "recommendation": None} and lines[1]["trust_score"] == 50.0 and len(rows) == 3
+
+
+def test_lists_of_reports_are_made_once(spark, capsys):
+    """Every section is computed once, and is dealt out by case alone."""
+    R.reports(**tables(spark)).explain()
+    plan = capsys.readouterr().out
+    assert len(re.findall(r"Window \[row_number", plan)) == 1  # evidence was laid out twice before
+    assert not re.search(r"hashpartitioning\(case_id#\d+L?, (part|seq|finding)#", plan)  # and lists were dealt out by part, then by case again
+    assert plan.count("Exchange hashpartitioning(case_id#") <= 7
+
+
+def test_findings_of_one_number_have_all_their_evidence(spark):
+    t = tables(spark)
+    t["findings"] = t["findings"].union(t["findings"].where("seq = 2")).union(spark.createDataFrame([(1, None, "no number", "LOW", "d", "CONTEXT")], t["findings"].schema))
+    t["evidence"] = t["evidence"].union(spark.createDataFrame([(1, None, 1, 1, 0.5, "x", "y", None), (2, 9, 1, 1, 0.5, "x", "y", None)], t["evidence"].schema))
+    rows = [json.loads(r.report) for r in R.reports(**t, most=4).collect()]
+    pieces = [(f["id"], e["page"]) for r in rows for f in r["findings"] for e in f["evidence"]]
+    assert sorted(pieces) == sorted((2, d) for d in range(10) for _ in range(2))
+    assert sorted(str(f["id"]) for r in rows for f in r["findings"]) == sorted(["0", "1", "3", "4", "None"] + ["2"] * 6)
